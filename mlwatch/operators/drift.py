@@ -103,20 +103,27 @@ def paired_moments(moments: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def bin_of(value: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """Index of the equal-width bin; bins are half-open but the last is closed; null without a range.
+def with_bins(cells: DataFrame, bins: int) -> DataFrame:
+    """Replace ``value``, ``lo`` and ``hi`` by the index of the equal-width ``bin`` of the value.
 
-    The quotient can be off by one next to an edge, so it is corrected against the edges themselves.
+    Bins are half-open but the last is closed. A missing value or a range without width has no bin. The
+    quotient can be off by one next to an edge, so it is corrected against the edges themselves.
     """
-    step = (hi - lo) / F.lit(float(bins))
-    # least() skips nulls, so a missing value or an empty range is ruled out before it
-    guess = F.least(F.floor((value - lo) / F.nullif(step, F.lit(0.0))), F.lit(bins - 1))
-    corrected = (
-        F.when(value < lo + guess * step, guess - 1)
-        .when((guess < bins - 1) & (value >= lo + (guess + 1) * step), guess + 1)
-        .otherwise(guess)
+    value, lo = F.col("value"), F.col("lo")
+    step, guess = F.col("step"), F.col("guess")
+    # least() skips nulls, so a missing value is ruled out before it
+    quotient = F.least(F.floor((value - lo) / F.nullif(step, F.lit(0.0))), F.lit(bins - 1))
+    return (
+        cells.withColumn("step", (F.col("hi") - lo) / F.lit(float(bins)))
+        .withColumn("guess", F.when(value.isNotNull() & (F.col("hi") > lo), quotient).cast("int"))
+        .withColumn(
+            "bin",
+            F.when(value < lo + guess * step, guess - 1)
+            .when((guess < bins - 1) & (value >= lo + (guess + 1) * step), guess + 1)
+            .otherwise(guess),
+        )
+        .drop("value", "lo", "hi", "step", "guess")
     )
-    return F.when(value.isNotNull() & (hi > lo), corrected).cast("int")
 
 
 def group_ranges(paired: DataFrame, numeric: list[str], by: list[str]) -> DataFrame:
@@ -131,40 +138,45 @@ def group_ranges(paired: DataFrame, numeric: list[str], by: list[str]) -> DataFr
 
 def binned_counts(
     rows: DataFrame,
-    ranges: DataFrame,
+    ranges: DataFrame | None,
     numeric: list[str],
     categorical: list[str],
     by: list[str],
     bins: int,
 ) -> DataFrame:
-    """Counts per group, feature and bin or category for both sides; nulls and NaN are left out."""
+    """Counts per group, feature and bin or category for both sides; nulls and NaN are left out.
+
+    ``ranges`` comes from :func:`group_ranges` and is needed for numeric features only.
+    """
     keys = [*by, "side"]
-    bounds = ranges.select(
-        *[F.col(k).alias(f"__{k}") for k in keys], *[f"{name}__range" for name in numeric]
-    )
-    joined = rows.join(
-        bounds, null_safe([rows[k] for k in keys], [bounds[f"__{k}"] for k in keys])
-    )
+    if numeric:
+        bounds = ranges.withColumnsRenamed({k: f"__{k}" for k in keys})
+        rows = rows.join(
+            bounds, null_safe([rows[k] for k in keys], [bounds[f"__{k}"] for k in keys])
+        )
+    nothing = F.lit(None).cast("double")
     cells = [
         F.struct(
             F.lit(name).alias("feature"),
-            bin_of(
-                number(name), F.col(f"{name}__range.lo"), F.col(f"{name}__range.hi"), bins
-            ).alias("bin"),
+            number(name).alias("value"),
+            F.col(f"{name}__range.lo").alias("lo"),
+            F.col(f"{name}__range.hi").alias("hi"),
             F.lit(None).cast("string").alias("category"),
         )
         for name in numeric
     ] + [
         F.struct(
             F.lit(name).alias("feature"),
-            F.lit(None).cast("int").alias("bin"),
+            nothing.alias("value"),
+            nothing.alias("lo"),
+            nothing.alias("hi"),
             F.col(name).cast("string").alias("category"),
         )
         for name in categorical
     ]
+    tall = rows.select(*keys, F.explode(F.array(*cells)).alias("cell")).select(*keys, "cell.*")
     return (
-        joined.select(*keys, F.explode(F.array(*cells)).alias("cell"))
-        .select(*keys, "cell.*")
+        with_bins(tall, bins)
         .filter(F.col("bin").isNotNull() | F.col("category").isNotNull())
         .groupBy(*by, "feature", "bin", "category")
         .agg(
@@ -274,9 +286,8 @@ def feature_drift(
     by, categorical = by or [], categorical or []
     rows = rows.select(*by, "side", *numeric, *categorical)
     paired = measured_pairs(rows, numeric, categorical, by)
-    counts = binned_counts(
-        rows, group_ranges(paired, numeric, by), numeric, categorical, by, bins
-    )
+    ranges = group_ranges(paired, numeric, by) if numeric else None
+    counts = binned_counts(rows, ranges, numeric, categorical, by, bins)
     return _drift_rows(paired, _summed_terms(counts, paired, by), by)
 
 

@@ -6,9 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mlwatch.operators import drift
+from mlwatch.functions import requests as req, trips as fn
+from mlwatch.operators import (
+    decide,
+    drift,
+    drift_windows,
+    evaluate,
+    prepare,
+    profile,
+    rollups,
+    validate,
+)
 from mlwatch.plans import views
-from mlwatch.spec import TRIP_SPEC
+from mlwatch.sources import files, history
+from mlwatch.sources.shared import scratch_path, written
+from mlwatch.spec import REQUEST_LATENCY_BOUNDS, Rule, TRIP_SPEC
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,3 +48,692 @@ def feature_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.feature_drift(rows, NUMERIC, CATEGORICAL).select(
         "feature", *rounded(*DRIFT_VALUES), "severity", *rounded(*MOMENTS), "reference_rows", "current_rows"
     )
+
+
+# ---- sources and sinks
+
+
+@query
+def scan_union_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items written as two tables of different types, read as one."""
+    lines = views.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"
+    )
+    odd = F.col("l_orderkey") % 2 == 1
+    first, second = scratch_path(spark, "part"), scratch_path(spark, "part")
+    lines.filter(odd).withColumn("l_quantity", F.col("l_quantity").cast("bigint")).drop(
+        "l_returnflag"
+    ).write.parquet(first)
+    lines.filter(~odd).write.parquet(second)
+    return (
+        files.read_union(spark, [first, second], {"l_quantity": "double"})
+        .groupBy("l_linenumber", "l_returnflag")
+        .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    )
+
+
+@query
+def csv_snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = [*views.KEYS, "trip_distance", "passenger_count", "pickup_borough", "fare_amount"]
+    rows = views.trips(spark, sf_dir).select(*columns)
+    path = scratch_path(spark, "reference-csv")
+    files.write_snapshot(rows, path, views.KEYS, rows=1000)
+    return files.read_table(spark, path, rows.schema)
+
+
+@query
+def append_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prediction log arrives in two overlapping halves; every request is kept once."""
+    rows = views.preds(spark, sf_dir)
+    path = scratch_path(spark, "prediction-log")
+    history.append_unique(rows.filter("k < 60"), path, "request_id", "ts")
+    history.append_unique(
+        rows.filter("k >= 40"), path, "request_id", "ts", dates_fixed_by_key=True
+    )
+    return (
+        history.read_history(spark, path)
+        .groupBy("date", "model_name")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_distinct("request_id").alias("requests"),
+            F.round(F.sum("predicted_fare"), 2).alias("fares"),
+        )
+    )
+
+
+@query
+def table_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = views.table(spark, sf_dir, "events").select(
+        "event_id",
+        F.col("event_type").alias("prediction"),
+        F.lit(0.5).alias("probability"),
+        F.when(F.col("user_id") % 3 != 0, F.col("value")).alias("predicted_fare"),
+    )
+    new = history.upgrade_table(
+        old, drop=["prediction", "probability"], add={"predicted_fare": 0.0}
+    )
+    history.assert_not_null(new, ["predicted_fare"])
+    return new
+
+
+@query
+def reference_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(views.featured(spark, sf_dir).select(*TRIP_SPEC.columns, "pickup_ts"), "features")
+    path = scratch_path(spark, "references")
+    early = rows.filter(F.col("pickup_ts") < F.lit(views.DRIFT_SPLIT).cast("timestamp_ntz"))
+    for name, sample, day in (("first", early, "2024-01-01"), ("second", rows, "2024-02-01")):
+        entry = history.reference_entry(
+            sample,
+            name,
+            "fare",
+            TRIP_SPEC.features,
+            ["trip_distance", "fare_amount"],
+            f"{day} 00:00:00",
+            f"references/{name}",
+        )
+        history.append_unique(entry, path, "name", "created_at")
+    stats = "struct<trip_distance:struct<mean:double,min:double,max:double>,fare_amount:struct<mean:double,min:double,max:double>>"
+    return (
+        history.active_reference(history.read_history(spark, path))
+        .withColumn("s", F.from_json("dataset_stats", stats))
+        .select(
+            "name",
+            "model_name",
+            "sample_count",
+            "feature_count",
+            "storage_path",
+            F.round("s.trip_distance.mean", 4).alias("distance_mean"),
+            F.round("s.trip_distance.max", 4).alias("distance_max"),
+            F.round("s.fare_amount.mean", 4).alias("fare_mean"),
+            F.round("s.fare_amount.min", 4).alias("fare_min"),
+        )
+    )
+
+
+@query
+def log_window_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.recent_log(views.preds(spark, sf_dir), "2024-01-15 12:00:00", 24, "m1")
+
+
+# ---- features, bins, hashes, requests
+
+
+@query
+def time_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.featured(spark, sf_dir).select(
+        *views.KEYS,
+        F.round("trip_duration_minutes", 6).alias("trip_duration_minutes"),
+        "pickup_hour",
+        "pickup_day_of_week",
+        "pickup_month",
+        "is_weekend",
+        "is_rush_hour",
+    )
+
+
+@query
+def zone_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = views.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    zones = views.zones(spark, sf_dir)
+    one = prepare.lookup(customer, zones, "c_nationkey", "n_nationkey", "r_name", "zone")
+    return prepare.lookup(
+        one, zones, "c_nationkey", "n_nationkey", "r_name", "zone_or_unknown", missing="Unknown"
+    )
+
+
+@query
+def prepare_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready = prepare.prepare(views.featured(spark, sf_dir), views.SPEC, keep=views.KEYS)
+    return ready.withColumns(
+        {c: F.round(c, 6) for c in ("trip_distance", "trip_duration_minutes", "fare_amount")}
+    )
+
+
+@query
+def feature_target_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per column role and categorical text length, from both halves of the split."""
+    features, target = prepare.feature_target_split(
+        views.featured(spark, sf_dir).select(*TRIP_SPEC.columns)
+    )
+    text = prepare.categories_as_text(features)
+    widths = text.agg(
+        *[F.sum(F.length(c)).cast("double").alias(c) for c in TRIP_SPEC.categorical],
+        *[F.round(F.sum(c), 2).cast("double").alias(c) for c in (*TRIP_SPEC.numeric, *TRIP_SPEC.binary)],
+    )
+    cells = [
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("total")) for c in TRIP_SPEC.features
+    ]
+    totals = widths.select(F.explode(F.array(*cells)).alias("c")).select("c.*").unionByName(
+        target.agg(F.round(F.sum(TRIP_SPEC.target), 2).alias("total")).select(
+            F.lit(TRIP_SPEC.target).alias("column"), "total"
+        )
+    )
+    roles = TRIP_SPEC.as_frame(spark).select("column", "role", "position")
+    return totals.join(F.broadcast(roles), "column")  # one row per column of the spec
+
+
+@query
+def feature_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.featured(spark, sf_dir).groupBy(
+        fn.distance_bin("trip_distance").alias("distance_bin"),
+        fn.duration_bin("trip_duration_minutes").alias("duration_bin"),
+        fn.hour_bin("pickup_hour").alias("hour_bin"),
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def pack_unpack_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics packed and unpacked again for trips with gaps, and unpacked from the raw log."""
+    packed = views.dirty(spark, sf_dir).select(
+        F.col("l_orderkey").alias("id"),
+        F.col("l_linenumber").alias("part"),
+        fn.pack_stats().alias("stats"),
+    )
+    logged = views.preds(spark, sf_dir).select(
+        F.col("request_id").alias("id"), F.lit(0).alias("part"), F.col("numeric_feature_stats").alias("stats")
+    )
+    unpacked = packed.unionByName(logged).select("id", "part", *fn.unpack_stats("stats"))
+    return unpacked.withColumns(
+        {
+            "trip_distance": F.round(F.nanvl("trip_distance", F.lit(-1.0)), 6),
+            "trip_duration_minutes": F.round("trip_duration_minutes", 6),
+        }
+    )
+
+
+@query
+def feature_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["passenger_count", "RatecodeID", "payment_type", "pickup_borough", "dropoff_borough", "pickup_hour"]
+    return views.featured(spark, sf_dir).select(
+        *views.KEYS,
+        fn.feature_hash(names).alias("feature_hash"),
+        fn.stable_id(F.col("l_orderkey"), F.col("l_linenumber"), prefix="decision-").alias("run_id"),
+    )
+
+
+@query
+def baseline_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.featured(spark, sf_dir).select(
+        *views.KEYS, fn.baseline_fare().alias("predicted_fare")
+    ).withColumn("prediction_label", fn.score_label(F.col("predicted_fare")))
+
+
+@query
+def request_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.requests(spark, sf_dir)
+    return rows.filter(~req.is_excluded("path")).select(
+        "event_id",
+        req.endpoint("path").alias("endpoint"),
+        req.client_ip("forwarded", "peer").alias("client_ip"),
+        req.error_type("status").alias("error_type"),
+        req.log_level("status").alias("log_level"),
+    )
+
+
+# ---- filters and samples
+
+
+@query
+def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and fare sums of the 80/20 split, of a capped sample and of a fixed-size sample."""
+    rows = views.trips(spark, sf_dir).select(*views.KEYS, "fare_amount")
+    train, test = prepare.split_by_key(rows, views.KEYS)
+    capped = prepare.cap_by_key(rows, views.KEYS, cap=5000)
+    fixed = prepare.fixed_sample(rows, views.KEYS, 100)
+
+    def summary(name: str, part: DataFrame) -> DataFrame:
+        return part.agg(
+            F.count(F.lit(1)).alias("n"), F.round(F.sum("fare_amount"), 2).alias("fares")
+        ).select(F.lit(name).alias("part"), "n", "fares")
+
+    return (
+        summary("train", train)
+        .unionByName(summary("test", test))
+        .unionByName(summary("capped", capped))
+        .unionByName(summary("fixed", fixed))
+    )
+
+
+@query
+def sample_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model-days with enough predictions, and how many of the watched features they could use."""
+    rows = views.preds(spark, sf_dir)
+    numeric, categorical, skipped = TRIP_SPEC.common_features(
+        TRIP_SPEC.features, views.featured(spark, sf_dir).columns[2:]
+    )
+    return (
+        rows.groupBy("model_name", F.to_date("ts").alias("day"))
+        .agg(F.count(F.lit(1)).alias("samples"))
+        .filter("samples >= 100")
+        .withColumns(
+            {
+                "common": F.lit(len(numeric) + len(categorical)),
+                "skipped": F.lit(len(skipped)),
+            }
+        )
+    )
+
+
+# ---- validation
+
+
+@query
+def validate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.dirty(spark, sf_dir).select(*TRIP_SPEC.columns)
+    return validate.validation_report(rows, views.SPEC).withColumn("found", F.round("found", 6))
+
+
+@query
+def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = validate.validate_rows(views.dirty(spark, sf_dir), views.SPEC)
+    codes = F.transform("errors", lambda e: F.concat(e["feature"], F.lit(":"), e["type"]))
+    return checked.select(
+        *views.KEYS,
+        F.size("errors").alias("error_count"),
+        F.array_join(F.array_sort(codes), ",").alias("codes"),
+    )
+
+
+@query
+def quarantine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = validate.validate_rows(views.dirty(spark, sf_dir), views.SPEC)
+    kept = validate.accepted(checked).agg(F.count(F.lit(1)).alias("failures"))
+    failed = validate.failure_counts(validate.quarantined(checked))
+    values = validate.invalid_values(views.dirty(spark, sf_dir), views.SPEC).select(
+        F.concat(F.lit("invalid:"), F.col("value")).alias("type"),
+        F.col("column").alias("feature"),
+        F.col("rows").alias("failures"),
+    )
+    return failed.unionByName(
+        kept.select(F.lit("accepted").alias("type"), F.lit("").alias("feature"), "failures")
+    ).unionByName(values)
+
+
+JSON_RULES = [
+    Rule("k", "int", minimum=0, maximum=79),
+    Rule("value", "float", minimum=0.5, maximum=400.0),
+    Rule("event_type", "str", allowed=("click", "view", "purchase", "signup")),
+]
+
+
+@query
+def validate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as raw JSON records, some with text, fractions, nulls, gaps, extra keys or no JSON."""
+    events = views.events_with_k(spark, sf_dir)
+    k, marker = F.col("k"), F.col("event_id") % 8
+    number = (
+        F.when(marker == 1, F.concat(F.lit('"'), k.cast("string"), F.lit('"')))
+        .when(marker == 2, F.lit('"many"'))
+        .when(marker == 3, F.concat(k.cast("string"), F.lit(".5")))
+        .when(marker == 4, F.lit("null"))
+        .otherwise(k.cast("string"))
+    )
+    record = F.concat(
+        F.lit('{"k": '),
+        number,
+        F.when(marker == 5, F.lit(', "note": 1')).otherwise(F.lit("")),
+        F.when(marker == 6, F.lit("")).otherwise(
+            F.concat(F.lit(', "value": '), F.col("value").cast("decimal(12,2)").cast("string"))
+        ),
+        F.lit(', "event_type": "'),
+        F.col("event_type"),
+        F.when(marker == 7, F.lit('"')).otherwise(F.lit('"}')),
+    )
+    checked = events.select("event_id", record.alias("record"))
+    errors = validate.json_errors("record", JSON_RULES)
+    codes = F.transform(errors, lambda e: F.concat(e["feature"], F.lit(":"), e["type"]))
+    return checked.select(
+        "event_id",
+        F.size(errors).alias("error_count"),
+        F.array_join(F.array_sort(codes), ",").alias("codes"),
+    )
+
+
+# ---- profiles
+
+
+@query
+def profile_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.table_shape(views.dirty(spark, sf_dir).select(*TRIP_SPEC.columns))
+
+
+@query
+def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = [*TRIP_SPEC.numeric, TRIP_SPEC.target]
+    rows = written(views.dirty(spark, sf_dir).select(*columns), "features")
+    return profile.numeric_profile(rows, columns).select(
+        "feature", *rounded("mean", "std", "min", "max", "median")
+    )
+
+
+@query
+def profile_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.categorical_profile(
+        views.dirty(spark, sf_dir), [*TRIP_SPEC.categorical, *TRIP_SPEC.binary]
+    )
+
+
+# ---- drift
+
+
+@query
+def histogram_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(views.sided(spark, sf_dir).select("side", *NUMERIC), "features")
+    return drift.histogram_pair(rows, NUMERIC).select(
+        "feature", "bin", "reference_n", "current_n", *rounded("reference_share", "current_share", digits=8)
+    )
+
+
+def _drift(spark: SparkSession, sf_dir: str, numeric: list[str], categorical: list[str], shifted: bool):
+    rows = views.sided(spark, sf_dir, shifted).select("side", *numeric, *categorical)
+    return drift.feature_drift(written(rows, "features"), numeric, categorical)
+
+
+@query
+def psi_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drift(spark, sf_dir, NUMERIC, [], True).select("feature", *rounded("psi"), "severity")
+
+
+@query
+def psi_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drift(spark, sf_dir, [], CATEGORICAL, True).select("feature", *rounded("psi"), "severity")
+
+
+@query
+def kl_js(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drift(spark, sf_dir, NUMERIC, [], True).select(
+        "feature", *rounded("kl_divergence", "js_divergence")
+    )
+
+
+@query
+def moments_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.sided(spark, sf_dir).select("side", *NUMERIC)
+    return drift.paired_moments(drift.feature_moments(rows, NUMERIC, [], []), []).select(
+        "feature", "reference_count", "current_count", *rounded(*MOMENTS)
+    )
+
+
+@query
+def prediction_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later trips' baseline score against the earlier trips' fare."""
+    score = F.when(F.col("side") == "reference", F.col("fare_amount")).otherwise(fn.baseline_fare())
+    rows = views.sided(spark, sf_dir).select("side", score.alias("prediction"))
+    return drift.feature_drift(written(rows, "features"), ["prediction"]).select(
+        "feature", *rounded("psi"), "severity", *rounded(*MOMENTS)
+    )
+
+
+WINDOW_NUMERIC = ["predicted_fare", "latency_ms", "k", "prediction"]
+WINDOW_CATEGORICAL = ["model_version", "k_class"]
+
+
+def _model_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of every model and day from the second week on, against the model's first week.
+
+    Fares rise and classes shift over the days, so that both outcomes occur.
+    """
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-08").cast("date"))
+    late = F.greatest(day, F.lit(0))
+    rows = views.preds(spark, sf_dir).select(
+        "model_name",
+        F.to_date("ts").alias("day"),
+        (F.col("predicted_fare") * (1 + late / 40.0)).alias("predicted_fare"),
+        (F.col("latency_ms") + late * 0.5).alias("latency_ms"),
+        "k",
+        (F.col("predicted_fare") * (1 + late / 60.0)).alias("prediction"),
+        "model_version",
+        ((F.col("k") + late * 3) % 100 - (F.col("k") + late * 3) % 25).cast("int").alias("k_class"),
+    )
+    rows = written(rows, "model-days")
+    first_week = F.col("day") < F.lit("2024-01-08").cast("date")
+    found = drift_windows.shared_reference_drift(
+        rows.filter(first_week),
+        rows.filter(~first_week),
+        WINDOW_NUMERIC,
+        WINDOW_CATEGORICAL,
+        by=["model_name", "day"],
+        reference_by=["model_name"],
+    )
+    ts = F.col("day").cast("timestamp_ntz")
+    return drift.drift_verdict(found, by=["model_name", "day"]).select(
+        fn.stable_id(F.col("model_name"), F.col("day")).alias("run_id"), ts.alias("ts"), "*"
+    )
+
+
+@query
+def window_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature drift of two groups sharing one reference: the later trips by payment type."""
+    rows = written(
+        views.sided(spark, sf_dir, shifted=True).select(
+            "side", "payment_type", *NUMERIC, "pickup_borough", "RatecodeID"
+        ),
+        "features",
+    )
+    return drift_windows.shared_reference_drift(
+        rows.filter("side = 'reference'"),
+        rows.filter("side = 'current'"),
+        NUMERIC,
+        ["pickup_borough", "RatecodeID"],
+        by=["payment_type"],
+    ).select(
+        "payment_type",
+        "feature",
+        *rounded(*DRIFT_VALUES),
+        "severity",
+        *rounded(*MOMENTS),
+        "reference_rows",
+        "current_rows",
+    )
+
+
+@query
+def drift_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _model_days(spark, sf_dir).select(
+        "run_id",
+        "model_name",
+        "day",
+        "reference_sample_count",
+        "current_sample_count",
+        *rounded("max_psi", "avg_psi", "prediction_psi"),
+        F.array_join("features_with_drift", ",").alias("features_with_drift"),
+        "drift_count",
+        "drift_detected",
+        "prediction_drift_detected",
+    )
+
+
+@query
+def drift_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = written(
+        _model_days(spark, sf_dir).withColumn("metric_id", F.dayofyear("day")), "drift-runs"
+    )
+    alerts = decide.alerts_with_metric(decide.drift_alerts(runs), runs, "metric_id")
+    return decide.open_alerts(alerts).select(
+        "alert_id",
+        "run_id",
+        "created_at",
+        "severity",
+        "message",
+        F.array_join("features_affected", ",").alias("features_affected"),
+        "acknowledged",
+        "drift_metric_id",
+    )
+
+
+@query
+def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = written(_model_days(spark, sf_dir), "drift-runs")
+    as_of = F.lit("2024-01-28 00:00:00").cast("timestamp_ntz")
+    summary = rollups.drift_summary(runs, as_of, 24 * 10, views.preds(spark, sf_dir))
+    trigger = decide.retrain_trigger(runs).select("model_name", "should_retrain")
+    return summary.join(trigger, "model_name", "left").select(
+        "model_name",
+        "runs",
+        "drift_detected_count",
+        *rounded("avg_max_psi", "avg_avg_psi"),
+        F.col("latest.run_id").alias("latest_run_id"),
+        F.col("latest.drift_count").alias("latest_drift_count"),
+        F.coalesce("should_retrain", F.lit(False)).alias("should_retrain"),
+    )
+
+
+# ---- evaluation and decisions
+
+
+@query
+def regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.featured(spark, sf_dir).withColumn("prediction", fn.baseline_fare())
+    return evaluate.regression_metrics(rows, "fare_amount", "prediction", by=["payment_type"]).select(
+        "payment_type", "samples", *rounded("rmse", "mae", "r2", "mape")
+    )
+
+
+@query
+def latency_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.latency_by(views.preds(spark, sf_dir), ["model_name", "model_version"]).select(
+        "model_name", "model_version", "samples", *rounded("avg_latency_ms", "p95_latency_ms")
+    )
+
+
+@query
+def traffic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = views.requests(spark, sf_dir).select(F.col("event_id").alias("request_id"), "status")
+    rows = requests.join(views.preds(spark, sf_dir), "request_id")
+    return evaluate.traffic_summary(rows, by=["model_name"]).select(
+        "model_name",
+        "total",
+        "successes",
+        "failures",
+        *rounded("avg_fare", "min_fare", "max_fare", "avg_latency_ms"),
+    )
+
+
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decide.replay_promotions(views.versions(spark, sf_dir))
+
+
+@query
+def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decisions(spark, sf_dir).select(
+        "model_name",
+        "challenger_version",
+        "champion_version",
+        "validation_passed",
+        "metric_improvement",
+        "latency_acceptable",
+        "promoted",
+        *rounded("primary_metric_improvement", "latency_ratio"),
+        F.size("rejection_reasons").alias("reasons"),
+        "promotion_reason",
+    )
+
+
+@query
+def champion_challenger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scores of the same trips: the baseline tariff against a fitted-looking challenger."""
+    rows = views.featured(spark, sf_dir).select(
+        "payment_type",
+        "fare_amount",
+        fn.baseline_fare().alias("champion"),
+        (F.col("fare_amount") + (F.col("l_partkey") % 21 - 10) * 2.0).alias("challenger"),
+    )
+    metrics = evaluate.compare_scores(
+        rows, "fare_amount", "champion", "challenger", by=["payment_type"]
+    )
+    return metrics.select(*[c if c == "payment_type" else F.round(c, 6).alias(c) for c in metrics.columns])
+
+
+@query
+def production_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decisions = written(_decisions(spark, sf_dir), "decisions")
+    newest = decide.latest_version(
+        decisions.select("model_name", F.col("challenger_version").alias("model_version"))
+    )
+    return decide.production_alias(decisions).join(newest, "model_name")
+
+
+@query
+def recent_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten newest decisions with the drift and retraining run they belong to."""
+    decisions = written(
+        _decisions(spark, sf_dir).withColumn(
+            "trigger_type", F.when(F.col("challenger_version") % 2 == 0, "drift").otherwise("scheduled")
+        ),
+        "decisions",
+    )
+    drift_runs = decisions.filter("trigger_type = 'drift'").select(
+        fn.stable_id(F.col("model_name"), F.col("decided_at").cast("date")).alias("run_id"),
+        (F.col("challenger_version") * 0.1).alias("max_psi"),
+        F.col("challenger_version").alias("drift_count"),
+    )
+    error = F.when(F.col("challenger_version") == 4, "out of memory")
+    status = decide.run_status(
+        F.col("trigger_type"), F.lit(False), F.col("challenger_version") != 2, error
+    )
+    runs = decisions.select(
+        F.col("decision_id").alias("promotion_decision_id"),
+        fn.stable_id(F.col("model_name"), F.col("decided_at").cast("date")).alias("drift_run_id"),
+        status.alias("status"),
+        decide.run_outcome(status).alias("outcome"),
+    )
+    linked = decide.lineage(runs, drift_runs, decisions.select("decision_id", "promoted", "primary_metric_improvement"))
+    newest = decide.recent_decisions(decisions)
+    return newest.join(
+        linked.select(
+            F.col("promotion_decision_id").alias("decision_id"), "status", "outcome", "drift_max_psi", "drift_count"
+        ),
+        "decision_id",
+    ).withColumns(
+        {
+            "primary_metric_improvement": F.round("primary_metric_improvement", 6),
+            "drift_max_psi": F.round("drift_max_psi", 6),
+        }
+    )
+
+
+# ---- rollups
+
+
+def _endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.requests(spark, sf_dir)
+    return rows.filter(~req.is_excluded("path")).withColumns(
+        {"endpoint": req.endpoint("path"), "error_type": req.error_type("status")}
+    )
+
+
+@query
+def counter_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request and error counters in one frame."""
+    rows = _endpoints(spark, sf_dir)
+    requests = rollups.counter(rows, ["method", "endpoint", "status"])
+    errors = rollups.counter(rows.filter("error_type is not null"), ["endpoint", "error_type"])
+    return requests.select(F.lit("requests").alias("metric"), "method", "endpoint", F.col("status").alias("label"), "total").unionByName(
+        errors.select(F.lit("errors").alias("metric"), F.lit("").alias("method"), "endpoint", F.col("error_type").alias("label"), "total")
+    )
+
+
+@query
+def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rolled = rollups.histogram(
+        _endpoints(spark, sf_dir), "latency_seconds", ["method", "endpoint"], REQUEST_LATENCY_BOUNDS
+    )
+    return rolled.withColumns({"sum": F.round("sum", 6), "avg": F.round("avg", 6)})
+
+
+@query
+def gauge_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last latency of every model version, and a gauge replayed from set/inc/dec events."""
+    rows = views.preds(spark, sf_dir)
+    last = rollups.gauge_last(rows, ["model_name", "model_version"], "latency_ms", ["ts", "request_id"])
+    operation = F.when(F.col("k") == 0, "set").when(F.col("k") % 2 == 0, "inc").otherwise("dec")
+    replayed = rollups.gauge_replay(
+        rows.withColumn("operation", operation),
+        ["model_name", "model_version"],
+        "operation",
+        "latency_ms",
+        ["ts", "request_id"],
+    )
+    return last.join(
+        replayed.withColumnRenamed("value", "replayed"), ["model_name", "model_version"]
+    ).withColumn("replayed", F.round("replayed", 6))
