@@ -103,11 +103,16 @@ def paired_moments(moments: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def has_bin() -> Column:
+    return F.col("value").isNotNull() & (F.col("hi") > F.col("lo"))
+
+
 def with_bins(cells: DataFrame, bins: int) -> DataFrame:
     """Replace ``value``, ``lo`` and ``hi`` by the index of the equal-width ``bin`` of the value.
 
-    Bins are half-open but the last is closed. A missing value or a range without width has no bin. The
-    quotient can be off by one next to an edge, so it is corrected against the edges themselves.
+    Bins are half-open but the last is closed. A missing value or a range without width has no bin
+    (filter with :func:`has_bin` before: a filter on ``bin`` itself would repeat the whole expression).
+    The quotient can be off by one next to an edge, so it is corrected against the edges themselves.
     """
     value, lo = F.col("value"), F.col("lo")
     step, guess = F.col("step"), F.col("guess")
@@ -115,7 +120,7 @@ def with_bins(cells: DataFrame, bins: int) -> DataFrame:
     quotient = F.least(F.floor((value - lo) / F.nullif(step, F.lit(0.0))), F.lit(bins - 1))
     return (
         cells.withColumn("step", (F.col("hi") - lo) / F.lit(float(bins)))
-        .withColumn("guess", F.when(value.isNotNull() & (F.col("hi") > lo), quotient).cast("int"))
+        .withColumn("guess", F.when(has_bin(), quotient).cast("int"))
         .withColumn(
             "bin",
             F.when(value < lo + guess * step, guess - 1)
@@ -176,8 +181,7 @@ def binned_counts(
     ]
     tall = rows.select(*keys, F.explode(F.array(*cells)).alias("cell")).select(*keys, "cell.*")
     return (
-        with_bins(tall, bins)
-        .filter(F.col("bin").isNotNull() | F.col("category").isNotNull())
+        with_bins(tall.filter(has_bin() | F.col("category").isNotNull()), bins)
         .groupBy(*by, "feature", "bin", "category")
         .agg(
             F.count_if(F.col("side") == REFERENCE).alias("reference_n"),

@@ -18,6 +18,7 @@ from mlwatch.operators.drift import (
     _drift_rows,
     divergence_terms,
     feature_moments,
+    has_bin,
     with_bins,
 )
 from mlwatch.sources.shared import written
@@ -181,8 +182,7 @@ def current_counts(
         .select(*by, "cell.*")
     )
     return (
-        with_bins(tall, bins)
-        .filter("bin is not null")
+        with_bins(tall.filter(has_bin()), bins)
         .groupBy(*by, "feature", "bin")
         .agg(F.count(F.lit(1)).alias("current_n"))
     )

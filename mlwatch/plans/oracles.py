@@ -648,4 +648,35 @@ SQL: dict[str, str] = {
                case when k = 0 then null when k % 2 = 0 then latency_ms else -latency_ms end)
                filter (set_ts is null or ts > set_ts), 0), 6) as replayed
       from marked group by 1, 2""",
+    "stream_score_log": _with(EVENTS, """
+      asked as (
+        select event_id as request_id, k*1.1e0 + 0.5 as d, value/2.5e0 as m, cast(user_id % 7 + 1 as int) as p from ev),
+      checked as (
+        select *, list_filter([case when p > 6 then 'passenger_count' end,
+                 case when d > 100 then 'trip_distance' end,
+                 case when m < 1 or m > 180 then 'trip_duration_minutes' end], lambda x: x is not null) as bad
+        from asked)""") + """
+      select request_id, round(greatest(2.5e0, 3e0 + d*2.5e0 + m*0.5e0), 2) as predicted_fare,
+             case when len(bad) = 0 then 'accepted' else array_to_string(bad, ',') end as outcome from checked""",
+    "stream_window_24h": """
+      with bounds as (select max(ts) - interval 1 hour as watermark, min(ts) as first_ts from events),
+      starts as (select unnest(generate_series(date_trunc('hour', first_ts) - interval 23 hour,
+                   date_trunc('hour', watermark), interval 1 hour)) as window_start from bounds)
+      select window_start, window_start + interval 24 hour as window_end, event_type, count(*) as n,
+             round(avg(value), 9) as mean, round(stddev_pop(value), 9) as std, round(min(value), 9) as lo,
+             round(max(value), 9) as hi
+      from starts join events on ts >= window_start and ts < window_start + interval 24 hour
+      where window_start + interval 24 hour <= (select watermark from bounds)
+      group by 1, 2, 3""",
+    "stream_rollup": _with(EVENTS, """
+      hourly as (select *, date_trunc('hour', ts) as start from requests
+        where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) - interval 1 hour from events))""") + _union(
+        [
+            f"""select start, method, cast(status as varchar) as status, cast({b} as double) as bound,
+            count(*) filter (latency_seconds <= {b}e0) as at_most,
+            count(*) as count, round(sum(latency_seconds), 6) as sum, round(avg(latency_seconds), 6) as avg
+            from hourly group by 1, 2, 3"""
+            for b in LATENCY_BOUNDS
+        ]
+    ),
 }

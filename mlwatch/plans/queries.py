@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mlwatch.functions import requests as req, trips as fn
@@ -15,12 +16,14 @@ from mlwatch.operators import (
     prepare,
     profile,
     rollups,
+    train,
     validate,
 )
-from mlwatch.plans import views
+from mlwatch.plans import monitor, views
 from mlwatch.sources import files, history
 from mlwatch.sources.shared import scratch_path, written
 from mlwatch.spec import REQUEST_LATENCY_BOUNDS, Rule, TRIP_SPEC
+from mlwatch.streaming import drift as stream_drift_check, runtime, score as stream_score, windows as stream_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -737,3 +740,159 @@ def gauge_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.join(
         replayed.withColumnRenamed("value", "replayed"), ["model_name", "model_version"]
     ).withColumn("replayed", F.round("replayed", 6))
+
+
+# ---- models
+
+
+@query
+def encode_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and non-zero entries of the feature vectors, per payment type."""
+    ready = prepare.prepare(views.featured(spark, sf_dir), views.SPEC)
+    encoded = train.encode(written(ready, "features"), views.SPEC)
+    size = F.size(vector_to_array("features"))
+    filled = F.size(F.filter(vector_to_array("features"), lambda v: v != 0))
+    return encoded.groupBy("payment_type").agg(
+        F.count(F.lit(1)).alias("rows"), F.max(size).alias("length"), F.round(F.avg(filled), 6).alias("filled")
+    )
+
+
+@query
+def train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train on the prepared trips, save, load, score the test rows and measure them by payment type."""
+    ready = written(
+        prepare.prepare(views.featured(spark, sf_dir), views.SPEC, keep=views.KEYS), "features"
+    )
+    fitting, testing = prepare.split_by_key(ready, views.KEYS)
+    config = train.TrainingConfig(max_iter=10)
+    model, metrics = train.run_training(fitting, testing, views.SPEC, config)
+    root = scratch_path(spark, "models")
+    train.save_version(model, root, "fare", 1)
+    scored = train.score_or_baseline(spark, testing, root, "fare", 1, views.SPEC)
+    by_type = evaluate.regression_metrics(scored, "fare_amount", "predicted_fare", by=["payment_type"])
+    overall = metrics.select(F.lit("all").alias("payment_type"), F.col("test_samples").alias("samples"), "rmse", "mae", "r2", "mape")
+    return by_type.unionByName(overall)
+
+
+# ---- streams
+
+
+def _event_files(spark: SparkSession, sf_dir: str) -> str:
+    """Events as a folder that grows in four steps; each step repeats a day of the one before, and the
+    second is delivered again at the end."""
+    events = views.table(spark, sf_dir, "events")
+    path = scratch_path(spark, "event-files")
+    days = ("2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2025-01-01")
+    steps = [(F.lit(a).cast("timestamp_ntz"), F.lit(b).cast("timestamp_ntz")) for a, b in zip(days, days[1:])]
+    repeat = F.expr("interval 1 day")
+    for i, (start, end) in enumerate([*steps, steps[1]]):
+        from_ts = start - repeat if 0 < i < len(steps) else start
+        # the first and last step also take what lies outside the month
+        inside = F.col("ts") >= from_ts if i else F.lit(True)
+        until = F.col("ts") < end if i != len(steps) - 1 else F.lit(True)
+        events.filter(inside & until).write.mode("append").parquet(path)
+    return path
+
+
+def _event_table(sf_dir: str) -> str:
+    """The events table as a pattern, which a file stream accepts for a single file and a folder alike."""
+    return f"{sf_dir}/events.parque[t]"
+
+
+def _event_stream(spark: SparkSession, path: str, sf_dir: str) -> DataFrame:
+    schema = views.table(spark, sf_dir, "events").schema
+    stream = runtime.read_files(spark, path, schema, files_per_trigger=2)
+    return stream.withColumns(
+        {"k": F.get_json_object("props", "$.k").cast("int"), "ts": runtime.event_time("ts")}
+    )
+
+
+@query
+def stream_score_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _event_files(spark, sf_dir)
+    requests = _event_stream(spark, path, sf_dir).select(
+        F.col("event_id").alias("request_id"),
+        "ts",
+        F.to_json(
+            F.struct(
+                (F.col("k") * 1.1 + 0.5).alias("trip_distance"),
+                (F.col("value") / 2.5).alias("trip_duration_minutes"),
+                (F.col("user_id") % 7 + 1).cast("int").alias("passenger_count"),
+            )
+        ).alias("numeric_feature_stats"),
+    )
+    log, rejects, checkpoint = (scratch_path(spark, n) for n in ("log", "rejects", "checkpoint"))
+    stream_score.score_log(requests, log, rejects, checkpoint, watermark="10 days")
+    kept = spark.read.parquet(log).select(
+        "request_id", "predicted_fare", F.lit("accepted").alias("outcome")
+    )
+    refused = spark.read.parquet(rejects).select(
+        "request_id",
+        "predicted_fare",
+        F.array_join(F.array_sort(F.col("errors.feature")), ",").alias("outcome"),
+    )
+    return kept.unionByName(refused)
+
+
+@query
+def stream_window_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed 24-hour windows, moved hourly, of the prediction values per event type."""
+    stream = _event_stream(spark, _event_table(sf_dir), sf_dir)
+    moments = stream_windows.trailing_moments(stream, "ts", "value", ["event_type"])
+    path, checkpoint = scratch_path(spark, "windows"), scratch_path(spark, "checkpoint")
+    stream_windows.write_closed(moments, path, checkpoint)
+    return spark.read.parquet(path).select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+        F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+        "event_type",
+        "n",
+        *rounded("mean", "std", "lo", "hi", digits=9),
+    )
+
+
+@query
+def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed hourly request counts and latency histograms per method and status."""
+    events = _event_stream(spark, _event_table(sf_dir), sf_dir)
+    rolled = stream_windows.request_rollup(
+        views.as_requests(events), "ts", "latency_seconds", ["method", "status"], REQUEST_LATENCY_BOUNDS
+    )
+    path, checkpoint = scratch_path(spark, "rollup"), scratch_path(spark, "checkpoint")
+    stream_windows.write_closed(rolled, path, checkpoint)
+    unfolded = rollups.unfold(
+        spark.read.parquet(path).withColumn("start", F.col("window_start").cast("timestamp_ntz")),
+        ["start", "method", "status"],
+        REQUEST_LATENCY_BOUNDS,
+    )
+    return unfolded.withColumns({"sum": F.round("sum", 6), "avg": F.round("avg", 6)})
+
+
+@query
+def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs stored by the continuous check over a growing log, against the first week."""
+    path = _event_files(spark, sf_dir)
+    stream = views.as_predictions(_event_stream(spark, path, sf_dir)).withColumnRenamed(
+        "predicted_fare", "prediction"
+    )
+    reference = views.preds(spark, sf_dir).filter("ts < timestamp_ntz '2024-01-08 00:00:00'").select(
+        F.col("predicted_fare").alias("prediction"), "latency_ms", "k", "model_version"
+    )
+    config = monitor.MonitorConfig(
+        numeric=("latency_ms", "k", "prediction"),
+        categorical=("model_version",),
+        runs_path=scratch_path(spark, "drift-runs"),
+        alerts_path=scratch_path(spark, "drift-alerts"),
+        min_samples=1,
+    )
+    stream_drift_check.watch(
+        stream, written(reference, "reference"), scratch_path(spark, "log"), config, scratch_path(spark, "checkpoint")
+    )
+    return spark.read.parquet(config.runs_path).select(
+        "run_id",
+        "model_name",
+        F.col("ts").cast("timestamp_ntz").alias("ts"),
+        "current_sample_count",
+        *rounded("max_psi", "avg_psi", "prediction_psi"),
+        "drift_count",
+        "drift_detected",
+    )
