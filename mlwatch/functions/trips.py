@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 
@@ -113,17 +113,22 @@ def pack_stats() -> Column:
     return F.to_json(F.struct(*bins, *values))
 
 
-def unpack_stats(stats: str) -> list[Column]:
-    """Typed columns from packed statistics, missing keys replaced by their defaults.
+def unpack_stats(df: DataFrame, stats: str) -> DataFrame:
+    """Add typed columns from packed statistics, missing keys replaced by their defaults.
 
-    The day of week is not logged: it is rebuilt as Sunday for weekend trips and Tuesday otherwise.
+    The text is parsed once into a struct. The day of week is not logged: it is rebuilt as Sunday for
+    weekend trips and Tuesday otherwise.
     """
-    parsed = F.from_json(F.col(stats), STATS_SCHEMA)
-    columns = {
-        name: F.coalesce(parsed[name], F.lit(default)) for name, default in UNPACK_DEFAULTS.items()
-    }
-    columns["pickup_day_of_week"] = F.when(columns["is_weekend"] != 0, F.lit(1)).otherwise(F.lit(3))
-    return [column.alias(name) for name, column in columns.items()]
+    parsed = df.withColumn("__stats", F.from_json(F.col(stats), STATS_SCHEMA))
+    filled = parsed.withColumns(
+        {
+            name: F.coalesce(F.col(f"__stats.{name}"), F.lit(default))
+            for name, default in UNPACK_DEFAULTS.items()
+        }
+    ).drop("__stats")
+    return filled.withColumn(
+        "pickup_day_of_week", F.when(F.col("is_weekend") != 0, F.lit(1)).otherwise(F.lit(3))
+    )
 
 
 def feature_hash(names: list[str]) -> Column:

@@ -17,12 +17,14 @@ from mlwatch.operators.drift import (
     REFERENCE,
     _drift_rows,
     divergence_terms,
+    feature_drift,
     feature_moments,
     has_bin,
+    sided,
     with_bins,
 )
 from mlwatch.sources.shared import written
-from mlwatch.spec import DRIFT_BINS, EPSILON
+from mlwatch.spec import DRIFT_BINS
 
 # Pieces into which the values of one feature are cut for the sorted pass.
 PIECES = 64
@@ -260,13 +262,17 @@ def shared_reference_drift(
     by: list[str] | None = None,
     reference_by: list[str] | None = None,
     bins: int = DRIFT_BINS,
-    eps: float = EPSILON,
 ) -> DataFrame:
     """Feature drift of every current group; ``reference_by`` (a part of ``by``) keys the references.
 
     Same columns and values as :func:`mlwatch.operators.drift.feature_drift`.
     """
     by, reference_by, categorical = by or [], reference_by or [], categorical or []
+    if by == reference_by:  # nothing is shared: every group has a reference of its own
+        rows = sided(reference, current, [*by, *numeric, *categorical])
+        return feature_drift(rows, numeric, categorical, by, bins).filter(
+            "current_rows > 0" if by else "true"
+        )
     paired = shared_reference_pairs(reference, current, numeric, categorical, by, reference_by)
     sums = []
     if numeric:
@@ -279,7 +285,6 @@ def shared_reference_drift(
         terms = divergence_terms(
             share(F.col("reference_n"), F.col("reference_count")),
             share(F.col("current_n"), F.col("current_count")),
-            eps,
         )
         sums.append(
             counts.groupBy(*keys).agg(*[F.sum(term).alias(name) for name, term in terms.items()])

@@ -47,7 +47,7 @@ def lookup(
     side = dimension.select(
         F.col(dimension_key).alias("__lookup_key"), F.col(value).alias("__lookup_value")
     )
-    if side.limit(max_rows + 1).count() <= max_rows:
+    if side.count() <= max_rows:
         side = F.broadcast(side)
     found = F.col("__lookup_value")
     if missing is not None:

@@ -679,4 +679,13 @@ SQL: dict[str, str] = {
             for b in LATENCY_BOUNDS
         ]
     ),
+    "encode_assemble": _with(TRIPS, PREPARED) + """
+      select payment_type, count(*) as rows,
+             cast(max(8 + (select count(distinct "RatecodeID") + count(distinct payment_type)
+               + count(distinct pickup_borough) + count(distinct dropoff_borough) + 4 from prepared)) as int) as length,
+             round(avg(4 + cast(trip_distance <> 0 as int) + cast(passenger_count <> 0 as int)
+               + cast(pickup_hour <> 0 as int) + cast(pickup_day_of_week <> 0 as int)
+               + cast(pickup_month <> 0 as int) + cast(trip_duration_minutes <> 0 as int)
+               + is_weekend + is_rush_hour), 6) as filled
+      from prepared group by 1""",
 }

@@ -47,8 +47,7 @@ MOMENTS = ("reference_mean", "current_mean", "reference_std", "current_std")
 
 @query
 def feature_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.sided(spark, sf_dir, shifted=True)
-    return drift.feature_drift(rows, NUMERIC, CATEGORICAL).select(
+    return _drift(spark, sf_dir, NUMERIC, CATEGORICAL, shifted=True).select(
         "feature", *rounded(*DRIFT_VALUES), "severity", *rounded(*MOMENTS), "reference_rows", "current_rows"
     )
 
@@ -235,7 +234,7 @@ def pack_unpack_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     logged = views.preds(spark, sf_dir).select(
         F.col("request_id").alias("id"), F.lit(0).alias("part"), F.col("numeric_feature_stats").alias("stats")
     )
-    unpacked = packed.unionByName(logged).select("id", "part", *fn.unpack_stats("stats"))
+    unpacked = fn.unpack_stats(packed.unionByName(logged), "stats").drop("stats")
     return unpacked.withColumns(
         {
             "trip_distance": F.round(F.nanvl("trip_distance", F.lit(-1.0)), 6),
@@ -339,10 +338,11 @@ def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def quarantine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = validate.validate_rows(views.dirty(spark, sf_dir), views.SPEC)
+    rows = views.dirty(spark, sf_dir).select(*TRIP_SPEC.columns)
+    checked = written(validate.validate_rows(rows, views.SPEC), "checked")
     kept = validate.accepted(checked).agg(F.count(F.lit(1)).alias("failures"))
     failed = validate.failure_counts(validate.quarantined(checked))
-    values = validate.invalid_values(views.dirty(spark, sf_dir), views.SPEC).select(
+    values = validate.invalid_values(checked, views.SPEC).select(
         F.concat(F.lit("invalid:"), F.col("value")).alias("type"),
         F.col("column").alias("feature"),
         F.col("rows").alias("failures"),
@@ -383,11 +383,11 @@ def validate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(marker == 7, F.lit('"')).otherwise(F.lit('"}')),
     )
     checked = events.select("event_id", record.alias("record"))
-    errors = validate.json_errors("record", JSON_RULES)
-    codes = F.transform(errors, lambda e: F.concat(e["feature"], F.lit(":"), e["type"]))
+    checked = validate.validate_json(checked, "record", JSON_RULES)
+    codes = F.transform("errors", lambda e: F.concat(e["feature"], F.lit(":"), e["type"]))
     return checked.select(
         "event_id",
-        F.size(errors).alias("error_count"),
+        F.size("errors").alias("error_count"),
         F.array_join(F.array_sort(codes), ",").alias("codes"),
     )
 

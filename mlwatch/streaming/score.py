@@ -15,13 +15,17 @@ from mlwatch.streaming.runtime import run_to_end, write_batch
 def first_requests(
     requests: DataFrame, key: str = "request_id", ts: str = "ts", watermark: str = "1 hour"
 ) -> DataFrame:
-    """Each request once. Rows behind the watermark are late and dropped, repeats among them included."""
+    """Each request once.
+
+    Rows behind the watermark of the preceding micro-batch are late and dropped, repeats among them
+    included.
+    """
     return requests.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
 
 
 def checked_features(requests: DataFrame, stats: str, spec: FeatureSpec) -> DataFrame:
     """Requests with their features unpacked from JSON and the errors found in them."""
-    unpacked = requests.select(*requests.columns, *unpack_stats(stats))
+    unpacked = unpack_stats(requests, stats)
     checked = FeatureSpec(
         spec.numeric,
         spec.binary,
