@@ -131,9 +131,17 @@ def cap_by_key(df: DataFrame, keys: list[str], cap: int, rows: int | None = None
 
 
 def fixed_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """Exactly ``min(rows, count)`` rows without replacement, chosen by hashed key.
+    """Exactly ``min(rows, count)`` rows without replacement: those of the lowest hashed keys.
 
-    Runs as a top-k: each partition keeps at most ``rows`` candidates.
+    On a large table only rows under a hash limit that lets through about twice the wanted number reach
+    the final top-k, else every partition would send ``rows`` candidates to it. The limit is counted
+    first; should it let too few through, all rows take part.
     """
+    total = df.count()
+    candidates = df
+    if total > 4 * rows:
+        under = df.filter(key_hash(*keys) < int((2 * rows / total) * 2**32))
+        if under.count() >= rows:
+            candidates = under
     digest = F.md5(F.concat_ws("-", *[F.col(k).cast("string") for k in keys]))
-    return df.orderBy(digest, *keys).limit(rows)
+    return candidates.orderBy(digest, *keys).limit(rows)

@@ -26,8 +26,11 @@ def watch(
         spark = batch.sparkSession
         schema = batch.schema.add("date", "date").add("batch", "long")
         log = spark.read.schema(schema).parquet(log_path).filter(F.col("batch") <= batch_id)
-        newest = log.agg(F.max("ts").cast("string")).first()[0]
-        if newest is not None:
-            record_check(check_window(reference, log, newest, config), config)
+        last_date = log.filter(F.col("batch") == batch_id).agg(F.max("date")).first()[0]
+        if last_date is None:
+            return
+        # an earlier batch may have brought newer events: only dates from here on can hold them
+        newest = log.filter(F.col("date") >= F.lit(last_date)).agg(F.max("ts").cast("string"))
+        record_check(check_window(reference, log, newest.first()[0], config), config)
 
     run_to_end(stream.writeStream.foreachBatch(on_batch), checkpoint)
