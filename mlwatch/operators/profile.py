@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from mlwatch.functions.numbers import null_safe, number
 from mlwatch.operators.quantiles import exact_quantiles
 from mlwatch.sources.shared import written
+from mlwatch.spec import FeatureSpec
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -74,3 +75,39 @@ def categorical_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     )
     on = null_safe([counts["feature"]], [distinct["__feature"]])
     return counts.join(F.broadcast(distinct), on).drop("__feature")  # one row per named column
+
+
+def dataset_stats(df: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """The statistics kept with a training run, one per row: column, statistic, value.
+
+    Holds rows, columns and nulls per column; moments, range and median of numeric columns and the
+    target; the number of distinct values and their counts for categorical and binary columns.
+    """
+    df = df.select(*[c for c in spec.columns if c in df.columns])
+    numeric = [c for c in (*spec.numeric, spec.target) if c in df.columns]
+    discrete = [c for c in (*spec.categorical, *spec.binary) if c in df.columns]
+
+    def tall(frame: DataFrame, key: str, statistics: list[str]) -> DataFrame:
+        cells = [
+            F.struct(F.lit(name).alias("statistic"), F.col(name).cast("double").alias("value"))
+            for name in statistics
+        ]
+        return frame.select(F.col(key).alias("column"), F.explode(F.array(*cells)).alias("c")).select(
+            "column", "c.*"
+        )
+
+    counts = categorical_profile(df, discrete)
+    per_value = counts.select(
+        F.col("feature").alias("column"),
+        F.concat(F.lit("count of "), F.col("value")).alias("statistic"),
+        F.col("rows").cast("double").alias("value"),
+    )
+    distinct = counts.groupBy(F.col("feature").alias("column")).agg(
+        F.max("distinct_values").cast("double").alias("value")
+    ).select("column", F.lit("distinct_values").alias("statistic"), "value")
+    return (
+        tall(table_shape(df), "column", ["rows", "nulls"])
+        .unionByName(tall(numeric_profile(df, numeric), "feature", ["mean", "std", "min", "max", "median"]))
+        .unionByName(distinct)
+        .unionByName(per_value)
+    )

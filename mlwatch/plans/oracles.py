@@ -688,4 +688,49 @@ SQL: dict[str, str] = {
                + cast(pickup_month <> 0 as int) + cast(trip_duration_minutes <> 0 as int)
                + is_weekend + is_rush_hour), 6) as filled
       from prepared group by 1""",
+    "dataset_stats": _with(TRIPS) + _union(
+        [
+            f"select '{c.strip(chr(34))}' as \"column\", unnest(['rows', 'nulls']) as statistic, "
+            f"unnest([cast(count(*) as double), cast(count(*) filter ({c} is null) as double)]) as value from featured"
+            for c in _ALL
+        ]
+        + [
+            f"select '{c}', unnest(['mean', 'std', 'min', 'max', 'median']), unnest([round(avg({c}), 6), "
+            f"round(stddev_samp({c}), 6), round(cast(min({c}) as double), 6), round(cast(max({c}) as double), 6), "
+            f"round(quantile_cont(cast({c} as double), 0.5), 6)]) from featured"
+            for c in [*_ALL[:6], "fare_amount"]
+        ]
+        + [
+            f"select '{c.strip(chr(34))}', 'distinct_values', cast(count(distinct {c}) as double) from featured"
+            for c in _ALL[6:12]
+        ]
+        + [
+            f"select '{c.strip(chr(34))}', 'count of ' || cast({c} as varchar), cast(count(*) as double) from featured "
+            f"where {c} is not null group by {c}"
+            for c in _ALL[6:12]
+        ]
+    ),
+    "champion_history": _decided(SCORED, DECISIONS) + """
+      select model_name, decision_id, decided_at, challenger_version, promoted, champion_version as champion_held
+      from decisions""",
+    "prediction_latency": _with(EVENTS) + _union(
+        [
+            f"""select model_name, cast(model_version as varchar) as model_version, cast({b} as double) as bound,
+            count(*) filter (latency_ms/1000e0 <= {b}e0) as at_most, count(*) as count,
+            round(sum(latency_ms/1000e0), 6) as sum, round(avg(latency_ms/1000e0), 6) as avg
+            from preds group by 1, 2"""
+            for b in LATENCY_BOUNDS[:-2]
+        ]
+    ),
+    "metric_counters": _decided(*VERDICTS, SCORED, DECISIONS, TRIPS, CLEANED, _row_problems()) + """
+      select 'predictions' as metric, model_name || '|' || cast(model_version as varchar) || '|'
+               || cast(cast(round_even(predicted_fare, 0) as int) as varchar) as labels, count(*) as total
+      from preds group by 2
+      union all select 'drift_checks', model_name, count(*) from verdict group by 2
+      union all select 'drift_events', 'feature|' || case when max_psi >= 0.25 then 'high'
+               when max_psi >= 0.2 then 'medium' else 'low' end, count(*) from verdict where drift_detected group by 2
+      union all select 'promotions', coalesce(cast(champion_version as varchar), '') || '|'
+               || cast(challenger_version as varchar), count(*) from decisions where promoted group by 2
+      union all select 'validation_failures', '/predict|' || split_part(code, ':', 2), count(*)
+      from (select unnest(codes) as code from problems) group by 2""",
 }

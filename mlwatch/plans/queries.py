@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mlwatch.functions import requests as req, trips as fn
+from mlwatch.functions.severity import alert_severity
 from mlwatch.operators import (
     decide,
     drift,
@@ -22,7 +23,7 @@ from mlwatch.operators import (
 from mlwatch.plans import monitor, views
 from mlwatch.sources import files, history
 from mlwatch.sources.shared import scratch_path, written
-from mlwatch.spec import REQUEST_LATENCY_BOUNDS, Rule, TRIP_SPEC
+from mlwatch.spec import PREDICTION_LATENCY_BOUNDS, REQUEST_LATENCY_BOUNDS, Rule, TRIP_SPEC
 from mlwatch.streaming import drift as stream_drift_check, runtime, score as stream_score, windows as stream_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -416,6 +417,12 @@ def profile_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(views.featured(spark, sf_dir).select(*TRIP_SPEC.columns), "features")
+    return profile.dataset_stats(rows, TRIP_SPEC).withColumn("value", F.round("value", 6))
+
+
 # ---- drift
 
 
@@ -656,6 +663,15 @@ def production_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide.production_alias(decisions).join(newest, "model_name")
 
 
+@query
+def champion_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who was champion at each recorded decision, read back from the decisions alone."""
+    recorded = _decisions(spark, sf_dir).select(
+        "model_name", "decision_id", "decided_at", "challenger_version", "promoted"
+    )
+    return decide.champion_before(recorded)
+
+
 @query
 def recent_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten newest decisions with the drift and retraining run they belong to."""
@@ -724,6 +740,53 @@ def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolled.withColumns({"sum": F.round("sum", 6), "avg": F.round("avg", 6)})
 
 
+@query
+def prediction_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latency histogram of the prediction log, in seconds."""
+    rows = views.preds(spark, sf_dir).withColumn("latency_seconds", F.col("latency_ms") / 1000.0)
+    rolled = rollups.histogram(
+        rows, "latency_seconds", ["model_name", "model_version"], PREDICTION_LATENCY_BOUNDS
+    )
+    return rolled.withColumns({"sum": F.round("sum", 6), "avg": F.round("avg", 6)})
+
+
+@query
+def metric_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions by label, drift checks and events, promotions, and validation failures."""
+    predictions = rollups.counter(
+        views.preds(spark, sf_dir).withColumn("prediction", fn.score_label(F.col("predicted_fare"))),
+        ["model_name", "model_version", "prediction"],
+    )
+    runs = written(_model_days(spark, sf_dir), "drift-runs")
+    checks = rollups.counter(runs, ["model_name"])
+    events = rollups.counter(
+        runs.filter("drift_detected").withColumns(
+            {"drift_type": F.lit("feature"), "severity": alert_severity(F.col("max_psi"))}
+        ),
+        ["drift_type", "severity"],
+    )
+    promotions = rollups.counter(
+        _decisions(spark, sf_dir).filter("promoted"), ["champion_version", "challenger_version"]
+    )
+    checked = validate.validate_rows(views.dirty(spark, sf_dir), views.SPEC)
+    failures = rollups.counter(
+        checked.select(F.lit("/predict").alias("endpoint"), F.explode("errors.type").alias("failure_type")),
+        ["endpoint", "failure_type"],
+    )
+
+    def named(metric: str, frame: DataFrame) -> DataFrame:
+        labels = F.concat_ws("|", *[c for c in frame.columns if c != "total"])
+        return frame.select(F.lit(metric).alias("metric"), labels.alias("labels"), "total")
+
+    return (
+        named("predictions", predictions)
+        .unionByName(named("drift_checks", checks))
+        .unionByName(named("drift_events", events))
+        .unionByName(named("promotions", promotions))
+        .unionByName(named("validation_failures", failures))
+    )
+
+
 @query
 def gauge_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last latency of every model version, and a gauge replayed from set/inc/dec events."""

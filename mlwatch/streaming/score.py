@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from mlwatch.functions.trips import baseline_fare, feature_hash, unpack_stats
 from mlwatch.operators.validate import row_errors
@@ -23,6 +23,11 @@ def first_requests(
     return requests.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
 
 
+def score_baseline(features: DataFrame) -> DataFrame:
+    """Scores by tariff, for when there is no model."""
+    return features.withColumn("predicted_fare", baseline_fare())
+
+
 def checked_features(requests: DataFrame, stats: str, spec: FeatureSpec) -> DataFrame:
     """Requests with their features unpacked from JSON and the errors found in them."""
     unpacked = unpack_stats(requests, stats)
@@ -44,19 +49,17 @@ def score_log(
     stats: str = "numeric_feature_stats",
     spec: FeatureSpec = TRIP_SPEC,
     watermark: str = "1 hour",
-    score: Callable[[], Column] = baseline_fare,
+    score: Callable[[DataFrame], DataFrame] = score_baseline,
 ) -> None:
     """Run the scoring stream over everything available.
 
-    Per micro-batch the requests are checked and scored in one pass, and written to the log or the
+    ``score`` adds ``predicted_fare``: the tariff, or a saved model's transform. Per micro-batch the requests are checked and scored in one pass, and written to the log or the
     quarantine under the batch's own folder, which makes a retried batch replace itself.
     """
     unique = first_requests(requests, watermark=watermark)
     checked = checked_features(unique, stats, spec)
     names = [c for c in spec.features if c in checked.columns]
-    scored = checked.withColumns(
-        {"predicted_fare": score(), "feature_hash": feature_hash(names)}
-    )
+    scored = score(checked.withColumn("feature_hash", feature_hash(names)))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
