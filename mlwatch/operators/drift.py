@@ -156,6 +156,8 @@ def binned_counts(
     keys = [*by, "side"]
     if numeric:
         bounds = ranges.withColumnsRenamed({k: f"__{k}" for k in keys})
+        if not by:
+            bounds = F.broadcast(bounds)  # two rows, one per side
         rows = rows.join(
             bounds, null_safe([rows[k] for k in keys], [bounds[f"__{k}"] for k in keys])
         )

@@ -92,8 +92,11 @@ def values_below(
         ),
         "drift-points",
     )
-    cuts = both.groupBy(*keys).agg(
-        F.percentile_approx("x", [i / pieces for i in range(1, pieces)], 10 * pieces).alias("cuts")
+    cuts = written(
+        both.groupBy(*keys).agg(
+            F.percentile_approx("x", [i / pieces for i in range(1, pieces)], 10 * pieces).alias("cuts")
+        ),
+        "drift-cuts",
     )
     placed = _join(both, cuts, keys).withColumn(
         "piece", F.size(F.filter("cuts", lambda cut: cut <= F.col("x")))
@@ -152,9 +155,8 @@ def reference_counts(
     next_below = F.coalesce(
         F.get("below", F.col("bin") + 1), F.col("reference_count")
     )
-    return per_group.select(
-        *by, "feature", "reference_count", "below", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-    ).select(
+    every_bin = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+    return per_group.select(*by, "feature", "reference_count", "below", every_bin).select(
         *by, "feature", "bin", (next_below - F.get("below", F.col("bin"))).alias("reference_n")
     )
 

@@ -24,7 +24,8 @@ from mlwatch.plans import monitor, views
 from mlwatch.sources import files, history
 from mlwatch.sources.shared import scratch_path, written
 from mlwatch.spec import PREDICTION_LATENCY_BOUNDS, REQUEST_LATENCY_BOUNDS, Rule, TRIP_SPEC
-from mlwatch.streaming import drift as stream_drift_check, runtime, score as stream_score, windows as stream_windows
+from mlwatch.streaming import drift as stream_drift_check, runtime
+from mlwatch.streaming import score as stream_score, windows as stream_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,7 +136,8 @@ def reference_register(spark: SparkSession, sf_dir: str) -> DataFrame:
             f"references/{name}",
         )
         history.append_unique(entry, path, "name", "created_at")
-    stats = "struct<trip_distance:struct<mean:double,min:double,max:double>,fare_amount:struct<mean:double,min:double,max:double>>"
+    moments = "struct<mean:double,min:double,max:double>"
+    stats = f"struct<trip_distance:{moments},fare_amount:{moments}>"
     return (
         history.active_reference(history.read_history(spark, path))
         .withColumn("s", F.from_json("dataset_stats", stats))
@@ -201,7 +203,10 @@ def feature_target_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = prepare.categories_as_text(features)
     widths = text.agg(
         *[F.sum(F.length(c)).cast("double").alias(c) for c in TRIP_SPEC.categorical],
-        *[F.round(F.sum(c), 2).cast("double").alias(c) for c in (*TRIP_SPEC.numeric, *TRIP_SPEC.binary)],
+        *[
+            F.round(F.sum(c), 2).cast("double").alias(c)
+            for c in (*TRIP_SPEC.numeric, *TRIP_SPEC.binary)
+        ],
     )
     cells = [
         F.struct(F.lit(c).alias("column"), F.col(c).alias("total")) for c in TRIP_SPEC.features
@@ -246,7 +251,7 @@ def pack_unpack_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def feature_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["passenger_count", "RatecodeID", "payment_type", "pickup_borough", "dropoff_borough", "pickup_hour"]
+    names = [*TRIP_SPEC.categorical, "passenger_count", "pickup_hour"]
     return views.featured(spark, sf_dir).select(
         *views.KEYS,
         fn.feature_hash(names).alias("feature_hash"),
@@ -651,7 +656,7 @@ def champion_challenger(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = evaluate.compare_scores(
         rows, "fare_amount", "champion", "challenger", by=["payment_type"]
     )
-    return metrics.select(*[c if c == "payment_type" else F.round(c, 6).alias(c) for c in metrics.columns])
+    return metrics.select("payment_type", *rounded(*metrics.columns[1:]))
 
 
 @query
@@ -696,11 +701,16 @@ def recent_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         status.alias("status"),
         decide.run_outcome(status).alias("outcome"),
     )
-    linked = decide.lineage(runs, drift_runs, decisions.select("decision_id", "promoted", "primary_metric_improvement"))
+    outcomes = decisions.select("decision_id", "promoted", "primary_metric_improvement")
+    linked = decide.lineage(runs, drift_runs, outcomes)
     newest = decide.recent_decisions(decisions)
     return newest.join(
         linked.select(
-            F.col("promotion_decision_id").alias("decision_id"), "status", "outcome", "drift_max_psi", "drift_count"
+            F.col("promotion_decision_id").alias("decision_id"),
+            "status",
+            "outcome",
+            "drift_max_psi",
+            "drift_count",
         ),
         "decision_id",
     ).withColumns(
@@ -727,8 +737,16 @@ def counter_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _endpoints(spark, sf_dir)
     requests = rollups.counter(rows, ["method", "endpoint", "status"])
     errors = rollups.counter(rows.filter("error_type is not null"), ["endpoint", "error_type"])
-    return requests.select(F.lit("requests").alias("metric"), "method", "endpoint", F.col("status").alias("label"), "total").unionByName(
-        errors.select(F.lit("errors").alias("metric"), F.lit("").alias("method"), "endpoint", F.col("error_type").alias("label"), "total")
+    return requests.select(
+        F.lit("requests").alias("metric"), "method", "endpoint", F.col("status").alias("label"), "total"
+    ).unionByName(
+        errors.select(
+            F.lit("errors").alias("metric"),
+            F.lit("").alias("method"),
+            "endpoint",
+            F.col("error_type").alias("label"),
+            "total",
+        )
     )
 
 
@@ -770,7 +788,9 @@ def metric_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     checked = validate.validate_rows(views.dirty(spark, sf_dir), views.SPEC)
     failures = rollups.counter(
-        checked.select(F.lit("/predict").alias("endpoint"), F.explode("errors.type").alias("failure_type")),
+        checked.select(
+            F.lit("/predict").alias("endpoint"), F.explode("errors.type").alias("failure_type")
+        ),
         ["endpoint", "failure_type"],
     )
 
@@ -815,7 +835,7 @@ def encode_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = train.encode(written(ready, "features"), views.SPEC)
     size = F.size(vector_to_array("features"))
     filled = F.size(F.filter(vector_to_array("features"), lambda v: v != 0))
-    return encoded.groupBy("payment_type").agg(
+    return encoded.groupBy(F.col("payment_type").cast("int").alias("payment_type")).agg(
         F.count(F.lit(1)).alias("rows"), F.max(size).alias("length"), F.round(F.avg(filled), 6).alias("filled")
     )
 
@@ -833,7 +853,9 @@ def train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     train.save_version(model, root, "fare", 1)
     scored = train.score_or_baseline(spark, testing, root, "fare", 1, views.SPEC)
     by_type = evaluate.regression_metrics(scored, "fare_amount", "predicted_fare", by=["payment_type"])
-    overall = metrics.select(F.lit("all").alias("payment_type"), F.col("test_samples").alias("samples"), "rmse", "mae", "r2", "mape")
+    overall = metrics.select(
+        F.lit("all").alias("payment_type"), F.col("test_samples").alias("samples"), "rmse", "mae", "r2", "mape"
+    )
     return by_type.unionByName(overall)
 
 
@@ -846,7 +868,8 @@ def _event_files(spark: SparkSession, sf_dir: str) -> str:
     events = views.table(spark, sf_dir, "events")
     path = scratch_path(spark, "event-files")
     days = ("2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2025-01-01")
-    steps = [(F.lit(a).cast("timestamp_ntz"), F.lit(b).cast("timestamp_ntz")) for a, b in zip(days, days[1:])]
+    bounds = [F.lit(day).cast("timestamp_ntz") for day in days]
+    steps = list(zip(bounds, bounds[1:]))
     repeat = F.expr("interval 1 day")
     for i, (start, end) in enumerate([*steps, steps[1]]):
         from_ts = start - repeat if 0 < i < len(steps) else start
@@ -947,9 +970,8 @@ def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
         alerts_path=scratch_path(spark, "drift-alerts"),
         min_samples=1,
     )
-    stream_drift_check.watch(
-        stream, written(reference, "reference"), scratch_path(spark, "log"), config, scratch_path(spark, "checkpoint")
-    )
+    log, checkpoint = scratch_path(spark, "log"), scratch_path(spark, "checkpoint")
+    stream_drift_check.watch(stream, written(reference, "reference"), log, config, checkpoint)
     return spark.read.parquet(config.runs_path).select(
         "run_id",
         "model_name",

@@ -53,8 +53,9 @@ def score_log(
 ) -> None:
     """Run the scoring stream over everything available.
 
-    ``score`` adds ``predicted_fare``: the tariff, or a saved model's transform. Per micro-batch the requests are checked and scored in one pass, and written to the log or the
-    quarantine under the batch's own folder, which makes a retried batch replace itself.
+    ``score`` adds ``predicted_fare``: the tariff, or a saved model's transform. Per micro-batch the
+    requests are checked and scored in one pass, and written to the log or the quarantine under the
+    batch's own folder, which makes a retried batch replace itself.
     """
     unique = first_requests(requests, watermark=watermark)
     checked = checked_features(unique, stats, spec)

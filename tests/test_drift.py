@@ -180,6 +180,29 @@ def test_shared_reference_without_keys_equals_plain_drift(spark):
     assert [r.psi for r in one] == pytest.approx([r.psi for r in two])
 
 
+def test_shuffled_joins_give_the_same_result(spark):
+    """Beyond the broadcast threshold: the joins go by shuffle, the values stay."""
+    reference, current = grouped(spark)
+
+    def results():
+        plain = feature_drift(sided(reference, current, ["model", "v", "c"]), ["v"], ["c"], ["model"])
+        shared = shared_reference_drift(
+            reference, current, ["v"], ["c"], by=["model", "day"], reference_by=["model"]
+        )
+        return [
+            sorted((str(r.model), r.feature, round(r.psi, 9), r.current_rows) for r in frame.collect())
+            for frame in (plain, shared)
+        ]
+
+    expected = results()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert results() == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 @pytest.mark.parametrize("pieces", [2, 7, 64])
 def test_values_below(spark, pieces):
     rng = np.random.default_rng(3)
