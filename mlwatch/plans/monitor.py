@@ -30,12 +30,17 @@ class MonitorConfig:
 
 
 def check_window(
-    reference: DataFrame, log: DataFrame, as_of: str | datetime, config: MonitorConfig
+    reference: DataFrame,
+    log: DataFrame,
+    as_of: str | datetime,
+    config: MonitorConfig,
+    check: int = 0,
 ) -> DataFrame:
     """Verdict per model for the trailing window of the log that ends at ``as_of``.
 
-    Features absent from either table are left out. The run id comes from model and window end, so a
-    repeated check gives the same row.
+    Features absent from either table are left out. The run id comes from model, window end and
+    ``check`` (which tells apart checks of one window, as when late rows reach it), so a check that is
+    repeated gives the same row.
     """
     window = trailing_window(log, "ts", as_of, config.hours)
     shared = set(reference.columns) & set(log.columns)
@@ -52,7 +57,8 @@ def check_window(
         drift_verdict(drift, by=["model_name"], min_samples=config.min_samples)
         .withColumn("window_start", end - F.make_dt_interval(F.lit(0), F.lit(config.hours)))
         .withColumn("ts", end)
-        .withColumn("run_id", stable_id(F.col("model_name"), F.col("ts")))
+        .withColumn("check", F.lit(check).cast("bigint"))
+        .withColumn("run_id", stable_id(F.col("model_name"), F.col("ts"), F.col("check")))
     )
 
 

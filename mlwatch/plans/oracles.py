@@ -733,4 +733,20 @@ SQL: dict[str, str] = {
                || cast(challenger_version as varchar), count(*) from decisions where promoted group by 2
       union all select 'validation_failures', '/predict|' || split_part(code, ':', 2), count(*)
       from (select unnest(codes) as code from problems) group by 2""",
+    "stream_drift": _with(
+        EVENTS,
+        """named as (select * rename (predicted_fare as prediction) from preds),
+        ref as (select * from named where ts < timestamp '2024-01-08'),
+        cur as (select * from named where ts >= (select max(ts) from named) - interval 24 hour)""",
+        _window_ctes("ref", "cur", ["latency_ms", "k", "prediction"], ["model_version"], ["model_name"], []),
+    ) + """
+      select hash_key as model_name, (select max(ts) from events) as ts, max(rows_r) as reference_sample_count,
+             max(rows_c) as current_sample_count,
+             round(max(psi) filter (feature <> 'prediction'), 6) as max_psi,
+             round(avg(psi) filter (feature <> 'prediction'), 6) as avg_psi,
+             round(max(psi) filter (feature = 'prediction'), 6) as prediction_psi,
+             coalesce(string_agg(feature, ',' order by position) filter (psi >= 0.2), '') as features_with_drift,
+             cast(count(*) filter (psi >= 0.2) as int) as drift_count, count(*) filter (psi >= 0.2) >= 3 as drift_detected,
+             max(psi) filter (feature = 'prediction') >= 0.15 as prediction_drift_detected
+      from drift group by hash_key""",
 }

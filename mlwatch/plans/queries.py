@@ -955,14 +955,10 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs stored by the continuous check over a growing log, against the first week."""
-    path = _event_files(spark, sf_dir)
-    stream = views.as_predictions(_event_stream(spark, path, sf_dir)).withColumnRenamed(
-        "predicted_fare", "prediction"
-    )
-    reference = views.preds(spark, sf_dir).filter("ts < timestamp_ntz '2024-01-08 00:00:00'").select(
-        F.col("predicted_fare").alias("prediction"), "latency_ms", "k", "model_version"
-    )
+    """The last verdicts of the continuous check over a growing log, against the first week."""
+    events = _event_stream(spark, _event_files(spark, sf_dir), sf_dir)
+    stream = stream_score.first_requests(views.as_predictions(events), watermark="10 days")
+    reference = views.preds(spark, sf_dir).filter("ts < timestamp_ntz '2024-01-08 00:00:00'")
     config = monitor.MonitorConfig(
         numeric=("latency_ms", "k", "prediction"),
         categorical=("model_version",),
@@ -970,14 +966,25 @@ def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
         alerts_path=scratch_path(spark, "drift-alerts"),
         min_samples=1,
     )
-    log, checkpoint = scratch_path(spark, "log"), scratch_path(spark, "checkpoint")
-    stream_drift_check.watch(stream, written(reference, "reference"), log, config, checkpoint)
-    return spark.read.parquet(config.runs_path).select(
-        "run_id",
+    stream_drift_check.watch(
+        stream.withColumnRenamed("predicted_fare", "prediction"),
+        written(reference.withColumnRenamed("predicted_fare", "prediction"), "reference"),
+        scratch_path(spark, "log"),
+        config,
+        scratch_path(spark, "checkpoint"),
+    )
+    runs = spark.read.parquet(config.runs_path)
+    last = runs.groupBy("model_name").agg(
+        F.max_by(F.struct(*[c for c in runs.columns if c != "model_name"]), "check").alias("r")
+    )
+    return last.select("model_name", "r.*").select(
         "model_name",
         F.col("ts").cast("timestamp_ntz").alias("ts"),
+        "reference_sample_count",
         "current_sample_count",
         *rounded("max_psi", "avg_psi", "prediction_psi"),
+        F.array_join("features_with_drift", ",").alias("features_with_drift"),
         "drift_count",
         "drift_detected",
+        "prediction_drift_detected",
     )

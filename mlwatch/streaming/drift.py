@@ -31,6 +31,7 @@ def watch(
             return
         # an earlier batch may have brought newer events: only dates from here on can hold them
         newest = log.filter(F.col("date") >= F.lit(last_date)).agg(F.max("ts").cast("string"))
-        record_check(check_window(reference, log, newest.first()[0], config), config)
+        verdict = check_window(reference, log, newest.first()[0], config, check=batch_id)
+        record_check(verdict, config)
 
     run_to_end(stream.writeStream.foreachBatch(on_batch), checkpoint)

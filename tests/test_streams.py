@@ -90,12 +90,12 @@ def test_drift_stream_equals_batch(spark, sf):
     stream_drift.watch(stream, reference, scratch_path(spark, "log"), config, scratch_path(spark, "point"))
     found = {(r.run_id, round(r.max_psi, 9), r.current_sample_count) for r in spark.read.parquet(config.runs_path).collect()}
     expected = set()
-    for until in ("2024-01-12", "2024-01-20", "2024-02-01"):
+    for check, until in enumerate(("2024-01-12", "2024-01-20", "2024-02-01")):
         seen = log.filter(F.col("ts") < until)
         end = seen.agg(F.max("ts").cast("string")).first()[0]
         expected |= {
             (r.run_id, round(r.max_psi, 9), r.current_sample_count)
-            for r in monitor.check_window(reference, seen, end, config).collect()
+            for r in monitor.check_window(reference, seen, end, config, check).collect()
         }
     assert found == expected and len(found) >= 3
     alerts = spark.read.parquet(config.alerts_path) if any(
