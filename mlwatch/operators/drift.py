@@ -204,7 +204,7 @@ def divergence_terms(reference_share: Column, current_share: Column, eps: float
     }
 
 
-def _drift_rows(paired: DataFrame, sums: DataFrame, by: list[str]) -> DataFrame:
+def drift_rows(paired: DataFrame, sums: DataFrame, by: list[str]) -> DataFrame:
     """Final feature table from the moments and the summed terms."""
     keys = [*by, "feature"]
     right = sums.select(
@@ -294,7 +294,7 @@ def feature_drift(
     paired = measured_pairs(rows, numeric, categorical, by)
     ranges = group_ranges(paired, numeric, by) if numeric else None
     counts = binned_counts(rows, ranges, numeric, categorical, by, bins)
-    return _drift_rows(paired, _summed_terms(counts, paired, by), by)
+    return drift_rows(paired, _summed_terms(counts, paired, by), by)
 
 
 def _summed_terms(counts: DataFrame, paired: DataFrame, by: list[str]) -> DataFrame:

@@ -15,7 +15,7 @@ from mlwatch.functions.numbers import null_safe, number, share
 from mlwatch.operators.drift import (
     CURRENT,
     REFERENCE,
-    _drift_rows,
+    drift_rows,
     divergence_terms,
     feature_drift,
     feature_moments,
@@ -294,4 +294,4 @@ def shared_reference_drift(
     if categorical:
         sums.append(_category_psi(reference, current, paired, categorical, by, reference_by))
     total = sums[0] if len(sums) == 1 else sums[0].unionByName(sums[1])
-    return _drift_rows(paired, total, by)
+    return drift_rows(paired, total, by)

@@ -13,14 +13,26 @@ from mlwatch.streaming.runtime import run_to_end, write_batch
 
 
 def first_requests(
-    requests: DataFrame, key: str = "request_id", ts: str = "ts", watermark: str = "1 hour"
+    requests: DataFrame,
+    key: str = "request_id",
+    ts: str = "ts",
+    watermark: str = "1 hour",
+    salts: int = 8,
 ) -> DataFrame:
     """Each request once.
 
     Rows behind the watermark of the preceding micro-batch are late and dropped, repeats among them
-    included.
+    included. A stateful step takes all copies of a key to one task, so with ``salts`` > 1 the copies are
+    first thinned out in that many places, by input partition, and at most that many meet.
     """
-    return requests.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
+    marked = requests.withWatermark(ts, watermark)
+    if salts > 1:
+        marked = (
+            marked.withColumn("__salt", F.spark_partition_id() % salts)
+            .dropDuplicatesWithinWatermark([key, "__salt"])
+            .drop("__salt")
+        )
+    return marked.dropDuplicatesWithinWatermark([key])
 
 
 def score_baseline(features: DataFrame) -> DataFrame:

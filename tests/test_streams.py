@@ -44,6 +44,23 @@ def test_score_log(spark):
     assert [(r.request_id, r.errors[0].type) for r in rejected] == [(2, "value_above_maximum")]
 
 
+@pytest.mark.parametrize("salts", [1, 4])
+def test_many_copies_of_one_request(spark, salts):
+    copies = [request(1, f"01 10:{m:02d}:{x:02d}") for m in range(20) for x in range(10)]
+    path = scratch_path(spark, "feed")
+    for part in (copies[:100] + [request(2, "01 10:01:00")], copies[100:] + [request(3, "01 10:30:00")]):
+        spark.createDataFrame(part, SCHEMA).select(
+            "request_id", F.col("at").cast("timestamp").alias("ts"), "numeric_feature_stats"
+        ).repartition(4).write.mode("append").parquet(path)
+    stream = runtime.read_files(spark, path, spark.read.parquet(path).schema, files_per_trigger=4)
+    out = scratch_path(spark, "out")
+    runtime.run_to_end(
+        score.first_requests(stream, salts=salts).writeStream.format("parquet").option("path", out),
+        scratch_path(spark, "point"),
+    )
+    assert sorted(r.request_id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
 def test_retried_batch_replaces_itself(spark):
     path = scratch_path(spark, "log")
     batch = spark.createDataFrame([(1, datetime(2024, 1, 1))], "id int, ts timestamp")
