@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mlwatch.sources.shared import discard, written
@@ -10,16 +10,15 @@ from mlwatch.sources.shared import discard, written
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node hangs its larger neighbours on the smallest node it knows."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+    return edges.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node hangs itself and its smaller neighbours on the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    least = F.min("v").over(Window.partitionBy("u").orderBy("v"))
+    pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+    return edges.withColumn("m", least).select(F.inline(pairs)).filter("u <> v").distinct()
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -29,8 +28,8 @@ def _signature(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node with a neighbour.
 
-    Each round is grouped minima (combined before the shuffle) and equi-joins, which adaptive execution splits
-    at hub nodes; nothing is gathered per node. A round's edges are written to the shared folder, the round
+    A round is grouped minima (combined before the shuffle), an equi-join, which adaptive execution splits at the
+    roots that many nodes hang on, and a running minimum; nothing is gathered per node. A round's edges are written to the shared folder, the round
     before is removed, and the loop ends when a round changes nothing. Null ends and loops are no edges;
     repeated edges count once; no edges give no rows.
     """
