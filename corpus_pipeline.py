@@ -1,12 +1,21 @@
-"""A corpus made ready for training: near duplicates removed (further stages follow)."""
+"""A corpus made ready for training: good documents, one of each near-duplicate group, without secrets, mixed by
+source, as tokens.
+
+Every stage judges its own input: all rows that the stage before it kept, read again from Parquet.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mlwatch.llm import simhash
+from mlwatch.llm import bpe, mixing, quality, secret_scan, simhash
 from mlwatch.llm.rows import table
-from mlwatch.sources.shared import written
+from mlwatch.sources.shared import discard, written
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +23,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.one_of_each_group(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets give way to marks; every document stays."""
+    return secret_scan.without_secrets(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the order of a mixture by target weights: files are ranges of it; every document stays."""
+    return mixing.in_mixed_order(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document (little-endian unsigned 32-bit integers), in the order of the mixture."""
+    found = bpe.encode(docs.select("doc_id", "text"))
+    return found.select("doc_id", "n_tokens", "ids")
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near_duplicates", near_duplicates),
+    ("secrets", no_secrets),
+    ("mixing", mixed_sources),
+    ("tokens", tokens),
+]
 
 # No stage can be stated in SQL: tests/llm compare each with a brute-force version.
 ORACLE_SQL = None
@@ -24,5 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each on the written result of the one before."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
