@@ -25,6 +25,7 @@ PARTS = 1000
 FLATTEN = 0.5
 # Rows of a source are ranked in so many stretches of the hash, each by a task of its own.
 STRETCHES = 1 << 12
+COLUMNS = ("__block", "__release", "__deadline", "__slot", "__position")
 
 
 def period(parts: dict[str, int]) -> list[str]:
@@ -94,11 +95,17 @@ def mix(
     from the start of the block's phase. Positions are unique and ascend with the slot; they have gaps
     only where a source's last block is short. Rows are ordered within a source by a hash of the id, ties by id;
     rows equal in both share no position, in any order. Every row stays, with all its columns; null sources are a
-    source; an empty table stays empty.
+    source; an empty table stays empty. Columns of the added names are replaced.
 
     One count per source meets the driver: sources are the bounded list that weights are given for.
     """
-    named = docs.select("*", _source(source_col).alias("__source"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("__hash"))
+    docs = docs.drop(*COLUMNS)
+    named = docs.select(
+        F.struct("*").alias("__row"),
+        F.col(id_col).alias("__id"),
+        _source(source_col).alias("__source"),
+        F.xxhash64(F.lit(seed), F.col(id_col)).alias("__hash"),
+    )
     shift = 64 - (stretches.bit_length() - 1)
     named = named.withColumn("__stretch", F.shiftrightunsigned("__hash", shift))
     sizes = written(named.groupBy("__source", "__stretch").agg(F.count("*").alias("__n")), "mix-sizes")
@@ -115,11 +122,12 @@ def mix(
 
     before = Window.partitionBy("__source").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__source", "__stretch", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    own = Window.partitionBy("__source", "__stretch").orderBy("__hash", id_col)
+    own = Window.partitionBy("__source", "__stretch").orderBy("__hash", "__id")
     ranked = named.withColumn("__rank", F.row_number().over(own) - 1).join(starts, ["__source", "__stretch"])
     ranked = ranked.withColumn("__index", F.col("__start") + F.col("__rank"))
     ranked = ranked.withColumn("__block", F.floor(F.col("__index") / block_rows))
-    ends = phases.groupBy("__source").agg(F.array_sort(F.collect_list(F.struct("__to", "__from", "__parts", "__period", "__at", "__places"))).alias("__phases"))
+    phase = F.struct("__to", "__from", "__parts", "__period", "__at", "__places")
+    ends = phases.groupBy("__source").agg(F.array_sort(F.collect_list(phase)).alias("__phases"))
     placed = ranked.join(F.broadcast(ends), "__source").withColumn(
         "__p", F.filter("__phases", lambda p: p["__to"] > F.col("__block"))[0]
     )
@@ -128,7 +136,7 @@ def mix(
     place = F.get("__p.__places", (j % parts).cast("int"))
     slot = F.col("__p.__at") + F.floor(j / parts) * slots + place
     return placed.select(
-        *docs.columns,
+        "__row.*",
         "__block",
         F.floor(j * slots / parts).alias("__release"),
         F.ceil((j + 1) * slots / parts).alias("__deadline"),

@@ -81,7 +81,7 @@ def covering_masks(radius: int = RADIUS) -> list[int]:
 
 def bucket_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that join the fingerprints of one bucket as all its close pairs would: a tree per component."""
-    left, links = np.unique(values.view(np.uint64)), []
+    left, links = np.unique(values).view(np.uint64), []  # in the order of signed longs: trees hang on the least
     while len(left) > 1:
         frontier, left = [left[0]], left[1:]
         while frontier and len(left):

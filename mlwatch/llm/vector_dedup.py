@@ -128,6 +128,7 @@ def _linked(groups: DataFrame, threshold: float) -> DataFrame:
                     rows = np.flatnonzero(lengths == size)
                     if len(rows) < 2:
                         continue
+                    rows = rows[np.argsort(ids[rows])]  # trees then hang on small ids
                     block = v_flat[v_ends[:-1][rows][:, None] + np.arange(size)].astype(np.float64)
                     counts, tree = _compare(
                         ids[rows], sizes[rows], block, keys[rows], blocks[rows], mask, threshold
