@@ -199,7 +199,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
             for at in range(0, len(texts), 256):
                 x = np.stack([features(t, classes) for t in texts[at : at + 256].to_pylist()])
                 scores.append(scorer.probability(x))
-            all_scores = np.concatenate(scores) if scores else np.zeros(0)
+            all_scores = np.concatenate(scores).astype(np.float64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(all_scores), pa.array((all_scores >= 0.5).astype(np.int32))],
                 [id_col, "score", "predicted"],
