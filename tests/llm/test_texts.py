@@ -137,7 +137,8 @@ def plain_spans(text):
     return sorted(out, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
 
 
-def test_base_spans_of_documents(spark, sf):
+def test_base_spans_of_documents(spark):
+    sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text or "" for r in table(spark, sf, "documents").collect()}
     seen = 0
     for r in secret_scan.op7_secret_scan(spark, sf).collect():
