@@ -21,11 +21,13 @@ from mlwatch.llm.rows import table
 from mlwatch.llm.vector_dedup import usable
 from mlwatch.sources.shared import written
 
-SHARD_ROWS = 8192
+SHARD_ROWS = 4096
 QUERY_BLOCK = 2048
-DEGREE = 20
-EF_BUILD = 120
-EF_SEARCH = 300
+DEGREE = 16
+EF_BUILD = 80
+EF_SEARCH = 160
+# Nodes that a search opens at once.
+STEP = 4
 
 
 class Graph:
@@ -88,7 +90,7 @@ class Graph:
 
     def search_level(self, q: np.ndarray, start: list[int], ef: int, level: int) -> list[tuple[float, int]]:
         """Up to ``ef`` (similarity, node) pairs found near q from ``start``, nearest first."""
-        vectors, links, filled = self.vectors, self.links[level], self.filled[level]
+        vectors, links = self.vectors, self.links[level]
         seen = np.zeros(len(vectors), bool)
         seen[start] = True
         best = [(float(s), x) for s, x in zip(vectors[start] @ q, start)]
@@ -98,11 +100,14 @@ class Graph:
         while len(best) > ef:
             heapq.heappop(best)
         while todo:
-            far, at = heapq.heappop(todo)
-            if len(best) >= ef and -far < best[0][0]:
+            nodes: list[int] = []
+            while todo and len(nodes) < STEP and (len(best) < ef or -todo[0][0] >= best[0][0]):
+                nodes.append(heapq.heappop(todo)[1])
+            if not nodes:
                 break
-            near = links[at, : filled[at]]
-            near = near[~seen[near]]
+            near = links[nodes].ravel()
+            near = near[near >= 0]
+            near = np.unique(near[~seen[near]])
             if not len(near):
                 continue
             seen[near] = True
@@ -171,6 +176,11 @@ def _unpacked(data: bytes) -> dict:
         return {k: found[k] for k in found.files}
 
 
+def _tasks(shards: int) -> int:
+    """Partitions for so many shards: small ones are not merged, as a graph takes long for its bytes."""
+    return max(1, shards, min(4 * shards, 256))
+
+
 def build_index(
     rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS,
     degree: int = DEGREE, ef: int = EF_BUILD,
@@ -198,7 +208,8 @@ def build_index(
         first = group.iloc[0]
         return pd.DataFrame({"dimension": [first["dimension"]], "shard": [first["shard"]], "graph": [_packed(arrays)]})
 
-    return dealt.groupBy("dimension", "shard").applyInPandas(build, "dimension int, shard long, graph binary")
+    apart = dealt.repartition(_tasks(shards), "dimension", "shard")
+    return apart.groupBy("dimension", "shard").applyInPandas(build, "dimension int, shard long, graph binary")
 
 
 def _searched(pairs: DataFrame, k: int, ef: int) -> DataFrame:
@@ -253,9 +264,11 @@ def nearest(
     packed = good.groupBy("dimension", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(
         F.collect_list(F.struct("id", "v")).alias("queries")
     )
-    # every block meets every shard: an equi-join on the block's number, which the index is repeated for
-    spread = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = spread.repartition("dimension", "block", "shard").join(packed, ["dimension", "block"])
+    # every block of queries goes to every shard of its dimension; both sides are dealt out by shard
+    shards = index.select("dimension", "shard")
+    tasks = _tasks(shards.count())
+    sent = packed.join(shards, "dimension").repartition(tasks, "dimension", "shard")
+    pairs = index.repartition(tasks, "dimension", "shard").join(sent, ["dimension", "shard"])
     found = _searched(pairs, k, ef)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
