@@ -151,8 +151,8 @@ BASE_FARE, PER_MILE, PER_MINUTE, RUSH_SURCHARGE, MIN_FARE = 3.0, 2.5, 0.5, 2.5,
 
 
 def floor_score(score: Column) -> Column:
-    """Score no lower than the minimum fare, in cents."""
-    return F.round(F.greatest(score, F.lit(MIN_FARE)), 2)
+    """Score no lower than the minimum fare, in cents; a NaN becomes the minimum."""
+    return F.round(F.greatest(F.nanvl(score.cast("double"), F.lit(MIN_FARE)), F.lit(MIN_FARE)), 2)
 
 
 def score_label(score: Column) -> Column:

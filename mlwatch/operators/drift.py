@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mlwatch.functions.numbers import null_safe, number, share
+from mlwatch.functions.numbers import is_odd, null_safe, number, share
 from mlwatch.functions.severity import psi_severity
 from mlwatch.sources.shared import written
 from mlwatch.spec import (
@@ -25,6 +25,8 @@ from mlwatch.spec import (
 
 REFERENCE, CURRENT = "reference", "current"
 PREDICTION = "prediction"
+# What a stored run keeps of each feature.
+DETAILS = ("position", "feature", "psi", "severity", "reference_mean", "current_mean", "reference_odd", "current_odd")
 
 
 def sided(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
@@ -37,7 +39,8 @@ def sided(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataF
 def feature_moments(
     rows: DataFrame, numeric: list[str], categorical: list[str], by: list[str]
 ) -> DataFrame:
-    """Per group, side and feature: rows, non-null count, range, mean and population deviation."""
+    """Per group, side and feature: rows, finite count, range, mean, population deviation, and the values
+    that are no finite number (``odd``), which are in none of the others."""
     aggregates = []
     for name in numeric:
         value = number(name)
@@ -48,6 +51,7 @@ def feature_moments(
                 F.count(value).alias("n"),
                 F.avg(value).alias("mean"),
                 F.stddev_pop(value).alias("std"),
+                F.count_if(is_odd(name)).alias("odd"),
             ).alias(name)
         )
     aggregates += [F.count(name).alias(name) for name in categorical]
@@ -58,7 +62,7 @@ def feature_moments(
     for position, name in enumerate([*numeric, *categorical]):
         is_numeric = name in numeric
         stats = (
-            [F.col(f"`{name}`.{part}").alias(part) for part in ("lo", "hi", "n", "mean", "std")]
+            [F.col(f"`{name}`.{part}").alias(part) for part in ("lo", "hi", "n", "mean", "std", "odd")]
             if is_numeric
             else [
                 nothing.alias("lo"),
@@ -66,6 +70,7 @@ def feature_moments(
                 F.col(name).alias("n"),
                 nothing.alias("mean"),
                 nothing.alias("std"),
+                F.lit(0).cast("long").alias("odd"),
             ]
         )
         entries.append(
@@ -93,7 +98,7 @@ def paired_moments(moments: DataFrame, by: list[str]) -> DataFrame:
         *[
             F.coalesce(of(side, column), F.lit(0)).alias(f"{side}_{name}")
             for side in (REFERENCE, CURRENT)
-            for column, name in (("rows", "rows"), ("n", "count"))
+            for column, name in (("rows", "rows"), ("n", "count"), ("odd", "odd"))
         ],
         *[
             of(side, column).alias(f"{side}_{column}")
@@ -237,6 +242,8 @@ def drift_rows(paired: DataFrame, sums: DataFrame, by: list[str]) -> DataFrame:
         "current_rows",
         "reference_count",
         "current_count",
+        "reference_odd",
+        "current_odd",
     )
 
 
@@ -338,6 +345,7 @@ def drift_verdict(
         # one entry per feature of the spec at most
         F.array_sort(F.collect_list(over)).getField("feature").alias("features_with_drift"),
         F.max(F.when(is_prediction, F.col("psi"))).alias("prediction_psi"),
+        F.array_sort(F.collect_list(F.struct(*[c for c in DETAILS if c in drift.columns]))).alias("feature_details"),
     )
     count = F.size("features_with_drift")
     return judged.filter(F.col("current_sample_count") >= min_samples).select(

@@ -9,6 +9,9 @@ categories absent from a group add is the reference's own sum less the share of
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from mlwatch.functions.numbers import null_safe, number, share
@@ -26,12 +29,42 @@ from mlwatch.operators.drift import (
 from mlwatch.sources.shared import written
 from mlwatch.spec import DRIFT_BINS
 
-# Pieces into which the values of one feature are cut for the sorted pass.
-PIECES = 64
+# Rows of a piece that the values and edges of a feature are cut into for the sorted pass.
+PIECE_ROWS = 250_000
+
+
+@dataclass(frozen=True)
+class ReferenceSummary:
+    """What drift needs of a reference, each part written once: moments, distinct numbers and categories with
+    their counts."""
+
+    moments: DataFrame
+    values: DataFrame | None
+    categories: DataFrame | None
+
+
+def summarise_reference(
+    reference: DataFrame, numeric: list[str], categorical: list[str], reference_by: list[str] | None = None
+) -> ReferenceSummary:
+    """Reduce a reference that many checks share."""
+    by = reference_by or []
+    sided_rows = reference.withColumn("side", F.lit(REFERENCE))
+    moments = written(feature_moments(sided_rows, numeric, categorical, by), "reference-moments")
+    cells = [F.struct(F.lit(c).alias("feature"), number(c).alias("x")) for c in numeric]
+    values = categories = None
+    if numeric:
+        tall = reference.select(*by, F.explode(F.array(*cells)).alias("cell")).select(*by, "cell.*")
+        counted = tall.filter("x is not null").groupBy(*by, "feature", "x").agg(F.count(F.lit(1)).alias("n"))
+        values = written(counted, "reference-values")
+    if categorical:
+        categories = written(
+            _category_counts(reference, categorical, by, "reference_n"), "reference-categories"
+        )
+    return ReferenceSummary(moments, values, categories)
 
 
 def _side(moments: DataFrame, side: str, keys: list[str]) -> DataFrame:
-    names = {"lo": "lo", "hi": "hi", "n": "count", "mean": "mean", "std": "std", "rows": "rows"}
+    names = {"lo": "lo", "hi": "hi", "n": "count", "mean": "mean", "std": "std", "rows": "rows", "odd": "odd"}
     return moments.select(
         *keys,
         "position",
@@ -49,7 +82,7 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
 
 
 def shared_reference_pairs(
-    reference: DataFrame,
+    summary: ReferenceSummary,
     current: DataFrame,
     numeric: list[str],
     categorical: list[str],
@@ -57,13 +90,10 @@ def shared_reference_pairs(
     reference_by: list[str],
 ) -> DataFrame:
     """Both sides' moments per current group and feature, with the union range; written once."""
-    ref = feature_moments(
-        reference.withColumn("side", F.lit(REFERENCE)), numeric, categorical, reference_by
-    )
     cur = feature_moments(current.withColumn("side", F.lit(CURRENT)), numeric, categorical, by)
-    ref = _side(ref, REFERENCE, reference_by).drop("position", "is_numeric")
+    ref = _side(summary.moments, REFERENCE, reference_by).drop("position", "is_numeric")
     paired = _join(_side(cur, CURRENT, by), ref, [*reference_by, "feature"], "left")
-    zero = ["reference_rows", "reference_count"]
+    zero = ["reference_rows", "reference_count", "reference_odd"]
     return written(
         paired.withColumns(
             {
@@ -76,13 +106,13 @@ def shared_reference_pairs(
 
 
 def values_below(
-    values: DataFrame, points: DataFrame, keys: list[str], pieces: int = PIECES
+    values: DataFrame, points: DataFrame, keys: list[str], piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
     """For every distinct point ``x``, the summed ``n`` of the values under it (``keys``, x, below).
 
     ``values`` holds distinct ``x`` per key with their count ``n``. Values and points are cut at
-    approximate quantiles into pieces of about equal length, each piece is summed in order, and the
-    totals of the pieces before it are added, so no task sorts a whole feature.
+    approximate quantiles into pieces, as many as keep them near ``piece_rows`` rows, each piece is summed in
+    order, and the totals of the pieces before it are added, so no task sorts a whole feature.
     """
     both = written(
         values.select(*keys, "x", "n", F.lit(0).alias("is_point")).unionByName(
@@ -92,6 +122,7 @@ def values_below(
         ),
         "drift-points",
     )
+    pieces = math.ceil(both.count() / piece_rows) + 1
     cuts = written(
         both.groupBy(*keys).agg(
             F.percentile_approx("x", [i / pieces for i in range(1, pieces)], 10 * pieces).alias("cuts")
@@ -118,23 +149,14 @@ def values_below(
 
 
 def reference_counts(
-    reference: DataFrame,
+    values: DataFrame,
     paired: DataFrame,
-    numeric: list[str],
     by: list[str],
     reference_by: list[str],
     bins: int,
 ) -> DataFrame:
     """Reference values per group, feature and bin of that group's range."""
     keys = [*reference_by, "feature"]
-    cells = [F.struct(F.lit(c).alias("feature"), number(c).alias("x")) for c in numeric]
-    values = (
-        reference.select(*reference_by, F.explode(F.array(*cells)).alias("cell"))
-        .select(*reference_by, "cell.*")
-        .filter("x is not null")
-        .groupBy(*keys, "x")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
     ranges = paired.filter(F.col("is_numeric") & (F.col("hi") > F.col("lo")))
     step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     edges = written(
@@ -207,7 +229,7 @@ def _category_counts(df: DataFrame, categorical: list[str], by: list[str], name:
 
 
 def _category_psi(
-    reference: DataFrame,
+    reference_n: DataFrame,
     current: DataFrame,
     paired: DataFrame,
     categorical: list[str],
@@ -215,7 +237,6 @@ def _category_psi(
     reference_by: list[str],
 ) -> DataFrame:
     totals = paired.select(*by, "feature", "current_count")
-    reference_n = _category_counts(reference, categorical, reference_by, "reference_n")
     ref_totals = (
         paired.filter(~F.col("is_numeric"))
         .groupBy(*reference_by, "feature")
@@ -257,28 +278,30 @@ def _category_psi(
 
 
 def shared_reference_drift(
-    reference: DataFrame,
+    reference: DataFrame | None,
     current: DataFrame,
     numeric: list[str],
     categorical: list[str] | None = None,
     by: list[str] | None = None,
     reference_by: list[str] | None = None,
     bins: int = DRIFT_BINS,
+    summary: ReferenceSummary | None = None,
 ) -> DataFrame:
     """Feature drift of every current group; ``reference_by`` (a part of ``by``) keys the references.
 
-    Same columns and values as :func:`mlwatch.operators.drift.feature_drift`.
+    A ``summary`` of the reference, made once, saves reading it again. Same columns and values as :func:`mlwatch.operators.drift.feature_drift`.
     """
     by, reference_by, categorical = by or [], reference_by or [], categorical or []
-    if by == reference_by:  # nothing is shared: every group has a reference of its own
+    if by == reference_by and summary is None:  # nothing is shared: every group has a reference of its own
         rows = sided(reference, current, [*by, *numeric, *categorical])
         return feature_drift(rows, numeric, categorical, by, bins).filter(
             "current_rows > 0" if by else "true"
         )
-    paired = shared_reference_pairs(reference, current, numeric, categorical, by, reference_by)
+    summary = summary or summarise_reference(reference, numeric, categorical, reference_by)
+    paired = shared_reference_pairs(summary, current, numeric, categorical, by, reference_by)
     sums = []
     if numeric:
-        ref_n = reference_counts(reference, paired, numeric, by, reference_by, bins)
+        ref_n = reference_counts(summary.values, paired, by, reference_by, bins)
         cur_n = current_counts(current, paired, numeric, by, bins)
         keys = [*by, "feature"]
         # every bin of a usable range is listed on the reference side
@@ -292,6 +315,6 @@ def shared_reference_drift(
             counts.groupBy(*keys).agg(*[F.sum(term).alias(name) for name, term in terms.items()])
         )
     if categorical:
-        sums.append(_category_psi(reference, current, paired, categorical, by, reference_by))
+        sums.append(_category_psi(summary.categories, current, paired, categorical, by, reference_by))
     total = sums[0] if len(sums) == 1 else sums[0].unionByName(sums[1])
     return drift_rows(paired, total, by)

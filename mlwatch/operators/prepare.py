@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mlwatch.functions import trips as fn
 from mlwatch.spec import FeatureSpec, TRIP_SPEC
 
-MAX_LOOKUP_ROWS = 100_000
 _SPARK_TYPE = {"int": "int", "float": "double", "str": "string"}
 
 
@@ -37,18 +36,16 @@ def lookup(
     value: str,
     output: str,
     missing: str | None = None,
-    max_rows: int = MAX_LOOKUP_ROWS,
 ) -> DataFrame:
     """Add ``output`` = the dimension's ``value`` for ``key``; a miss is null or ``missing``.
 
-    A dimension counted at no more than ``max_rows`` rows is broadcast. A larger one joins without a
-    hint, where adaptive execution splits the partitions of a hot key.
+    The row count stays: of a key that the dimension holds several times the least value counts. The join
+    has no hint; the optimizer broadcasts a dimension under its byte threshold, and otherwise adaptive
+    execution splits the partitions of a hot key.
     """
-    side = dimension.select(
-        F.col(dimension_key).alias("__lookup_key"), F.col(value).alias("__lookup_value")
+    side = dimension.groupBy(F.col(dimension_key).alias("__lookup_key")).agg(
+        F.min(value).alias("__lookup_value")
     )
-    if side.count() <= max_rows:
-        side = F.broadcast(side)
     found = F.col("__lookup_value")
     if missing is not None:
         found = F.coalesce(found, F.lit(missing))
@@ -75,12 +72,15 @@ def cast_to_rules(df: DataFrame, spec: FeatureSpec = TRIP_SPEC) -> DataFrame:
 
 
 def within_rules(spec: FeatureSpec = TRIP_SPEC) -> Column:
-    """True for rows whose ruled columns are all inside their inclusive ranges or, for text, non-null."""
-    conditions = [
-        F.col(r.column).isNotNull() if r.minimum is None else F.col(r.column).between(r.minimum, r.maximum)
-        for r in spec.rules
-    ]
-    return reduce(lambda a, b: a & b, conditions)
+    """True for rows whose ruled columns are all non-null and inside the inclusive bounds their rules have."""
+
+    def inside(rule) -> Column:
+        column = F.col(rule.column)
+        bounds = [column >= rule.minimum] if rule.minimum is not None else []
+        bounds += [column <= rule.maximum] if rule.maximum is not None else []
+        return reduce(lambda a, b: a & b, bounds, column.isNotNull())
+
+    return reduce(lambda a, b: a & b, map(inside, spec.rules))
 
 
 def prepare(df: DataFrame, spec: FeatureSpec = TRIP_SPEC, keep: list[str] | None = None) -> DataFrame:
@@ -122,7 +122,8 @@ def split_by_key(
 def cap_by_key(df: DataFrame, keys: list[str], cap: int, rows: int | None = None) -> DataFrame:
     """Bernoulli sample of about ``cap`` rows, decided by the row key; all rows when there are fewer.
 
-    Pass ``rows`` when the count is known already.
+    For fitting a model on a bounded sample of labelled rows, and nothing else. Pass ``rows`` when the count
+    is known already.
     """
     total = df.count() if rows is None else rows
     if total <= cap:
@@ -133,15 +134,7 @@ def cap_by_key(df: DataFrame, keys: list[str], cap: int, rows: int | None = None
 def fixed_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """Exactly ``min(rows, count)`` rows without replacement: those of the lowest hashed keys.
 
-    On a large table only rows under a hash limit that lets through about twice the wanted number reach
-    the final top-k, else every partition would send ``rows`` candidates to it. The limit is counted
-    first; should it let too few through, all rows take part.
+    A top-k: every partition keeps its ``rows`` lowest before they meet.
     """
-    total = df.count()
-    candidates = df
-    if total > 4 * rows:
-        under = df.filter(key_hash(*keys) < int((2 * rows / total) * 2**32))
-        if under.count() >= rows:
-            candidates = under
     digest = F.md5(F.concat_ws("-", *[F.col(k).cast("string") for k in keys]))
-    return candidates.orderBy(digest, *keys).limit(rows)
+    return df.orderBy(digest, *keys).limit(rows)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mlwatch.functions.trips import stable_id
 from mlwatch.operators.decide import drift_alerts
 from mlwatch.operators.drift import drift_verdict
-from mlwatch.operators.drift_windows import shared_reference_drift
+from mlwatch.operators.drift_windows import ReferenceSummary, shared_reference_drift, summarise_reference
 from mlwatch.sources.history import append_unique, as_timestamp, trailing_window
 from mlwatch.sources.shared import written
 from mlwatch.spec import DRIFT_BINS, MIN_SAMPLES, WINDOW_HOURS
@@ -25,6 +25,8 @@ class MonitorConfig:
     runs_path: str
     alerts_path: str
     hours: int = WINDOW_HOURS
+    every_hours: int = WINDOW_HOURS
+    delay_hours: int = 0
     bins: int = DRIFT_BINS
     min_samples: int = MIN_SAMPLES
 
@@ -34,31 +36,46 @@ def check_window(
     log: DataFrame,
     as_of: str | datetime,
     config: MonitorConfig,
-    check: int = 0,
 ) -> DataFrame:
     """Verdict per model for the trailing window of the log that ends at ``as_of``.
 
-    Features absent from either table are left out. The run id comes from model, window end and
-    ``check`` (which tells apart checks of one window, as when late rows reach it), so a check that is
-    repeated gives the same row.
+    Features absent from either table are left out. The run id comes from model and window end, so a check
+    that is repeated gives the same row.
     """
-    window = trailing_window(log, "ts", as_of, config.hours)
-    shared = set(reference.columns) & set(log.columns)
+    end: Column = as_timestamp(as_of, log.schema["ts"].dataType.simpleString())
+    window = trailing_window(log, "ts", as_of, config.hours).withColumn("window_end", end)
+    return judge_windows(summarise(reference, log, config), window, config)
+
+
+def watched(config: MonitorConfig, *tables: DataFrame) -> tuple[list[str], list[str]]:
+    """The numeric and categorical features that all the tables have."""
+    shared = set.intersection(*(set(t.columns) for t in tables))
+    return [c for c in config.numeric if c in shared], [c for c in config.categorical if c in shared]
+
+
+def summarise(reference: DataFrame, log: DataFrame, config: MonitorConfig) -> ReferenceSummary:
+    """The reference as every check needs it, read once."""
+    return summarise_reference(reference, *watched(config, reference, log))
+
+
+def judge_windows(summary: ReferenceSummary, rows: DataFrame, config: MonitorConfig) -> DataFrame:
+    """Verdict per model and ``window_end`` of rows that are repeated for each window they fall into."""
+    known = {r[0] for r in summary.moments.select("feature").distinct().collect()}  # the features watched
     drift = shared_reference_drift(
-        reference,
-        window,
-        [c for c in config.numeric if c in shared],
-        [c for c in config.categorical if c in shared],
-        by=["model_name"],
+        None,
+        rows,
+        [c for c in config.numeric if c in known],
+        [c for c in config.categorical if c in known],
+        by=["model_name", "window_end"],
         bins=config.bins,
+        summary=summary,
     )
-    end: Column = as_timestamp(as_of, log.schema["ts"].dataType.simpleString())
+    end = F.col("window_end")
     return (
-        drift_verdict(drift, by=["model_name"], min_samples=config.min_samples)
+        drift_verdict(drift, by=["model_name", "window_end"], min_samples=config.min_samples)
         .withColumn("window_start", end - F.make_dt_interval(F.lit(0), F.lit(config.hours)))
         .withColumn("ts", end)
-        .withColumn("check", F.lit(check).cast("bigint"))
-        .withColumn("run_id", stable_id(F.col("model_name"), F.col("ts"), F.col("check")))
+        .withColumn("run_id", stable_id(F.col("model_name"), F.col("ts")))
     )
 
 

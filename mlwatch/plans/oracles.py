@@ -36,7 +36,8 @@ sided as (
   from featured),
 shifted as (
   select * replace (
-    case when side = 'current' then trip_distance*1.5e0 else trip_distance end as trip_distance,
+    case when l_partkey % 211 = 0 then cast('Infinity' as double)
+         when side = 'current' then trip_distance*1.5e0 else trip_distance end as trip_distance,
     case when side = 'current' and l_partkey % 3 = 0 then 'ASIA' else pickup_borough end as pickup_borough)
   from sided),
 dirty as (
@@ -130,7 +131,7 @@ def _drift_ctes(
     ]
     return f"""
 tall as ({_union(tall)}),
-clean as (select * replace (case when isnan(v) then null else v end as v) from tall),
+clean as (select * replace (case when isfinite(v) then v end as v), v is not null and not isfinite(v) as odd from tall),
 pairs as (
   select {key}position, feature, is_numeric, min(v) as lo, max(v) as hi,
          count(*) filter (side = 'reference') as rows_r, count(*) filter (side = 'current') as rows_c,
@@ -138,7 +139,9 @@ pairs as (
          count(coalesce(category, cast(v as varchar))) filter (side = 'current') as n_c,
          avg(v) filter (side = 'reference') as mean_r, avg(v) filter (side = 'current') as mean_c,
          stddev_pop(v) filter (side = 'reference') as std_r,
-         stddev_pop(v) filter (side = 'current') as std_c
+         stddev_pop(v) filter (side = 'current') as std_c,
+         count(*) filter (side = 'reference' and odd) as odd_r,
+         count(*) filter (side = 'current' and odd) as odd_c
   from clean group by {key}position, feature, is_numeric),
 guessed as (
   select a.*, b.lo, (b.hi - b.lo)/{bins}e0 as step,
@@ -167,7 +170,7 @@ drift as (
          case when both_sides then coalesce(b.psi, 0) else 0 end as psi,
          case when is_numeric then case when both_sides then coalesce(b.kl, 0) else 0 end end as kl,
          case when is_numeric then case when both_sides then coalesce(b.js, 0) else 0 end end as js,
-         mean_r, mean_c, std_r, std_c, rows_r, rows_c, n_r, n_c
+         mean_r, mean_c, std_r, std_c, rows_r, rows_c, n_r, n_c, odd_r, odd_c
   from (select *, case when is_numeric then n_r > 0 and n_c > 0 else rows_r > 0 and rows_c > 0 end
                as both_sides from pairs) a
   left join sums b on a.feature = b.feature {same})
@@ -179,7 +182,7 @@ _DRIFT_COLUMNS = """feature, round(psi, 6) as psi, round(kl, 6) as kl_divergence
     as severity,
   round(mean_r, 6) as reference_mean, round(mean_c, 6) as current_mean,
   round(std_r, 6) as reference_std, round(std_c, 6) as current_std,
-  rows_r as reference_rows, rows_c as current_rows"""
+  rows_r as reference_rows, rows_c as current_rows, odd_r as reference_odd, odd_c as current_odd"""
 
 
 def _with(*ctes: str) -> str:
@@ -335,7 +338,8 @@ _HASH = "cast('0x' || substr(md5(cast(l_orderkey as varchar) || '-' || cast(l_li
 CLEANED = "cleaned as (select * replace (case when isnan(trip_distance) then null else trip_distance end as trip_distance) from dirty)"
 
 
-def _validate_table() -> str:
+def _validate_table(source: str = "cleaned", dropped: tuple[str, ...] = ()) -> str:
+    """One row per rule over ``source``; of the ``dropped`` columns only their absence is reported."""
     parts = []
 
     def row(column, rule, severity, bad, found="null"):
@@ -343,14 +347,18 @@ def _validate_table() -> str:
         parts.append(
             f"""select {name} as "column", '{rule}' as rule, '{severity}' as severity, ({bad}) > 0 as failed,
             cast({bad} as bigint) as bad_rows, round(cast({found} as double), 6) as found,
-            count(*) as table_rows, 13 as table_columns from cleaned"""
+            count(*) as table_rows, 13 as table_columns from {source}"""
         )
 
     for quoted in _ALL:
         column = quoted.strip('"')
-        row(column, "missing_column", "error", "0")
+        row(column, "missing_column", "error", str(int(column in dropped)))
+        if column in dropped:
+            continue
         row(column, "null_values", "error", f"count(*) filter ({quoted} is null)")
     for column, low, high in _RANGES:
+        if column in dropped:
+            continue
         below = f'count(*) filter ("{column}" < {low})'
         above = f'count(*) filter ("{column}" > {high})'
         row(column, "value_below_minimum", "error", below, f'case when {below} > 0 then min("{column}") end')
@@ -358,7 +366,7 @@ def _validate_table() -> str:
     for column in ("pickup_borough", "dropoff_borough"):
         row(column, "invalid_category", "error", f"count(*) filter ({column} not in {_REGIONS})")
     row(None, "low_row_count", "warning", "case when count(*) < 100 then count(*) else 0 end", "count(*)")
-    return _with(TRIPS, CLEANED) + _union(parts)
+    return _union(parts)
 
 
 def _row_problems() -> str:
@@ -421,7 +429,8 @@ SQL: dict[str, str] = {
              round(min(fare_amount), 4) as fare_min from featured""",
     "log_window_scan": _with(EVENTS) + """
       select ts, model_name, model_version, predicted_fare, numeric_feature_stats,
-             timestamp '2024-01-14 12:00:00' as window_start, timestamp '2024-01-15 12:00:00' as window_end
+             timestamp '2024-01-14 12:00:00' as window_start, timestamp '2024-01-15 12:00:00' as window_end,
+             count(*) over () as sample_count
       from preds where ts between timestamp '2024-01-14 12:00:00' and timestamp '2024-01-15 12:00:00'
         and model_name = 'm1'""",
     "time_features": _with(TRIPS) + f"""
@@ -429,7 +438,7 @@ SQL: dict[str, str] = {
              pickup_day_of_week, pickup_month, is_weekend, is_rush_hour from featured""",
     "zone_lookup": _with(TRIPS) + """
       select c_custkey, c_nationkey, r_name as zone, coalesce(r_name, 'Unknown') as zone_or_unknown
-      from customer left join zones on n_nationkey = c_nationkey""",
+      from customer left join zones on n_nationkey = c_nationkey""",  # a key's least name, which is never ZONE
     "prepare_features": _with(TRIPS, PREPARED) + f"""
       select {_KEYS}, {', '.join(f'round({c}, 6) as {c}' if c in ('trip_distance', 'trip_duration_minutes', 'fare_amount') else c for c in _ALL)}
       from prepared""",
@@ -484,9 +493,9 @@ SQL: dict[str, str] = {
       select 'fixed', count(*), round(sum(fare_amount), 2) from (select * from hashed order by
         md5(cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar)), {_KEYS} limit 100)""",
     "sample_gate": _with(EVENTS) + """
-      select model_name, cast(ts as date) as day, count(*) as samples, 11 as common, 0 as skipped
+      select model_name, cast(ts as date) as day, count(*) as samples, 10 as common, 1 as skipped
       from preds group by 1, 2 having count(*) >= 100""",
-    "validate_table": _validate_table(),
+    "validate_table": _with(TRIPS, CLEANED) + _validate_table(),
     "validate_rows": _with(TRIPS, CLEANED, _row_problems()) + f"""
       select {_KEYS}, cast(len(codes) as int) as error_count, array_to_string(codes, ',') as codes from problems""",
     "quarantine_counts": _with(TRIPS, CLEANED, _row_problems()) + f"""
@@ -533,7 +542,7 @@ SQL: dict[str, str] = {
             for c in [*_ALL[8:12], *_ALL[6:8]]
         ]
     ) + ")") + "select feature, value, rows, count(*) over (partition by feature) as distinct_values from valued",
-    "histogram_pair": _with(TRIPS, _drift_ctes("sided", categorical=[])) + """
+    "histogram_pair": _with(TRIPS, _drift_ctes("shifted", categorical=[])) + """
       select a.feature, bin, c_r as reference_n, c_c as current_n, round(c_r/cast(n_r as double), 8) as reference_share,
              round(c_c/cast(n_c as double), 8) as current_share
       from hist a join pairs b on a.feature = b.feature""",
@@ -572,12 +581,13 @@ SQL: dict[str, str] = {
              cast(dayofyear(day) as int) as drift_metric_id
       from verdict where drift_detected""",
     "drift_summary": _with(*VERDICTS, """
-      recent as (select * from verdict where day >= date '2024-01-18'),
+      recent as (select * from verdict where day >= date '2024-01-15' and day <= date '2024-01-25'),
       newest as (select model_name, max_by(drift_detected and drift_count >= 3, day) as should_retrain
                  from verdict group by 1)""") + """
       select m.model_name, count(r.run_id) as runs, count(*) filter (r.drift_detected) as drift_detected_count,
              round(avg(r.max_psi), 6) as avg_max_psi, round(avg(r.avg_psi), 6) as avg_avg_psi,
              max_by(r.run_id, r.day) as latest_run_id, max_by(r.drift_count, r.day) as latest_drift_count,
+             max_by(r.features_with_drift, r.day) as latest_features, max_by(r.current_sample_count, r.day) as latest_samples,
              coalesce(any_value(n.should_retrain), false) as should_retrain
       from (select distinct model_name from preds) m left join recent r on r.model_name = m.model_name
       left join newest n on n.model_name = m.model_name group by 1""",
@@ -598,7 +608,7 @@ SQL: dict[str, str] = {
              round(min(predicted_fare) filter (status = 200), 6) as min_fare,
              round(max(predicted_fare) filter (status = 200), 6) as max_fare,
              round(avg(latency_ms) filter (status = 200), 6) as avg_latency_ms
-      from preds join requests on request_id = event_id group by 1""",
+      from requests left join preds on request_id = event_id and event_id % 9 <> 0 group by 1""",
     "promotion_gate": _decided(SCORED, DECISIONS) + """
       select model_name, challenger_version, champion_version, validation_passed, metric_improvement,
              latency_acceptable, promoted, round(gain, 6) as primary_metric_improvement,
@@ -737,16 +747,39 @@ SQL: dict[str, str] = {
         EVENTS,
         """named as (select * rename (predicted_fare as prediction) from preds),
         ref as (select * from named where ts < timestamp '2024-01-08'),
-        cur as (select * from named where ts >= (select max(ts) from named) - interval 24 hour)""",
-        _window_ctes("ref", "cur", ["latency_ms", "k", "prediction"], ["model_version"], ["model_name"], []),
+        ends as (select unnest(generate_series(date_trunc('day', min(ts)) + interval 1 day, date_trunc('day', max(ts)),
+                   interval 1 day)) as window_end from named),
+        cur as (select named.*, window_end from named join ends on ts between window_end - interval 24 hour and window_end)""",
+        _window_ctes("ref", "cur", ["latency_ms", "k", "prediction"], ["model_version"], ["model_name", "window_end"], []),
     ) + """
-      select hash_key as model_name, (select max(ts) from events) as ts, max(rows_r) as reference_sample_count,
+      select split_part(hash_key, '|', 1) as model_name, cast(split_part(hash_key, '|', 2) as timestamp) as ts,
+             max(rows_r) as reference_sample_count,
              max(rows_c) as current_sample_count,
              round(max(psi) filter (feature <> 'prediction'), 6) as max_psi,
              round(avg(psi) filter (feature <> 'prediction'), 6) as avg_psi,
              round(max(psi) filter (feature = 'prediction'), 6) as prediction_psi,
              coalesce(string_agg(feature, ',' order by position) filter (psi >= 0.2), '') as features_with_drift,
+             cast(count(*) as int) as features,
              cast(count(*) filter (psi >= 0.2) as int) as drift_count, count(*) filter (psi >= 0.2) >= 3 as drift_detected,
              max(psi) filter (feature = 'prediction') >= 0.15 as prediction_drift_detected
       from drift group by hash_key""",
+    "train_score": _with(TRIPS, PREPARED, f"split as (select *, {_HASH} % 100 < 80 as fitting from prepared)") + """
+      select 'rows of payment type ' || cast(payment_type as varchar) as fact, cast(count(*) as double) as value
+      from split where not fitting group by 1
+      union all select 'train rows', count(*) from split where fitting
+      union all select 'test rows', count(*) from split where not fitting
+      union all select 'fallback fares', round(sum(round(greatest(2.5e0, 3e0 + trip_distance*2.5e0
+        + trip_duration_minutes*0.5e0 + case when is_rush_hour <> 0 then 2.5e0 else 0 end), 2)), 2)
+        from split where not fitting
+      union all select * from (values ('better than the mean', 1), ('fares under the floor', 0), ('fares not in cents', 0),
+        ('reloaded scores that differ', 0), ('good table passes', 1), ('broken table passes', 0),
+        ('errors of the broken table', 1))""",
+    "table_checks": _with(TRIPS, SCORED, "report as (" + _validate_table("featured", ("pickup_month", "payment_type")) + ")") + """
+      select 'rows written once' as fact, cast(count(*) as double) as value from featured
+      union all select 'missing columns', count(*) from report where rule = 'missing_column' and failed
+      union all select 'success', cast(count(*) = 0 as int) from report where failed and severity = 'error'
+      union all select 'errors', count(*) from report where failed and severity = 'error'
+      union all select 'warnings', count(*) from report where failed and severity = 'warning'
+      union all select 'latest version', max(model_version) from versions where model_name = 'm1'
+      union all select * from (values ('common features', 10), ('skipped features', 1), ('explicit version', 3))""",
 }

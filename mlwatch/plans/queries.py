@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -50,7 +51,8 @@ MOMENTS = ("reference_mean", "current_mean", "reference_std", "current_std")
 @query
 def feature_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drift(spark, sf_dir, NUMERIC, CATEGORICAL, shifted=True).select(
-        "feature", *rounded(*DRIFT_VALUES), "severity", *rounded(*MOMENTS), "reference_rows", "current_rows"
+        "feature", *rounded(*DRIFT_VALUES), "severity", *rounded(*MOMENTS), "reference_rows", "current_rows",
+        "reference_odd", "current_odd",
     )
 
 
@@ -179,7 +181,7 @@ def time_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def zone_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = views.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    zones = views.zones(spark, sf_dir)
+    zones = views.repeated_zones(spark, sf_dir)
     one = prepare.lookup(customer, zones, "c_nationkey", "n_nationkey", "r_name", "zone")
     return prepare.lookup(
         one, zones, "c_nationkey", "n_nationkey", "r_name", "zone_or_unknown", missing="Unknown"
@@ -284,7 +286,7 @@ def request_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes and fare sums of the 80/20 split, of a capped sample and of a fixed-size sample."""
-    rows = views.trips(spark, sf_dir).select(*views.KEYS, "fare_amount")
+    rows = written(views.trips(spark, sf_dir).select(*views.KEYS, "fare_amount"), "fares")
     train, test = prepare.split_by_key(rows, views.KEYS)
     capped = prepare.cap_by_key(rows, views.KEYS, cap=5000)
     fixed = prepare.fixed_sample(rows, views.KEYS, 100)
@@ -307,7 +309,7 @@ def sample_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model-days with enough predictions, and how many of the watched features they could use."""
     rows = views.preds(spark, sf_dir)
     numeric, categorical, skipped = TRIP_SPEC.common_features(
-        TRIP_SPEC.features, views.featured(spark, sf_dir).columns[2:]
+        [*TRIP_SPEC.features, "k"], [*views.featured(spark, sf_dir).drop("payment_type").columns, "other"]
     )
     return (
         rows.groupBy("model_name", F.to_date("ts").alias("day"))
@@ -433,7 +435,7 @@ def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def histogram_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(views.sided(spark, sf_dir).select("side", *NUMERIC), "features")
+    rows = written(views.sided(spark, sf_dir, shifted=True).select("side", *NUMERIC), "features")
     return drift.histogram_pair(rows, NUMERIC).select(
         "feature", "bin", "reference_n", "current_n", *rounded("reference_share", "current_share", digits=8)
     )
@@ -539,6 +541,8 @@ def window_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
         *rounded(*MOMENTS),
         "reference_rows",
         "current_rows",
+        "reference_odd",
+        "current_odd",
     )
 
 
@@ -579,7 +583,7 @@ def drift_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = written(_model_days(spark, sf_dir), "drift-runs")
-    as_of = F.lit("2024-01-28 00:00:00").cast("timestamp_ntz")
+    as_of = F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")  # later runs are no part of it
     summary = rollups.drift_summary(runs, as_of, 24 * 10, views.preds(spark, sf_dir))
     trigger = decide.retrain_trigger(runs).select("model_name", "should_retrain")
     return summary.join(trigger, "model_name", "left").select(
@@ -589,6 +593,8 @@ def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         *rounded("avg_max_psi", "avg_avg_psi"),
         F.col("latest.run_id").alias("latest_run_id"),
         F.col("latest.drift_count").alias("latest_drift_count"),
+        F.array_join("latest.features_with_drift", ",").alias("latest_features"),
+        F.col("latest.current_sample_count").alias("latest_samples"),
         F.coalesce("should_retrain", F.lit(False)).alias("should_retrain"),
     )
 
@@ -614,7 +620,9 @@ def latency_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def traffic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = views.requests(spark, sf_dir).select(F.col("event_id").alias("request_id"), "status")
-    rows = requests.join(views.preds(spark, sf_dir), "request_id")
+    # a request that failed has no prediction
+    logged = views.preds(spark, sf_dir).filter("request_id % 9 <> 0")
+    rows = requests.join(logged, "request_id", "left")
     return evaluate.traffic_summary(rows, by=["model_name"]).select(
         "model_name",
         "total",
@@ -718,7 +726,7 @@ def recent_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
             "primary_metric_improvement": F.round("primary_metric_improvement", 6),
             "drift_max_psi": F.round("drift_max_psi", 6),
         }
-    )
+    ).orderBy(F.col("decided_at").desc(), "decision_id")
 
 
 # ---- rollups
@@ -842,21 +850,68 @@ def encode_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train on the prepared trips, save, load, score the test rows and measure them by payment type."""
+    """Train on the prepared trips, save, load and score: what holds of any right model, one fact per row."""
     ready = written(
         prepare.prepare(views.featured(spark, sf_dir), views.SPEC, keep=views.KEYS), "features"
     )
     fitting, testing = prepare.split_by_key(ready, views.KEYS)
-    config = train.TrainingConfig(max_iter=10)
-    model, metrics = train.run_training(fitting, testing, views.SPEC, config)
+    model, metrics = train.run_training(fitting, testing, views.SPEC)
     root = scratch_path(spark, "models")
     train.save_version(model, root, "fare", 1)
-    scored = train.score_or_baseline(spark, testing, root, "fare", 1, views.SPEC)
-    by_type = evaluate.regression_metrics(scored, "fare_amount", "predicted_fare", by=["payment_type"])
-    overall = metrics.select(
-        F.lit("all").alias("payment_type"), F.col("test_samples").alias("samples"), "rmse", "mae", "r2", "mape"
-    )
-    return by_type.unionByName(overall)
+    scored = written(train.score_or_baseline(spark, testing, root, "fare", 1, views.SPEC), "scored")
+    direct = train.score(model, testing, views.SPEC).select(*views.KEYS, F.col("predicted_fare").alias("direct"))
+    fallback = train.score_or_baseline(spark, testing, root, "fare", 2, views.SPEC)
+    broken = fitting.withColumn("trip_distance", F.lit(500.0))
+    refused = validate.validation_summary(validate.validation_report(broken, views.SPEC))
+
+    def fact(name: str, frame: DataFrame, value: Column) -> DataFrame:
+        return frame.agg(value.cast("double").alias("value")).select(F.lit(name).alias("fact"), "value")
+
+    rows = scored.groupBy("payment_type").agg(F.count("*").cast("double").alias("value"))
+    means = testing.crossJoin(fitting.agg(F.avg("fare_amount").alias("mean")))  # one row
+    mean_error = means.agg(F.sqrt(F.avg((F.col("fare_amount") - F.col("mean")) ** 2)).alias("error"))
+    fare, again = F.col("predicted_fare"), scored.join(direct, views.KEYS)
+    facts = [
+        rows.select(F.concat(F.lit("rows of payment type "), "payment_type").alias("fact"), "value"),
+        fact("train rows", metrics, F.max("train_samples")),
+        fact("test rows", metrics, F.max("test_samples")),
+        fact("better than the mean", metrics.crossJoin(mean_error), F.min((F.col("rmse") < F.col("error")).cast("int"))),
+        fact("fares under the floor", scored, F.count_if(fare < 2.5)),
+        fact("fares not in cents", scored, F.count_if(fare != F.round(fare, 2))),
+        fact("reloaded scores that differ", again, F.count_if(fare != F.col("direct"))),
+        fact("fallback fares", fallback, F.round(F.sum(fare), 2)),
+        fact("good table passes", validate.validation_summary(validate.validation_report(fitting, views.SPEC)), F.max(F.col("success").cast("int"))),
+        fact("broken table passes", refused, F.max(F.col("success").cast("int"))),
+        fact("errors of the broken table", refused, F.max("errors")),
+    ]
+    return reduce(DataFrame.unionByName, facts)
+
+
+@query
+def table_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column sets, success flags, features in common, skipped writes and version choice, one fact per row."""
+    rows = written(views.featured(spark, sf_dir).select(*TRIP_SPEC.columns), "features")
+    path = scratch_path(spark, "once")
+    files.write_once(rows, path)
+    files.write_once(rows.limit(0), path)  # the table is there: nothing is written
+    fewer = rows.drop("pickup_month", "payment_type").withColumn("extra", F.lit(1))
+    numeric, categorical, skipped = TRIP_SPEC.common_features(fewer.columns, rows.columns)
+    shape = profile.table_shape(files.read_table(spark, path, kind="parquet")).agg(F.max("rows")).first()[0]
+    report = written(validate.validation_report(fewer, views.SPEC), "report")
+    summary = validate.validation_summary(report).first()
+    versions = views.versions(spark, sf_dir)
+    facts = {
+        "rows written once": shape,
+        "common features": len(numeric) + len(categorical),
+        "skipped features": len(skipped),
+        "missing columns": report.filter("rule = 'missing_column' AND failed").count(),
+        "success": int(summary["success"]),
+        "errors": summary["errors"],
+        "warnings": summary["warnings"],
+        "latest version": decide.resolve_version(versions, "m1"),
+        "explicit version": decide.resolve_version(versions, "m1", 3),
+    }
+    return spark.createDataFrame([(k, float(v)) for k, v in facts.items()], "fact string, value double")
 
 
 # ---- streams
@@ -885,9 +940,10 @@ def _event_table(sf_dir: str) -> str:
     return f"{sf_dir}/events.parque[t]"
 
 
-def _event_stream(spark: SparkSession, path: str, sf_dir: str) -> DataFrame:
+def _event_stream(spark: SparkSession, path: str, sf_dir: str, files_per_trigger: int = 2) -> DataFrame:
     schema = views.table(spark, sf_dir, "events").schema
-    stream = runtime.read_files(spark, path, schema, files_per_trigger=2)
+    runtime.keep_state_off_heap(spark)
+    stream = runtime.read_files(spark, path, schema, files_per_trigger)
     return stream.withColumns(
         {"k": F.get_json_object("props", "$.k").cast("int"), "ts": runtime.event_time("ts")}
     )
@@ -955,8 +1011,12 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last verdicts of the continuous check over a growing log, against the first week."""
-    events = _event_stream(spark, _event_files(spark, sf_dir), sf_dir)
+    """All daily verdicts of the continuous check over a growing log, against the first week."""
+    return _stream_drift(spark, sf_dir, files_per_trigger=2)
+
+
+def _stream_drift(spark: SparkSession, sf_dir: str, files_per_trigger: int) -> DataFrame:
+    events = _event_stream(spark, _event_files(spark, sf_dir), sf_dir, files_per_trigger)
     stream = stream_score.first_requests(views.as_predictions(events), watermark="10 days")
     reference = views.preds(spark, sf_dir).filter("ts < timestamp_ntz '2024-01-08 00:00:00'")
     config = monitor.MonitorConfig(
@@ -965,25 +1025,23 @@ def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
         runs_path=scratch_path(spark, "drift-runs"),
         alerts_path=scratch_path(spark, "drift-alerts"),
         min_samples=1,
+        delay_hours=24 * 10,
     )
     stream_drift_check.watch(
         stream.withColumnRenamed("predicted_fare", "prediction"),
-        written(reference.withColumnRenamed("predicted_fare", "prediction"), "reference"),
+        reference.withColumnRenamed("predicted_fare", "prediction"),
         scratch_path(spark, "log"),
         config,
         scratch_path(spark, "checkpoint"),
     )
-    runs = spark.read.parquet(config.runs_path)
-    last = runs.groupBy("model_name").agg(
-        F.max_by(F.struct(*[c for c in runs.columns if c != "model_name"]), "check").alias("r")
-    )
-    return last.select("model_name", "r.*").select(
+    return spark.read.parquet(config.runs_path).select(
         "model_name",
         F.col("ts").cast("timestamp_ntz").alias("ts"),
         "reference_sample_count",
         "current_sample_count",
         *rounded("max_psi", "avg_psi", "prediction_psi"),
         F.array_join("features_with_drift", ",").alias("features_with_drift"),
+        F.size("feature_details").alias("features"),
         "drift_count",
         "drift_detected",
         "prediction_drift_detected",

@@ -28,6 +28,13 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zones, some keys twice, the second time with a later name."""
+    once = zones(spark, sf_dir)
+    again = once.filter("n_nationkey % 5 = 0").withColumn("r_name", F.lit("ZONE"))
+    return once.unionByName(again)
+
+
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as trips. Customers and suppliers carry the two zones.
 
@@ -108,6 +115,7 @@ def sided(spark: SparkSession, sf_dir: str, shifted: bool = False) -> DataFrame:
     """Trips marked as reference (before the split) or current (from it).
 
     ``shifted`` makes the current half drift: longer distances, one region taking a third of the pickups.
+    Some distances are infinite then, on both sides.
     """
     current = F.col("pickup_ts") >= F.lit(DRIFT_SPLIT).cast("timestamp_ntz")
     rows = featured(spark, sf_dir).withColumn(
@@ -117,9 +125,9 @@ def sided(spark: SparkSession, sf_dir: str, shifted: bool = False) -> DataFrame:
         late = F.col("side") == "current"
         rows = rows.withColumns(
             {
-                "trip_distance": F.when(late, F.col("trip_distance") * 1.5).otherwise(
-                    F.col("trip_distance")
-                ),
+                "trip_distance": F.when(F.col("l_partkey") % 211 == 0, F.lit(float("inf")))
+                .when(late, F.col("trip_distance") * 1.5)
+                .otherwise(F.col("trip_distance")),
                 "pickup_borough": F.when(late & (F.col("l_partkey") % 3 == 0), "ASIA").otherwise(
                     F.col("pickup_borough")
                 ),

@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from mlwatch.operators.prepare import fixed_sample
-from mlwatch.spec import REFERENCE_ROWS
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """Parquet by suffix, anything else as CSV with a header. A CSV without a schema is inferred."""
-    if path.rstrip("/").endswith(".parquet"):
+def read_table(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, kind: str | None = None
+) -> DataFrame:
+    """Parquet or CSV with a header, as ``kind`` says, else Parquet by suffix and anything else as CSV.
+
+    A CSV without a schema is inferred.
+    """
+    if kind not in (None, "parquet", "csv"):
+        raise ValueError(f"unknown kind of table {kind!r}")
+    if kind == "parquet" or kind is None and path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
     reader = spark.read.option("header", True)
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
@@ -29,8 +35,11 @@ def union_normalised(frames: list[DataFrame], casts: dict[str, str]) -> DataFram
 
 
 def read_union(spark: SparkSession, paths: list[str], casts: dict[str, str]) -> DataFrame:
-    """Union of Parquet files written with inconsistent types."""
-    return union_normalised([spark.read.parquet(p) for p in paths], casts)
+    """Union of Parquet files written with inconsistent types: one scan for each schema among them."""
+    groups: dict[str, list[str]] = {}
+    for path in paths:
+        groups.setdefault(spark.read.parquet(path).schema.json(), []).append(path)
+    return union_normalised([spark.read.parquet(*same) for same in groups.values()], casts)
 
 
 def write_once(df: DataFrame, path: str) -> None:
@@ -38,8 +47,9 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("ignore").parquet(path)
 
 
-def write_snapshot(
-    df: DataFrame, path: str, keys: list[str], rows: int = REFERENCE_ROWS
-) -> None:
-    """Write the drift reference as CSV: at most ``rows`` rows, picked by hashed key."""
+def write_snapshot(df: DataFrame, path: str, keys: list[str], rows: int) -> None:
+    """Write a bounded drift reference as CSV: at most ``rows`` rows, picked by hashed key.
+
+    A reference need not be cut: ``write_once`` keeps the whole table as Parquet.
+    """
     fixed_sample(df, keys, rows).write.mode("overwrite").option("header", True).csv(path)

@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
+_named: dict[str, str] = {}
+_scopes: list[list[DataFrame]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+def name_folder(spark: SparkSession, path: str) -> None:
+    """Name a folder for a local session without ``spark.checkpoint.dir``; a cluster has to set that."""
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    _named[spark.sparkContext.applicationId] = path
 
-    Only a local master may go without it: there one temporary folder per application stands in.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+
+def has_folder(spark: SparkSession) -> bool:
+    return bool(spark.conf.get("spark.checkpoint.dir", None)) or spark.sparkContext.applicationId in _named
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, or by :func:`name_folder`; without one an error."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or _named.get(spark.sparkContext.applicationId)
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if context.applicationId not in _local_dirs:
-        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="mlwatch-")
-    return _local_dirs[context.applicationId]
+    return configured.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -43,9 +48,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Remove the tables that are ``written`` inside when it ends: for steps that store their results."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for df in _scopes.pop():
+            discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a ``written`` table that no later plan reads."""
     spark, path = df.sparkSession, getattr(df, "_scratch_path", None)

@@ -126,7 +126,6 @@ MIN_SAMPLES = 100
 DRIFT_BINS = 20
 EPSILON = 1e-6
 WINDOW_HOURS = 24
-REFERENCE_ROWS = 10_000
 MIN_RMSE_GAIN = 0.5
 MAX_LATENCY_RATIO = 1.2
 MIN_TABLE_ROWS = 100

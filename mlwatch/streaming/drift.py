@@ -1,12 +1,76 @@
-"""Continuous drift check: every micro-batch extends the log and judges the window it ends."""
+"""Continuous drift check: every micro-batch extends the log, and every window that is due is judged once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mlwatch.plans.monitor import MonitorConfig, check_window, record_check
+from mlwatch.plans.monitor import MonitorConfig, judge_windows, record_check, summarise
+from mlwatch.operators.drift_windows import ReferenceSummary
+from mlwatch.sources.history import exists
+from mlwatch.sources.shared import scratch_scope
 from mlwatch.streaming.runtime import run_to_end, write_batch
 
+HOUR = 3_600_000_000
+
+
+def windows_of(log: DataFrame, after: int, until: int, config: MonitorConfig) -> DataFrame:
+    """Rows of the windows that end in (after, until], a row once for each window it falls into.
+
+    Windows end at whole multiples of ``every_hours`` since 1970 and hold what is at most ``hours`` older than
+    their end, both bounds included. Times are microseconds.
+    """
+    slide, length = config.every_hours * HOUR, config.hours * HOUR
+    at = F.unix_micros("ts")
+    first = F.greatest(F.ceil(at / slide), F.lit(after // slide + 1))
+    last = F.least(F.floor((at + length) / slide), F.lit(until // slide))
+    instant = lambda micros: F.timestamp_micros(F.lit(micros))
+    near = log.filter(F.col("ts").between(instant(after + slide - length), instant(until)))
+    dates = F.col("date").between(F.to_date(instant(after + slide - length)), F.to_date(instant(until)))
+    ends = F.explode(F.sequence(first.cast("long"), last.cast("long")))
+    return (
+        near.filter(dates)
+        .filter(first <= last)
+        .withColumn("window_end", ends)
+        .withColumn("window_end", F.timestamp_micros(F.col("window_end") * slide))
+    )
+
+
+class Watch:
+    """The check of one log: which windows it has judged is read from its own table of checks."""
+
+    def __init__(self, summary: ReferenceSummary, log_path: str, config: MonitorConfig):
+        self.summary, self.log_path, self.config = summary, log_path, config
+        self.checks_path = f"{config.runs_path}-checks"
+
+    def _state(self, spark: SparkSession, before: int) -> tuple[int | None, int | None]:
+        """Newest event and end of the last window judged, as the batches before ``before`` left them."""
+        if not exists(spark, self.checks_path):
+            return None, None
+        schema = "batch long, newest long, judged long"
+        rows = spark.read.schema(schema).parquet(self.checks_path).filter(F.col("batch") < before)
+        return tuple(rows.agg(F.max("newest"), F.max("judged")).first())
+
+    def judge(self, spark: SparkSession, schema, batch_id: int, batch: DataFrame | None) -> None:
+        """Judge every window due after a batch; without a batch (the input has ended) all that are left."""
+        slide = self.config.every_hours * HOUR
+        newest, judged = self._state(spark, batch_id)
+        if batch is not None:
+            oldest, latest = batch.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+            if latest is None:
+                return
+            newest = max(latest, newest or latest)
+            judged = (oldest - 1) // slide * slide if judged is None else judged
+        if newest is None:
+            return
+        ripe = newest - self.config.delay_hours * HOUR if batch is not None else newest
+        until = max(judged, ripe // slide * slide)
+        if until > judged:
+            log = spark.read.schema(schema.add("date", "date").add("batch", "long")).parquet(self.log_path)
+            rows = windows_of(log.filter(F.col("batch") <= batch_id), judged, until, self.config)
+            record_check(judge_windows(self.summary, rows, self.config), self.config)
+        state = spark.range(1).select(F.lit(batch_id).alias("batch"), F.lit(newest).alias("newest"), F.lit(until).alias("judged"))
+        state.write.mode("append").parquet(self.checks_path)
+
 
 def watch(
     stream: DataFrame,
@@ -15,23 +79,22 @@ def watch(
     config: MonitorConfig,
     checkpoint: str,
 ) -> None:
-    """Append each micro-batch to the log, then check the trailing window up to the newest event.
+    """Append each micro-batch to the log and judge every window that has come due; at the end of the input,
+    also those that ``delay_hours`` held back.
 
-    The window is read back from the log with only its dates, so an exact union range is found for it.
-    Log folders, run ids and alert ids repeat when a batch is retried, so nothing is stored twice.
+    A window is due when an event newer than its end by ``delay_hours`` has been seen: with a delay over the
+    input's disorder, verdicts don't depend on how rows fall into batches. The reference is summarised once.
+    Run and alert ids follow from model and window, so a retried batch stores nothing twice, and what a check
+    writes on the way is removed with it.
     """
+    spark = stream.sparkSession
+    check = Watch(summarise(reference, stream, config), log_path, config)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, log_path, batch_id, "ts")
-        spark = batch.sparkSession
-        schema = batch.schema.add("date", "date").add("batch", "long")
-        log = spark.read.schema(schema).parquet(log_path).filter(F.col("batch") <= batch_id)
-        last_date = log.filter(F.col("batch") == batch_id).agg(F.max("date")).first()[0]
-        if last_date is None:
-            return
-        # an earlier batch may have brought newer events: only dates from here on can hold them
-        newest = log.filter(F.col("date") >= F.lit(last_date)).agg(F.max("ts").cast("string"))
-        verdict = check_window(reference, log, newest.first()[0], config, check=batch_id)
-        record_check(verdict, config)
+        with scratch_scope():
+            write_batch(batch, log_path, batch_id, "ts")
+            check.judge(batch.sparkSession, batch.schema, batch_id, batch)
 
     run_to_end(stream.writeStream.foreachBatch(on_batch), checkpoint)
+    with scratch_scope():
+        check.judge(spark, stream.schema, 1 << 62, None)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
+from mlwatch.sources.history import by_date
+
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -19,8 +21,7 @@ def keep_state_off_heap(spark: SparkSession) -> None:
 def read_files(
     spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    keep_state_off_heap(spark)
+    """Parquet files of a folder as a stream. See :func:`keep_state_off_heap` for large state."""
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
@@ -37,12 +38,9 @@ def run_to_end(writer: DataStreamWriter, checkpoint: str) -> None:
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def batch_path(path: str, batch_id: int) -> str:
-    """Folder of one micro-batch; writing it again replaces it, so a retried batch adds nothing."""
-    return f"{path}/batch={batch_id}"
-
-
 def write_batch(batch: DataFrame, path: str, batch_id: int, ts: str) -> None:
-    batch.withColumn("date", F.to_date(ts)).write.mode("overwrite").partitionBy("date").parquet(
-        batch_path(path, batch_id)
-    )
+    """Add a micro-batch under its dates, then its number; a retried batch replaces what it wrote."""
+    rows = batch.withColumn("date", F.to_date(ts)).withColumn("batch", F.lit(batch_id).cast("long"))
+    by_date(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "date", "batch"
+    ).parquet(path)

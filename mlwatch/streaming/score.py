@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from mlwatch.functions.trips import baseline_fare, feature_hash, unpack_stats
 from mlwatch.operators.validate import row_errors
+from mlwatch.sources.history import exists
+from mlwatch.sources.shared import discard, written
 from mlwatch.spec import FeatureSpec, TRIP_SPEC
 from mlwatch.streaming.runtime import run_to_end, write_batch
 
@@ -66,8 +68,9 @@ def score_log(
     """Run the scoring stream over everything available.
 
     ``score`` adds ``predicted_fare``: the tariff, or a saved model's transform. Per micro-batch the
-    requests are checked and scored in one pass, and written to the log or the quarantine under the
-    batch's own folder, which makes a retried batch replace itself.
+    requests are checked and scored in one pass and written to the log or the quarantine; a request that an
+    earlier batch logged, and whose repeat comes after the watermark has forgotten it, is left out. A retried
+    batch replaces itself.
     """
     unique = first_requests(requests, watermark=watermark)
     checked = checked_features(unique, stats, spec)
@@ -75,10 +78,16 @@ def score_log(
     scored = score(checked.withColumn("feature_hash", feature_hash(names)))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        spark = batch.sparkSession
+        checked = written(batch, "scored")
         good = F.size("errors") == 0
-        write_batch(batch.filter(good).drop("errors"), log_path, batch_id, "ts")
-        write_batch(batch.filter(~good), quarantine_path, batch_id, "ts")
-        batch.unpersist()
+        accepted = checked.filter(good).drop("errors")
+        if exists(spark, log_path):
+            schema = accepted.schema.add("date", "date").add("batch", "long")
+            earlier = spark.read.schema(schema).parquet(log_path).filter(F.col("batch") < batch_id)
+            accepted = accepted.join(earlier.select("request_id"), "request_id", "left_anti")
+        write_batch(accepted, log_path, batch_id, "ts")
+        write_batch(checked.filter(~good), quarantine_path, batch_id, "ts")
+        discard(checked)
 
     run_to_end(scored.writeStream.foreachBatch(write), checkpoint)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from mlwatch.functions.numbers import number
 from mlwatch.operators.rollups import histogram_aggregates, label
 from mlwatch.streaming.runtime import run_to_end
 
@@ -19,34 +20,52 @@ def trailing_moments(
 ) -> DataFrame:
     """Count, mean, deviation and range per key in a window of ``length`` moved by ``slide``.
 
-    Rows are first summed per ``slide``; only those sums are copied into the windows they belong to,
+    Rows are first summed per ``slide`` (values that are no finite number are left out); only those sums are copied into the windows they belong to,
     where copying the rows themselves would multiply them by length / slide. A window comes out once the
     watermark has passed its end.
     """
-    v = F.col(value)
+    v = number(value)
     steps = (
         stream.withWatermark(ts, watermark)
         .groupBy(F.window(ts, slide), *keys)
         .agg(
             F.count(v).alias("n"),
-            F.sum(v).alias("total"),
-            F.sum(v * v).alias("squares"),
+            F.avg(v).alias("mean"),
+            (F.var_pop(v) * F.count(v)).alias("spread"),
             F.min(v).alias("lo"),
             F.max(v).alias("hi"),
         )
         .withColumn("step_time", F.window_time("window"))
         .drop("window")
     )
-    n, total = F.sum("n"), F.sum("total")
+    # one entry per step of a window; sums of squares about each step's own mean don't cancel
+    parts = F.filter("parts", lambda p: p["n"] > 0)
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("spread"))
+
+    def joined(a: Column, b: Column) -> Column:
+        n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+        return F.struct(
+            n.alias("n"),
+            (a["mean"] + apart * b["n"] / n).alias("mean"),
+            (a["spread"] + b["spread"] + apart * apart * a["n"] * b["n"] / n).alias("spread"),
+        )
+
+    some = F.col("all.n") > 0
     return (
         steps.groupBy(F.window("step_time", length, slide), *keys)
         .agg(
-            n.alias("n"),
-            (total / n).alias("mean"),
-            F.sqrt(F.greatest(F.sum("squares") / n - (total / n) * (total / n), F.lit(0.0))).alias("std"),
+            F.collect_list(F.struct("n", "mean", "spread")).alias("parts"),
             F.min("lo").alias("lo"),
             F.max("hi").alias("hi"),
         )
+        .withColumn("all", F.aggregate(parts, zero, joined))
+        .withColumns(
+            {
+                "n": F.col("all.n"),
+                "mean": F.when(some, F.col("all.mean")),
+                "std": F.when(some, F.sqrt(F.col("all.spread") / F.col("all.n"))),
+            }
+        )
         .select(
             F.col("window.start").alias("window_start"),
             F.col("window.end").alias("window_end"),
