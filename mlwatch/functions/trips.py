@@ -96,11 +96,13 @@ _TYPE_OF = {float: DoubleType(), int: IntegerType(), str: StringType()}
 
 STATS_SCHEMA = StructType(
     [StructField(name, _TYPE_OF[type(value)]) for name, value in UNPACK_DEFAULTS.items()]
+    + [StructField("pickup_day_of_week", IntegerType())]
 )
 
 
 def pack_stats() -> Column:
-    """JSON text with the three bins and the raw values of a scored record."""
+    """JSON text with the three bins and the raw values of a scored record, its hour and weekday among them:
+    rebuilt from the bins, these two would drift by construction."""
     bins = [
         distance_bin("trip_distance").alias("trip_distance_bin"),
         duration_bin("trip_duration_minutes").alias("trip_duration_bin"),
@@ -110,14 +112,14 @@ def pack_stats() -> Column:
         F.coalesce(F.col(name), F.lit(default)).alias(name)
         for name, default in PACK_DEFAULTS.items()
     ]
-    return F.to_json(F.struct(*bins, *values))
+    return F.to_json(F.struct(*bins, *values, "pickup_hour", "pickup_day_of_week"))
 
 
 def unpack_stats(df: DataFrame, stats: str) -> DataFrame:
     """Add typed columns from packed statistics, missing keys replaced by their defaults.
 
-    The text is parsed once into a struct. The day of week is not logged: it is rebuilt as Sunday for
-    weekend trips and Tuesday otherwise.
+    The text is parsed once into a struct. A day of week that was not logged is rebuilt as Sunday for weekend
+    trips and Tuesday otherwise.
     """
     parsed = df.withColumn("__stats", F.from_json(F.col(stats), STATS_SCHEMA))
     filled = parsed.withColumns(
@@ -125,10 +127,11 @@ def unpack_stats(df: DataFrame, stats: str) -> DataFrame:
             name: F.coalesce(F.col(f"__stats.{name}"), F.lit(default))
             for name, default in UNPACK_DEFAULTS.items()
         }
-    ).drop("__stats")
-    return filled.withColumn(
-        "pickup_day_of_week", F.when(F.col("is_weekend") != 0, F.lit(1)).otherwise(F.lit(3))
     )
+    rebuilt = F.when(F.col("is_weekend") != 0, F.lit(1)).otherwise(F.lit(3))
+    return filled.withColumn(
+        "pickup_day_of_week", F.coalesce("__stats.pickup_day_of_week", rebuilt)
+    ).drop("__stats")
 
 
 def feature_hash(names: list[str]) -> Column:

@@ -7,12 +7,12 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mlwatch.functions.trips import stable_id
+from mlwatch.functions.trips import stable_id, unpack_stats
 from mlwatch.operators.decide import drift_alerts
 from mlwatch.operators.drift import drift_verdict
 from mlwatch.operators.drift_windows import ReferenceSummary, shared_reference_drift, summarise_reference
-from mlwatch.sources.history import append_unique, as_timestamp, trailing_window
-from mlwatch.sources.shared import written
+from mlwatch.sources.history import append_unique, as_timestamp, read_history, trailing_window
+from mlwatch.sources.shared import scratch_scope, written
 from mlwatch.spec import DRIFT_BINS, MIN_SAMPLES, WINDOW_HOURS
 
 
@@ -79,11 +79,29 @@ def judge_windows(summary: ReferenceSummary, rows: DataFrame, config: MonitorCon
     )
 
 
+def check_log(
+    reference: DataFrame,
+    log: DataFrame,
+    as_of: str | datetime,
+    config: MonitorConfig,
+    stats: str = "numeric_feature_stats",
+) -> DataFrame:
+    """The check of a prediction log whose features are packed: window, unpack, judge, record; returns the runs.
+
+    The log's ``predicted_fare`` is watched as the prediction against the reference's.
+    """
+    unpacked = unpack_stats(trailing_window(log, "ts", as_of, config.hours), stats)
+    rows = unpacked.withColumnRenamed("predicted_fare", "prediction")
+    with scratch_scope():
+        return record_check(check_window(reference, rows, as_of, config), config)
+
+
 def record_check(verdict: DataFrame, config: MonitorConfig) -> DataFrame:
-    """Append the runs and the alerts they raise; returns the runs."""
+    """Append the runs and the alerts they raise; returns the runs as stored."""
     runs = written(verdict, "drift-runs")
     append_unique(runs, config.runs_path, "run_id", "ts", dates_fixed_by_key=True)
     append_unique(
         drift_alerts(runs), config.alerts_path, "alert_id", "created_at", dates_fixed_by_key=True
     )
-    return runs
+    ids = [r[0] for r in runs.select("run_id").collect()]  # one per model and window of the check
+    return read_history(runs.sparkSession, config.runs_path).filter(F.col("run_id").isin(ids))

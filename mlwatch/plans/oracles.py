@@ -388,7 +388,7 @@ def _stats_columns(source: str) -> str:
     return f"""select id, part, round(trip_distance, 6) as trip_distance,
       round(trip_duration_minutes, 6) as trip_duration_minutes, passenger_count, pickup_hour, is_weekend,
       is_rush_hour, pickup_borough, dropoff_borough, "RatecodeID", payment_type,
-      case when is_weekend <> 0 then 1 else 3 end as pickup_day_of_week from {source}"""
+      pickup_day_of_week from {source}"""
 
 
 def _sums(columns: list[tuple[str, str, int]]) -> str:
@@ -457,11 +457,11 @@ SQL: dict[str, str] = {
       packed as (
         select l_orderkey as id, l_linenumber as part,
                case when isnan(trip_distance) then -1 else trip_distance end as trip_distance,
-               trip_duration_minutes, coalesce(passenger_count, 1) as passenger_count, 12 as pickup_hour,
+               trip_duration_minutes, coalesce(passenger_count, 1) as passenger_count, pickup_hour,
                is_weekend, is_rush_hour, coalesce(pickup_borough, 'Unknown') as pickup_borough,
-               coalesce(dropoff_borough, 'Unknown') as dropoff_borough, "RatecodeID", payment_type from dirty
+               coalesce(dropoff_borough, 'Unknown') as dropoff_borough, "RatecodeID", payment_type, pickup_day_of_week from dirty
         union all
-        select request_id, 0, 3e0, 15e0, 1, 12, 0, 0, 'Manhattan', 'Manhattan', 1, 1 from preds)""")
+        select request_id, 0, 3e0, 15e0, 1, 12, 0, 0, 'Manhattan', 'Manhattan', 1, 1, 3 from preds)""")
     + _stats_columns("packed"),
     "feature_hash": _with(TRIPS) + f"""
       select {_KEYS}, substr(sha256(
@@ -741,6 +741,9 @@ SQL: dict[str, str] = {
                when max_psi >= 0.2 then 'medium' else 'low' end, count(*) from verdict where drift_detected group by 2
       union all select 'promotions', coalesce(cast(champion_version as varchar), '') || '|'
                || cast(challenger_version as varchar), count(*) from decisions where promoted group by 2
+      union all select 'retraining_runs', case when challenger_version % 2 = 0 then 'drift' else 'scheduled' end || '|'
+               || case when challenger_version = 2 then 'skipped' when challenger_version = 4 then 'failed' else 'success' end,
+             count(*) from decisions group by 2
       union all select 'validation_failures', '/predict|' || split_part(code, ':', 2), count(*)
       from (select unnest(codes) as code from problems) group by 2""",
     "stream_drift": _with(
@@ -763,6 +766,31 @@ SQL: dict[str, str] = {
              cast(count(*) filter (psi >= 0.2) as int) as drift_count, count(*) filter (psi >= 0.2) >= 3 as drift_detected,
              max(psi) filter (feature = 'prediction') >= 0.15 as prediction_drift_detected
       from drift group by hash_key""",
+    "monitor_log": _with(
+        TRIPS,
+        """ref as (select *, fare_amount as prediction from featured where pickup_ts < timestamp '1999-01-01'),
+        cur as (
+          select * replace (coalesce(pickup_borough, 'Unknown') as pickup_borough,
+                            coalesce(dropoff_borough, 'Unknown') as dropoff_borough),
+                 'm' || cast(l_suppkey % 2 as varchar) as model_name,
+                 round(greatest(2.5e0, 3e0 + trip_distance*2.5e0 + trip_duration_minutes*0.5e0
+                   + case when is_rush_hour <> 0 then 2.5e0 else 0 end), 2) as prediction
+          from (select * from shifted where l_partkey % 211 <> 0)
+          where pickup_ts between timestamp '1999-06-30' and timestamp '2000-06-30')""",
+        _window_ctes("ref", "cur", [*NUMERIC, "prediction"], CATEGORICAL, ["model_name"], []),
+    ) + """
+      select hash_key as model_name, max(rows_r) as reference_sample_count, max(rows_c) as current_sample_count,
+             round(max(psi) filter (feature <> 'prediction'), 6) as max_psi,
+             round(avg(psi) filter (feature <> 'prediction'), 6) as avg_psi,
+             round(max(psi) filter (feature = 'prediction'), 6) as prediction_psi,
+             cast(count(*) filter (psi >= 0.2) as int) as drift_count, count(*) filter (psi >= 0.2) >= 3 as drift_detected,
+             string_agg(feature || ':' || case when psi < 0.1 then 'none' when psi < 0.2 then 'low'
+               when psi < 0.25 then 'medium' else 'high' end, ',' order by position) as details,
+             case when count(*) filter (psi >= 0.2) >= 3 then
+               case when max(psi) filter (feature <> 'prediction') >= 0.25 then 'high'
+                    when max(psi) filter (feature <> 'prediction') >= 0.2 then 'medium' else 'low' end end as alert_severity,
+             1 as runs
+      from drift group by hash_key having max(rows_c) >= 100""",
     "train_score": _with(TRIPS, PREPARED, f"split as (select *, {_HASH} % 100 < 80 as fitting from prepared)") + """
       select 'rows of payment type ' || cast(payment_type as varchar) as fact, cast(count(*) as double) as value
       from split where not fitting group by 1
@@ -771,7 +799,7 @@ SQL: dict[str, str] = {
       union all select 'fallback fares', round(sum(round(greatest(2.5e0, 3e0 + trip_distance*2.5e0
         + trip_duration_minutes*0.5e0 + case when is_rush_hour <> 0 then 2.5e0 else 0 end), 2)), 2)
         from split where not fitting
-      union all select * from (values ('better than the mean', 1), ('fares under the floor', 0), ('fares not in cents', 0),
+      union all select * from (values ('closer than the mean', 1), ('fares under the floor', 0), ('fares not in cents', 0),
         ('reloaded scores that differ', 0), ('good table passes', 1), ('broken table passes', 0),
         ('errors of the broken table', 1))""",
     "table_checks": _with(TRIPS, SCORED, "report as (" + _validate_table("featured", ("pickup_month", "payment_type")) + ")") + """
