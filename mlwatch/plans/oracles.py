@@ -802,6 +802,16 @@ SQL: dict[str, str] = {
       union all select * from (values ('closer than the mean', 1), ('fares under the floor', 0), ('fares not in cents', 0),
         ('reloaded scores that differ', 0), ('good table passes', 1), ('broken table passes', 0),
         ('errors of the broken table', 1))""",
+    "retrain_run": """
+      select * from (values
+        ('calm', 'drift', 'skipped', 'skipped', 'r0', 1, 0.1e0, null::boolean, null::int, null::varchar, null::double,
+         null::boolean, 1, null::boolean, false),
+        ('fare', 'manual', 'failed', 'failed', null, null, null, null, 1, null, null, null, 1, true, false),
+        ('fare', 'drift', 'completed', 'success', 'r1', 4, 0.4e0, true, 1,
+         'First model - auto-promoted as initial champion', null, true, 1, null, true))
+      as t(model_name, trigger_type, status, outcome, drift_run_id, drift_count, drift_max_psi, promoted, model_version,
+           promotion_reason, latency_ratio, gain_is_rmse, like_it, names_the_column, measured)
+      where (select count(*) from lineitem) > 0""",
     "table_checks": _with(TRIPS, SCORED, "report as (" + _validate_table("featured", ("pickup_month", "payment_type")) + ")") + """
       select 'rows written once' as fact, cast(count(*) as double) as value from featured
       union all select 'missing columns', count(*) from report where rule = 'missing_column' and failed

@@ -21,7 +21,7 @@ from mlwatch.operators import (
     train,
     validate,
 )
-from mlwatch.plans import monitor, views
+from mlwatch.plans import monitor, retrain, views
 from mlwatch.sources import files, history
 from mlwatch.sources.shared import scratch_path, written
 from mlwatch.spec import PREDICTION_LATENCY_BOUNDS, REQUEST_LATENCY_BOUNDS, Rule, TRIP_SPEC
@@ -910,7 +910,8 @@ def train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "models")
     train.save_version(model, root, "fare", 1)
     scored = written(train.score_or_baseline(spark, testing, root, "fare", 1, views.SPEC), "scored")
-    direct = train.score(model, testing, views.SPEC).select(*views.KEYS, F.col("predicted_fare").alias("direct"))
+    reloaded = scored.withColumnRenamed("predicted_fare", "reloaded").drop("prediction")
+    again = train.score(model, reloaded, views.SPEC)
     fallback = train.score_or_baseline(spark, testing, root, "fare", 2, views.SPEC)
     broken = fitting.withColumn("trip_distance", F.lit(500.0))
     refused = validate.validation_summary(validate.validation_report(broken, views.SPEC))
@@ -923,7 +924,7 @@ def train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = evaluate.regression_metrics(
         train.score(model, fitting, views.SPEC), "fare_amount", "prediction", extra=[F.stddev_pop("fare_amount").alias("spread")]
     )
-    fare, again = F.col("predicted_fare"), scored.join(direct, views.KEYS)
+    fare = F.col("predicted_fare")
     facts = [
         rows.select(F.concat(F.lit("rows of payment type "), "payment_type").alias("fact"), "value"),
         fact("train rows", metrics, F.max("train_samples")),
@@ -931,7 +932,7 @@ def train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         fact("closer than the mean", fitted, F.min((F.col("rmse") < F.col("spread")).cast("int"))),
         fact("fares under the floor", scored, F.count_if(fare < 2.5)),
         fact("fares not in cents", scored, F.count_if(fare != F.round(fare, 2))),
-        fact("reloaded scores that differ", again, F.count_if(fare != F.col("direct"))),
+        fact("reloaded scores that differ", again, F.count_if(fare != F.col("reloaded"))),
         fact("fallback fares", fallback, F.round(F.sum(fare), 2)),
         fact("good table passes", validate.validation_summary(validate.validation_report(fitting, views.SPEC)), F.max(F.col("success").cast("int"))),
         fact("broken table passes", refused, F.max(F.col("success").cast("int"))),
@@ -940,6 +941,43 @@ def train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, facts)
 
 
+@query
+def retrain_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retraining from trigger to records: a calm model, broken data, and a first model that is promoted."""
+    ready = written(prepare.prepare(views.featured(spark, sf_dir), views.SPEC, keep=views.KEYS), "features")
+    fitting, testing = prepare.split_by_key(ready, views.KEYS)
+    drift_runs = spark.createDataFrame(
+        [("r1", "fare", True, 4, 0.4), ("r0", "calm", False, 1, 0.1)],
+        "run_id string, model_name string, drift_detected boolean, drift_count int, max_psi double",
+    ).withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    paths = [scratch_path(spark, n) for n in ("models", "decisions", "runs")]
+
+    def run(model: str, at: str, test: DataFrame, trigger: str = "drift") -> None:
+        config = retrain.RetrainConfig(model, *paths, spec=views.SPEC)
+        retrain.run_retraining(spark, drift_runs, fitting, test, config, None, 1, at, trigger_type=trigger)
+
+    run("calm", "2024-01-02 00:00:00", testing)
+    try:
+        run("fare", "2024-01-03 00:00:00", testing.withColumn("fare_amount", F.lit(0.0)), "manual")
+    except ValueError:
+        pass  # recorded as failed
+    run("fare", "2024-01-04 00:00:00", testing)
+    runs, decisions = (history.read_history(spark, p) for p in paths[:0:-1])
+    linked = decide.lineage(
+        runs.drop("promoted", "drift_max_psi", "drift_count"), drift_runs, decisions
+    ).join(rollups.counter(runs, ["trigger_type", "outcome"]).withColumnRenamed("total", "like_it"), ["trigger_type", "outcome"])
+    chosen = decisions.select(
+        F.col("decision_id").alias("promotion_decision_id"), "promotion_reason", "latency_ratio",
+        (F.col("challenger_rmse") == F.col("primary_metric_improvement")).alias("gain_is_rmse"),
+    )
+    return linked.join(chosen, "promotion_decision_id", "left").select(
+        "model_name", "trigger_type", "status", "outcome", "drift_run_id", "drift_count", "drift_max_psi", "promoted",
+        "model_version", "promotion_reason", "latency_ratio", "gain_is_rmse", "like_it",
+        F.col("error_message").contains("fare_amount").alias("names_the_column"),
+        F.col("rmse").isNotNull().alias("measured"),
+    )
+
+
 @query
 def table_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column sets, success flags, features in common, skipped writes and version choice, one fact per row."""
