@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 from mlwatch.plans import views
+from mlwatch.plans.queries import QUERIES
 from mlwatch.sources import history
 
-BATCH = [k for k in entry.queries() if not k.startswith(("stream_", "train_"))]
+BATCH = [k for k in QUERIES if not k.startswith(("stream_", "train_", "retrain_"))]
 
 
 def physical(df):
