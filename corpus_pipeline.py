@@ -1,5 +1,5 @@
-"""A corpus made ready for training: good documents, one of each near-duplicate group, without secrets, mixed by
-source, as tokens.
+"""A corpus made ready for training: good documents, one of each group of near duplicates and of reworded copies,
+without secrets, mixed by source, as tokens.
 
 Every stage judges its own input: all rows that the stage before it kept, read again from Parquet.
 """
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mlwatch.llm import bpe, mixing, quality, secret_scan, simhash
+from mlwatch.llm import bpe, mixing, quality, reworded, secret_scan, simhash
 from mlwatch.llm.rows import table
 from mlwatch.sources.shared import discard, written
 
@@ -19,10 +19,15 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays: fingerprints within four bits."""
     return simhash.one_of_each_group(docs)
 
 
+def reworded_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose five-word shingles have a similarity of 0.8 or more stays."""
+    return reworded.without_copies(docs)
+
+
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets give way to marks; every document stays."""
     return secret_scan.without_secrets(docs)
@@ -42,6 +47,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality", good_quality),
     ("near_duplicates", near_duplicates),
+    ("reworded_copies", reworded_copies),
     ("secrets", no_secrets),
     ("mixing", mixed_sources),
     ("tokens", tokens),

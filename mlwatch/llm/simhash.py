@@ -164,17 +164,24 @@ def simhash_groups(
     )
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the smallest id's.
+def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each group of ``groups`` (id, component_id): the smallest id's.
 
     Rows without an id can't be named as copies and stay, exact repeats of them once.
     """
-    groups = simhash_groups(docs, id_col, text_col)
     copies = groups.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     rest = docs.join(copies, id_col, "left_anti").select(docs.columns)
     nameless = F.when(F.col(id_col).isNull(), F.xxhash64(*docs.columns))
     return rest.withColumn("__nameless", nameless).dropDuplicates([id_col, "__nameless"]).drop("__nameless")
 
 
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the smallest id's.
+
+    Rows without an id can't be named as copies and stay, exact repeats of them once.
+    """
+    return first_of_groups(docs, simhash_groups(docs, id_col, text_col), id_col)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
