@@ -7,6 +7,7 @@ Every stage judges its own input: all rows that the stage before it kept, read a
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mlwatch.llm import bpe, mixing, quality, reworded, secret_scan, simhash
 from mlwatch.llm.rows import table
@@ -39,9 +40,12 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document (little-endian unsigned 32-bit integers), in the order of the mixture."""
-    found = bpe.encode(docs.select("doc_id", "text"))
-    return found.select("doc_id", "n_tokens", "ids")
+    """Token ids of each document (little-endian unsigned 32-bit integers), and its place in the mixture.
+
+    The order by ``place`` is the mixture's; places are unique and have gaps.
+    """
+    found = bpe.encode(docs.select(F.struct("doc_id", mixing.written_place().alias("place")).alias("id"), "text"), id_col="id")
+    return found.select("id.doc_id", "id.place", "n_tokens", "ids")
 
 
 STAGES = [

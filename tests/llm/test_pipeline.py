@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from mlwatch.llm import quality, secret_scan
+from mlwatch.llm import mixing, quality, secret_scan
 from mlwatch.llm.rows import held_out, table
 from tests.llm.test_simhash import plain_components, plain_fingerprint
 
@@ -77,3 +77,20 @@ def test_tokens_are_of_the_whole_text(stages):
         ids = np.array(encoding.encode_ordinary(texts.pop(r.doc_id)), "<u4").tobytes()
         assert hashlib.sha256(r.ids).digest() == hashlib.sha256(ids).digest() and r.n_tokens == len(ids) // 4
     assert not texts
+
+
+def test_places_of_the_tokens_follow_the_schedule(spark, stages):
+    before, after, _ = stages["tokens"]
+    due = mixing.mix(spark.createDataFrame([(r.doc_id, r.source) for r in stages["mixing"][0]], "doc_id long, source string"))
+    schedule = [r.doc_id for r in due.orderBy("__position").collect()]
+    assert [r.doc_id for r in sorted(after, key=lambda r: r.place)] == schedule
+    assert len({r.place for r in after}) == len(after)
+
+
+def test_places_outlast_packed_and_split_files(spark, tmp_path):
+    rows = [(i, "word " * (i % 90 * 40), f"s{i % 5}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    schedule = [r.doc_id for r in mixing.mix(docs).orderBy("__position").collect()]
+    mixing.in_mixed_order(docs).write.option("maxRecordsPerFile", 200).parquet(str(tmp_path / "mixed"))
+    out = corpus_pipeline.tokens(spark, spark.read.parquet(str(tmp_path / "mixed")), "").collect()
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.place)] == schedule
