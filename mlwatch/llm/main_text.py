@@ -2,8 +2,8 @@
 
 The page's text blocks are gathered under their root-to-leaf tag paths. Each path has the mean length and
 punctuation of its blocks; both are smoothed along the page, fused, and thresholded by their spread, which
-selects content blocks. The deepest element that holds nearly all selected text is the article, and its blocks,
-less those of parts that are never content, are the main text.
+selects content blocks. The container of nearly all selected text is the article: its blocks, the selected ones
+outside it, and the headings before them, less those of parts that are never content, are the main text.
 """
 
 from __future__ import annotations
@@ -39,6 +39,11 @@ _INLINE = frozenset(
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WHOLE = frozenset("html body main article".split())
+# Elements that are parts of a text: the text goes on outside them.
+_PARTS = _HEADINGS | frozenset(
+    "p pre blockquote section figure figcaption ul ol dl li dt dd table caption thead tbody tfoot tr td th details summary "
+    "address center".split()
+)
 # Words of a class, id or role that name a part which is no article text.
 _ASIDE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navigation navbar "
@@ -161,6 +166,13 @@ class _Page:
             if tag in _INLINE and self.open[i][0] not in _INLINE:
                 return  # an inline end tag closes nothing outside its block
 
+    def containers(self) -> list[int]:
+        """Of each element the nearest one around that is no part of a text."""
+        out: list[int] = []
+        for element, tag in enumerate(self.tags):
+            out.append(out[self.parents[element]] if tag in _PARTS or tag in _INLINE else element)
+        return out
+
     def finish(self) -> None:
         self.flush()
         while self.open:
@@ -232,20 +244,20 @@ def main_text(source: str | None) -> str:
         held[page.parents[element]] += held[element]
     enough = HELD * held[0]
     article = max(e for e in range(len(held)) if held[e] >= enough and page.tags[e] not in _INLINE)
-    while page.tags[article] == "p" or page.tags[article] in _HEADINGS:
-        article = page.parents[article]
+    containers = page.containers()
+    article = containers[article]
     for element in range(article, -1, -1):  # an enclosing article element is the whole article
         if page.tags[element] == "article" and page.ends[element] >= article:
-            article = element
-            break
-    inside = [article <= b[1] <= page.ends[article] for b in page.blocks]
-    if page.tags[article] not in ("html", "body", "#page"):
-        return "\n".join(b[0] for b, held_in in zip(page.blocks, inside) if held_in)
-    first, last = np.flatnonzero(chosen)[[0, -1]]
+            return "\n".join(b[0] for b in page.blocks if element <= b[1] <= page.ends[element])
+    if page.tags[article] in ("html", "body", "#page"):  # of the page itself, what isn't in other containers
+        inside = [2 * b[3] < len(b[0]) and containers[b[1]] == article for b in page.blocks]
+    else:
+        inside = [article <= b[1] <= page.ends[article] for b in page.blocks]
+    first, last = np.flatnonzero(chosen | inside)[[0, -1]]
     while first and page.blocks[first - 1][4]:
         first -= 1
-    keep = [c or first <= i <= last and 2 * b[3] < len(b[0]) for i, (b, c) in enumerate(zip(page.blocks, chosen))]
-    return "\n".join(b[0] for b, good in zip(page.blocks, keep) if good)
+    between = [first <= i <= last and (b[4] or 2 * b[3] < len(b[0])) for i, b in enumerate(page.blocks)]
+    return "\n".join(b[0] for b, *good in zip(page.blocks, chosen, inside, between) if any(good))
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -35,6 +35,24 @@ def test_main_text(page, expected):
     assert main_text(page) == expected
 
 
+LONG = "A listing of many words, one after the other; and so on. " * 40
+
+
+@pytest.mark.parametrize("dominant", ["<pre>{}</pre>", "<table><tr><td>{}</table>", "<section><p>{}</p></section>", "<blockquote>{}</blockquote>"])
+@pytest.mark.parametrize("page", ["<div>{}</div>", "<body>{}</body>", "<div><div>{}</div></div>"])
+def test_a_long_part_is_not_the_whole_text(page, dominant):
+    body = f"<h1>Title</h1><p>An intro.</p>{dominant.format(LONG)}<p>An outro.</p>"
+    assert main_text(page.format(body)) == f"Title\nAn intro.\n{LONG.strip()}\nAn outro."
+
+
+def test_titles_and_selected_blocks_outside_the_longest_container_stay():
+    page = f"<div id=content><h1>Title</h1><div class=text><p>{LONG}</p><p>{LONG}</p></div></div>"
+    assert main_text(page) == f"Title\n{LONG.strip()}\n{LONG.strip()}"
+    parts = [f"<div><p>{LONG * 9}</p></div>", f"<div><p>{LONG}</p></div>"]
+    for order in (parts, parts[::-1]):
+        assert main_text("".join(order)) == "\n".join(re.sub("<.*?>", "", x).strip() for x in order)
+
+
 def test_whole_articles_of_the_pages_table(spark, sf):
     for row in spark.read.parquet(f"{sf}/pages.parquet").collect():
         article = re.search(r"<article>(.*)</article>", row.html, re.S)[1]
