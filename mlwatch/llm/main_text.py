@@ -30,7 +30,7 @@ _PUNCTUATION = ".,;:!?…。，、！？；："
 _RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NEVER = frozenset(
-    "head script style title nav footer header aside form noscript template svg math canvas button select option "
+    "head script style title nav footer header aside noscript template svg math canvas button select option "
     "textarea iframe object dialog menu audio video xmp noembed noframes".split()
 )
 _INLINE = frozenset(
@@ -44,7 +44,7 @@ _PARTS = _HEADINGS | frozenset(
     "p pre blockquote section figure figcaption ul ol dl li dt dd table caption thead tbody tfoot tr td th details summary "
     "address center".split()
 )
-# Words of a class, id or role that name a part which is no article text.
+# Words of a class, id or role that name a part which is no article text, unless it holds most of the page's.
 _ASIDE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navigation navbar "
     "menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices popup modal overlay "
@@ -71,15 +71,17 @@ class _Page:
 
     def __init__(self):
         self.parents, self.ends, self.tags = [-1], [0], ["#page"]
-        self.blocks: list[tuple[str, int, int, int, bool]] = []  # text, element, path, link characters, heading
+        # text, element, path, link characters, heading, all of it in inline asides
+        self.blocks: list[tuple[str, int, int, int, bool, bool]] = []
+        self.asides: set[int] = set()
         self.paths: dict[tuple[int, str], int] = {}
-        # open elements: tag, number, path, never content, in a link
-        self.open: list[tuple[str, int, int, bool, bool]] = [("#page", 0, -1, False, False)]
+        # open elements: tag, number, path, never content, in a link, in an inline aside
+        self.open: list[tuple[str, int, int, bool, bool, bool]] = [("#page", 0, -1, False, False, False)]
         self.waiting: list[str] = []
-        self.linked, self.under = 0, (0, -1)
+        self.linked, self.under, self.beside = 0, (0, -1), True
 
     def text(self, chunk: str) -> None:
-        _, number, path, never, linked = self.open[-1]
+        _, number, path, never, linked, beside = self.open[-1]
         if never or not chunk:
             return
         if "&" in chunk:
@@ -87,6 +89,7 @@ class _Page:
         if not self.waiting and not chunk.isspace():
             self.under = (number, path)
         self.waiting.append(chunk)
+        self.beside = self.beside and (beside or chunk.isspace())
         if linked:
             self.linked += len(chunk.strip())
 
@@ -95,8 +98,8 @@ class _Page:
             text = " ".join("".join(self.waiting).split())
             if text:
                 heading = any(tag in _HEADINGS for tag, *_ in self.open[-3:])
-                self.blocks.append((text, *self.under, self.linked, heading))
-            self.waiting, self.linked = [], 0
+                self.blocks.append((text, *self.under, self.linked, heading, self.beside))
+            self.waiting, self.linked, self.beside = [], 0, True
 
     def start(self, tag: str, attributes: str, closed: bool) -> None:
         if tag == "br" or tag == "wbr":
@@ -112,34 +115,36 @@ class _Page:
             if tag in _ENDS:
                 for other in _ENDS[tag]:
                     self._close_open(other, _SCOPE[tag])
-        _, parent, path, never, linked = self.open[-1]
-        words = self._words(attributes) if attributes else ()
+        _, parent, path, never, linked, beside = self.open[-1]
+        words, hidden = self._words(attributes) if attributes else ((), False)
         key = f"{tag}.{words[0]}" if words else tag
         never = never or tag in _NEVER and not (tag == "header" and any(t == "article" for t, *_ in self.open[-4:]))
-        if words and tag not in _WHOLE:
-            never = never or not _ASIDE.isdisjoint(words)
+        never = never or hidden and tag not in _WHOLE
+        aside = tag == "form" or tag not in _WHOLE and not _ASIDE.isdisjoint(words)
         number = len(self.parents)
+        if aside and tag not in _INLINE:
+            self.asides.add(number)
         self.parents.append(parent)
         self.ends.append(number)
         self.tags.append(tag)
         if closed and tag not in _INLINE:
             return
         path = self.paths.setdefault((path, key), len(self.paths))
-        self.open.append((tag, number, path, never, linked or tag == "a"))
+        self.open.append((tag, number, path, never, linked or tag == "a", beside or aside and tag in _INLINE))
 
     @staticmethod
-    def _words(attributes: str) -> list[str]:
-        found = []
+    def _words(attributes: str) -> tuple[list[str], bool]:
+        """The words of class, id and role, and whether the element is hidden."""
+        found, hidden = [], False
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                found.append("overlay")
+                hidden = True
             elif name == "style":
-                if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                    found.append("overlay")
+                hidden = hidden or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
             elif name in ("class", "id", "role"):
                 found += _WORD.findall(value)
-        return found
+        return found, hidden
 
     def _pop(self) -> None:
         self.ends[self.open.pop()[1]] = len(self.parents) - 1
@@ -173,10 +178,35 @@ class _Page:
             out.append(out[self.parents[element]] if tag in _PARTS or tag in _INLINE else element)
         return out
 
+    def held(self, chars: list[float]) -> np.ndarray:
+        """Characters in each element and its descendants, given those of each block."""
+        out = np.zeros(len(self.parents))
+        for block, n in zip(self.blocks, chars):
+            out[block[1]] += n
+        for element in range(len(out) - 1, 0, -1):
+            out[self.parents[element]] += out[element]
+        return out
+
+    def drop_asides(self) -> None:
+        """Leave out the blocks of asides, but not of one that holds most of the text: of the text in article and main
+        elements, if there is some, else of the page's. All stay if none would."""
+        whole: list[bool] = []
+        for element, tag in enumerate(self.tags):
+            whole.append(tag in ("article", "main") or element > 0 and whole[self.parents[element]])
+        texts = self.held([len(b[0]) * whole[b[1]] for b in self.blocks])
+        if not texts[0]:
+            texts = self.held([len(b[0]) for b in self.blocks])
+        aside = [False]
+        for element in range(1, len(self.tags)):
+            named = element in self.asides and 2 * texts[element] <= texts[0]
+            aside.append(named or aside[self.parents[element]])
+        self.blocks = [b for b in self.blocks if not (b[5] or aside[b[1]])] or self.blocks
+
     def finish(self) -> None:
         self.flush()
         while self.open:
             self._pop()
+        self.drop_asides()
 
 
 def read_page(source: str) -> _Page:
@@ -237,11 +267,7 @@ def main_text(source: str | None) -> str:
     chosen = selected(page)
     if not chosen.any():
         chosen[:] = True
-    held = np.zeros(len(page.parents))
-    for (text, element, *_), good in zip(page.blocks, chosen):
-        held[element] += len(text) * good
-    for element in range(len(held) - 1, 0, -1):
-        held[page.parents[element]] += held[element]
+    held = page.held([len(b[0]) * good for b, good in zip(page.blocks, chosen)])
     enough = HELD * held[0]
     article = max(e for e in range(len(held)) if held[e] >= enough and page.tags[e] not in _INLINE)
     containers = page.containers()

@@ -53,6 +53,28 @@ def test_titles_and_selected_blocks_outside_the_longest_container_stay():
         assert main_text("".join(order)) == "\n".join(re.sub("<.*?>", "", x).strip() for x in order)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='layout no-sidebar'>{}</div>",
+        "<div id=page class='has-banner'><div class=ad>Buy, buy, buy!</div><article>{}</article></div>",
+        "<div class='related-work'>{}</div>",
+        "<form action=/><div class=menu>Go, now.</div><div>{}</div></form>",
+        "<div class=sidebar><div class=widget>{}</div></div>",
+        "<form><main>{}</main></form><form><p>Send, please.</p></form>",
+    ],
+)
+def test_wrappers_named_like_asides_keep_their_text(page):
+    assert main_text(page.format(ARTICLE)) == TEXT
+
+
+def test_words_of_inline_elements_stay_in_their_paragraph():
+    page = "<p>The <span class='search-term'>second</span> word, and <b class=promo>more</b>.</p>"
+    assert main_text(page) == "The second word, and more."
+    assert main_text(f"{page}<p><span class=share>Share this, now.</span></p>") == "The second word, and more."
+    assert main_text(f"{page}<div hidden>Unseen, here.</div>") == "The second word, and more."
+
+
 def test_whole_articles_of_the_pages_table(spark, sf):
     for row in spark.read.parquet(f"{sf}/pages.parquet").collect():
         article = re.search(r"<article>(.*)</article>", row.html, re.S)[1]
