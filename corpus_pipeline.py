@@ -31,7 +31,7 @@ def reworded_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets give way to marks; every document stays."""
-    return secret_scan.without_secrets(docs)
+    return secret_scan.without_secrets(docs, words=secret_scan.corpus_words(docs))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Secrets in texts: fixed patterns, and values in credential contexts that would be costly to guess.
 
 The cost of a value is the least number of guess bits over all its segmentations into dictionary words, dates,
-repeats, keyboard walks and spans tried by brute force, found by dynamic programming over its characters.
+repeats, keyboard walks and spans tried by brute force, found by dynamic programming over its characters. The
+dictionary is a short list of common passwords, followed by the words of the corpus, most frequent first.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth
 # A value that costs at least so many bits to guess is a secret.
 GUESS_BITS = 40.0
 
+# Words of a corpus that are dictionary words: the most frequent ones, each in at least so many documents.
+CORPUS_WORDS = 1 << 15
+WORD_DOCS = 3
 # The words guessed first, most common first; callers may pass a longer list.
 WORDS = (
     "password pass word admin login welcome letmein secret master dragon monkey shadow sunshine princess football "
@@ -68,6 +72,28 @@ def _alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100
 
 
+class _Starts:
+    """Where a run that is still going may begin a span, cheapest ends first known; those that can't win are left out.
+
+    A span from ``start`` costs its value plus the logarithm of its length. The gap of two logarithms only shrinks
+    as the run goes on, so a later start that isn't cheaper at once never is.
+    """
+
+    def __init__(self, least: int):
+        self.least, self.known = least, []
+
+    def cost(self, end: int, run: int, value: list[float]) -> float:
+        """The least cost of a span of the run that began at ``run``, infinite where it is too short."""
+        if end - run < self.least:
+            self.known = []
+            return math.inf
+        start = end - self.least
+        new = value[start] + math.log2(self.least)
+        if all(new < value[s] + math.log2(end - s) for s in self.known):
+            self.known = [s for s in self.known if value[s] < value[start]] + [start]
+        return min(value[s] + math.log2(end - s) for s in self.known)
+
+
 def guess_bits(value: str, ranks: dict[str, int] = RANKS) -> float:
     """Bits of the cheapest way to guess ``value``; 0 for the empty one. Time and memory follow its length."""
     n, lower = len(value), value.lower()
@@ -79,6 +105,7 @@ def guess_bits(value: str, ranks: dict[str, int] = RANKS) -> float:
     for m in re.finditer(rf"(?=({_DATE.pattern}))", value):
         dates.setdefault(m.end(1), []).append(m.start(1))
     repeat = walk = 0  # where the run of one character, and the walk, that end here began
+    repeats, walks, sloped = _Starts(3), _Starts(4), [0.0] * (n + 1)
     for end in range(1, n + 1):
         i = end - 1
         cost = best[i] + brute
@@ -86,11 +113,8 @@ def guess_bits(value: str, ranks: dict[str, int] = RANKS) -> float:
             repeat = i
         if i and lower[i] not in ADJACENT.get(lower[i - 1], ""):
             walk = i
-        if end - repeat >= 3:
-            cost = min(cost, best[repeat] + brute + math.log2(end - repeat))
-        if end - walk >= 4:
-            turns = end - walk
-            cost = min(cost, best[walk] + math.log2(47) + math.log2(turns) + turns)
+        cost = min(cost, repeats.cost(end, repeat, best) + brute)
+        cost = min(cost, walks.cost(end, walk, sloped) + math.log2(47) + end)  # a bit for every turn
         for start in dates.get(end, ()):
             cost = min(cost, best[start] + DATE_BITS)
         for start in range(max(0, end - LONGEST_WORD), end - 1):
@@ -102,7 +126,7 @@ def guess_bits(value: str, ranks: dict[str, int] = RANKS) -> float:
             half = (end - start) // 2  # a block said twice costs little more than once
             if half >= 3 and (end - start) % 2 == 0 and lower[start : start + half] == lower[start + half : end]:
                 cost = min(cost, best[start + half] + 1)
-        best[end] = cost
+        best[end], sloped[end] = cost, cost - end
     return best[n]
 
 
@@ -142,6 +166,24 @@ def spans_of(text: str | None, bits: float = GUESS_BITS, ranks: dict[str, int] =
     return _ordered(found)
 
 
+def corpus_words(docs: DataFrame, text_col: str = "text", bound: int = CORPUS_WORDS, least: int = WORD_DOCS) -> list[str]:
+    """The dictionary of a corpus: WORDS, then the up to ``bound`` words that most documents hold, ties by name.
+
+    Documents are counted over all rows. Only words of letters outside credential contexts count, in at least
+    ``least`` documents, so that a secret doesn't become a word by being there.
+    """
+    prose = F.lower(F.regexp_replace(text_col, f"(?i){CONTEXT.pattern}", " "))
+    letters = F.lit(rf"(?<![\p{{L}}\p{{N}}])(\p{{L}}{{2,{LONGEST_WORD}}})(?![\p{{L}}\p{{N}}])")
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(prose, letters))).alias("word"))
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    common = [r.word for r in counted.orderBy(F.desc("n"), "word").limit(bound).collect()]
+    return list(dict.fromkeys([*WORDS, *common]))
+
+
+def _ranks(words: list[str] | None) -> dict[str, int]:
+    return RANKS if words is None else {w.lower(): i + 1 for i, w in enumerate(words)}
+
+
 def scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: float = GUESS_BITS,
     words: list[str] | None = None,
@@ -150,10 +192,10 @@ def scan(
 
     Null and empty texts have no spans. Every row gives a row, repeated ones too; extra columns are ignored.
     """
-    ranks = RANKS if words is None else {w.lower(): i + 1 for i, w in enumerate(words)}
+    ranks = docs.sparkSession.sparkContext.broadcast(_ranks(words))
 
     def run(batch: pa.RecordBatch) -> dict:
-        found = [spans_of(t, bits, ranks) for t in batch.column(1).to_pylist()]
+        found = [spans_of(t, bits, ranks.value) for t in batch.column(1).to_pylist()]
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         rows = [[{"kind": k, "start": a, "end": b} for k, a, b in spans] for spans in found]
         return {id_col: batch.column(0), "spans": pa.array(rows, kind)}
@@ -172,18 +214,21 @@ def redacted_text(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def without_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+def without_secrets(
+    docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", words: list[str] | None = None
+) -> DataFrame:
     """``docs`` with secrets replaced by marks, and ``length_col``, if there, set anew where the text changed.
 
     All rows and columns stay; null texts stay null.
     """
     text_at = docs.columns.index(text_col)
+    ranks = docs.sparkSession.sparkContext.broadcast(_ranks(words))
     length_at = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches):
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
-            found = [spans_of(t) for t in texts]
+            found = [spans_of(t, ranks=ranks.value) for t in texts]
             clean = [redacted_text(t, s) if s else t for t, s in zip(texts, found)]
             columns = batch.columns
             columns[text_at] = pa.array(clean, columns[text_at].type)
@@ -198,7 +243,8 @@ def without_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    found = scan(docs, words=corpus_words(docs))
     base = F.filter("spans", lambda s: s["kind"] != "guess")
     listed = lambda spans: F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","

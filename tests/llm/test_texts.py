@@ -188,3 +188,52 @@ def test_nothing_is_learned_from_the_held_out_third(spark):
 
     docs = spark.range(200).withColumnRenamed("id", "doc_id").withColumn("held", held_out())
     assert all(r.held == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in docs.collect())
+
+
+def plain_guess_bits(value, ranks):
+    """Every segmentation: words, walks, repeats and single characters (no dates, no blocks said twice)."""
+    import math
+
+    brute, best = math.log2(26), [0.0]
+    adjacent = secret_scan.ADJACENT
+    for end in range(1, len(value) + 1):
+        costs = [best[end - 1] + brute]
+        for start in range(end - 1):
+            part, n = value[start:end], end - start
+            if part in ranks:
+                costs.append(best[start] + math.log2(ranks[part] + 1))
+            if n >= 3 and len(set(part)) == 1:
+                costs.append(best[start] + brute + math.log2(n))
+            if n >= 4 and all(b in adjacent[a] for a, b in zip(part, part[1:])):
+                costs.append(best[start] + math.log2(47) + math.log2(n) + n)
+        best.append(min(costs))
+    return best[-1]
+
+
+def test_walks_and_repeats_begin_anywhere():
+    rng = np.random.default_rng(8)
+    ranks = {"was": 1, "poi": 2, "aaa": 3, "edc": 700, "wertgf": 5}
+    values = ["wasdfghjk", "poiuytrewq", "trewasdf", "wertgfdsa", "aaaaaaaaab", "edcvfr"]
+    for _ in range(300):
+        value = "q"
+        while len(value) < 11:
+            near = [c for c in secret_scan.ADJACENT[value[-1]] if c.isalpha()]
+            value += value[-1] if rng.random() < 0.2 else rng.choice(near) if rng.random() < 0.8 else rng.choice(list("aqpw"))
+        values.append(value)
+    for value in values:
+        if not any(value[i : i + k] == value[i + k : i + 2 * k] for k in (3, 4, 5) for i in range(len(value)) if len(value) >= i + 2 * k):
+            assert secret_scan.guess_bits(value, ranks) == pytest.approx(plain_guess_bits(value, ranks))
+    assert secret_scan.guess_bits("a" * 200_000) < 30
+
+
+def test_clean_prose_has_no_guesses(spark):
+    prose = ["The password is mandatory here.", "A token is generated, at random.", "Our secret is consistency."]
+    prose += ["Mandatory checks were generated with consistency."] * 3
+    leaked = ["the password is xkqvjwzhfyp"] * 4 + ["the passphrase is gT7#kq9Zx!vB2m"]
+    docs = spark.createDataFrame(list(enumerate(prose + leaked)), "doc_id long, text string")
+    words = secret_scan.corpus_words(docs)
+    out = [r.text for r in secret_scan.without_secrets(docs, words=words).orderBy("doc_id").collect()]
+    assert out[: len(prose)] == prose and all("[guess removed]" in x for x in out[len(prose) :])
+    assert len(secret_scan.corpus_words(docs, bound=2)) <= len(secret_scan.WORDS) + 2
+    found = secret_scan.scan(docs, words=words).orderBy("doc_id").collect()
+    assert [len(r.spans) for r in found] == [0] * len(prose) + [1] * len(leaked)
