@@ -2,16 +2,21 @@
 
 The rows of a source, in the order of a hash, are cut into blocks. Block j of a source with weight w (a share of
 the whole) is released at floor(j / w) and due at ceil((j + 1) / w); in every slot the released block that is due
-first is taken, so that after any number of slots each source is less than one block from its share. Shares are
-whole parts of a period, so one period's slots are the whole schedule. When a source is used up, the others go on
-in proportion to their weights: no row is dropped or repeated.
+first is taken, so that after any number of slots each source is less than one block from its share. Weights are
+exact ratios. When a source is used up, the others go on in proportion to their weights: no row is dropped or
+repeated.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import batched
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +24,11 @@ from mlwatch.llm.rows import table
 from mlwatch.sources.shared import written
 
 BLOCK_ROWS = 64
-# Weights are whole parts; a period has as many slots as all parts together.
-PARTS = 1000
 # Exponent that flattens source sizes to target weights where none are given.
 FLATTEN = 0.5
 # Rows of a source are ranked in so many stretches of the hash, each by a task of its own.
 STRETCHES = 1 << 12
+LONGEST = (1 << 63) - 1
 COLUMNS = ("__block", "__release", "__deadline", "__slot", "__position")
 
 
@@ -45,14 +49,57 @@ def period(parts: dict[str, int]) -> list[str]:
     return slots
 
 
-def whole_parts(weights: dict[str, float], parts: int = PARTS) -> dict[str, int]:
-    """Weights as whole parts of about ``parts``, at least one each."""
-    total = sum(weights.values())
-    return {name: max(1, round(parts * w / total)) for name, w in weights.items()}
+def exact_parts(weights: dict[str, float]) -> dict[str, int]:
+    """Weights as whole parts in exactly their ratios, whatever the number of parts."""
+    if any(not 0 <= w < math.inf for w in weights.values()):
+        raise ValueError("weights must be finite and not negative")
+    ratios = {name: Fraction(w) for name, w in weights.items()}
+    whole = math.lcm(*(r.denominator for r in ratios.values()))
+    return {name: int(r * whole) for name, r in ratios.items()}
+
+
+def slots(blocks: dict[str, int], parts: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, slot) slot by slot, in memory that follows the number of sources.
+
+    A phase ends when a source is used up; release and deadline count from its start. Sources without weight
+    come after all others, in equal parts.
+    """
+    done, at = dict.fromkeys(blocks, 0), 0
+    while left := [name for name, n in blocks.items() if n > done[name]]:
+        share = {name: parts[name] for name in left if parts[name]} or dict.fromkeys(left, 1)
+        total, slot, began = sum(share.values()), 0, dict(done)
+        waiting = [(0, name) for name in share]
+        heapq.heapify(waiting)
+        due: list[tuple[int, int, str, int]] = []
+        while True:
+            while waiting and waiting[0][0] <= slot:
+                release, name = heapq.heappop(waiting)
+                end = -(-(done[name] - began[name] + 1) * total // share[name])
+                heapq.heappush(due, (end, -share[name], name, release))
+            end, _, name, release = heapq.heappop(due)
+            yield name, done[name], release, min(end, LONGEST), at + slot
+            done[name], slot = done[name] + 1, slot + 1
+            if done[name] == blocks[name]:
+                break
+            heapq.heappush(waiting, ((done[name] - began[name]) * total // share[name], name))
+        at += slot
+
+
+def _slot_table(spark: SparkSession, blocks: dict[str, int], parts: dict[str, int]) -> DataFrame:
+    """The rows of :func:`slots`, written by one task: a row for each block, none of them on the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["__source", "__block", "__release", "__deadline", "__slot"]
+        if sum(batch.num_rows for batch in batches):
+            for some in batched(slots(blocks, parts), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*some)], names)
+
+    kinds = "__source string, __block long, __release long, __deadline long, __slot long"
+    return written(spark.range(0, 1, 1, 1).mapInArrow(run, kinds), "mix-slots")
 
 
 def schedule(blocks: dict[str, int], parts: dict[str, int]) -> list[tuple]:
-    """Rows (source, phase, parts, period, first block, end block, first slot, places): in a phase, block
+    """The same for weights of few parts, by periods: rows (source, phase, parts, period, first block, end block, first slot, places): in a phase, block
     first + j of a source takes slot first slot + (j // parts) * period + places[j % parts].
 
     A phase ends when a source is used up. There are at most as many phases as sources, and one period of slots is
@@ -97,7 +144,8 @@ def mix(
     rows equal in both share no position, in any order. Every row stays, with all its columns; null sources are a
     source; an empty table stays empty. Columns of the added names are replaced.
 
-    One count per source meets the driver: sources are the bounded list that weights are given for.
+    One count per source meets the driver: sources are the bounded list that weights are given for. One task lays
+    out the blocks, in a time that follows their number and memory that follows the number of sources.
     """
     docs = docs.drop(*COLUMNS)
     named = docs.select(
@@ -115,33 +163,27 @@ def mix(
     else:
         given = {"" if name is None else f"={name}": float(w) for name, w in weights.items()}
         target = {name: given.get(name, min(given.values())) for name in rows}
-    plan = schedule({name: -(-n // block_rows) for name, n in rows.items()}, whole_parts(target)) if rows else []
-    spark = docs.sparkSession
-    kinds = "__source string, __phase int, __parts long, __period long, __from long, __to long, __at long, __places array<int>"
-    phases = spark.createDataFrame(plan, kinds)  # sources times phases rows: small by the number of sources
+    blocks = {name: -(-n // block_rows) for name, n in rows.items()}
+    taken = _slot_table(docs.sparkSession, blocks, exact_parts(target))
 
     before = Window.partitionBy("__source").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__source", "__stretch", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    block_of = lambda index: F.floor(index / block_rows)
+    held = F.sequence(block_of(F.col("__start")), block_of(F.col("__start") + F.col("__n") - 1))
+    held = starts.withColumn("__block", F.explode(held)).join(taken, ["__source", "__block"])
+    place = F.struct("__block", "__release", "__deadline", "__slot")
+    held = held.groupBy("__source", "__stretch", "__start").agg(F.array_sort(F.collect_list(place)).alias("__places"))
     own = Window.partitionBy("__source", "__stretch").orderBy("__hash", "__id")
-    ranked = named.withColumn("__rank", F.row_number().over(own) - 1).join(starts, ["__source", "__stretch"])
+    ranked = named.withColumn("__rank", F.row_number().over(own) - 1).join(held, ["__source", "__stretch"])
     ranked = ranked.withColumn("__index", F.col("__start") + F.col("__rank"))
-    ranked = ranked.withColumn("__block", F.floor(F.col("__index") / block_rows))
-    phase = F.struct("__to", "__from", "__parts", "__period", "__at", "__places")
-    ends = phases.groupBy("__source").agg(F.array_sort(F.collect_list(phase)).alias("__phases"))
-    placed = ranked.join(F.broadcast(ends), "__source").withColumn(
-        "__p", F.filter("__phases", lambda p: p["__to"] > F.col("__block"))[0]
-    )
-    j = F.col("__block") - F.col("__p.__from")
-    parts, slots = F.col("__p.__parts"), F.col("__p.__period")
-    place = F.get("__p.__places", (j % parts).cast("int"))
-    slot = F.col("__p.__at") + F.floor(j / parts) * slots + place
-    return placed.select(
+    nth = (block_of(F.col("__index")) - block_of(F.col("__start"))).cast("int")
+    return ranked.withColumn("__p", F.get("__places", nth)).select(
         "__row.*",
-        "__block",
-        F.floor(j * slots / parts).alias("__release"),
-        F.ceil((j + 1) * slots / parts).alias("__deadline"),
-        slot.alias("__slot"),
-        (slot * block_rows + F.col("__index") % block_rows).alias("__position"),
+        "__p.__block",
+        "__p.__release",
+        "__p.__deadline",
+        "__p.__slot",
+        (F.col("__p.__slot") * block_rows + F.col("__index") % block_rows).alias("__position"),
     )
 
 

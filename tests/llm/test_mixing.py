@@ -63,3 +63,47 @@ def test_mixed_order_keeps_rows_and_columns(spark):
 
 def test_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "weights",
+    [
+        {"a": 0.33349, "b": 0.0002, "c": 0.4, "d": 0.26631},
+        {f"s{i}": (1 + i) ** 0.5 for i in range(40)},
+        {"hot": 0.9, **{f"small{i}": 0.0001 for i in range(1000)}},
+    ],
+)
+def test_100000_slots_stay_within_a_block_of_the_given_weights(weights):
+    total = sum(weights.values())
+    share = {n: w / total for n, w in weights.items()}
+    done = dict.fromkeys(weights, 0)
+    for t, (name, block, release, deadline, slot) in enumerate(mixing.slots(dict.fromkeys(weights, 10**6), mixing.exact_parts(weights))):
+        assert slot == t and block == done[name] and release <= t < deadline
+        assert abs(done[name] - share[name] * t) < 1 + 1e-9
+        done[name] += 1
+        assert abs(done[name] - share[name] * (t + 1)) < 1 + 1e-9
+        if t % 997 == 0 or t == 99_999:
+            assert all(abs(done[n] - share[n] * (t + 1)) < 1 + 1e-9 for n in share)
+        if t == 99_999:
+            break
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_slots_equal_the_simulation_and_sources_without_weight_come_last(seed):
+    rng = np.random.default_rng(seed)
+    blocks = {f"s{i}": int(rng.integers(0, 60)) for i in range(5)}
+    parts = {n: int(rng.integers(1, 9)) for n in blocks}
+    found = [(n, j, s) for n, j, _, _, s in mixing.slots(blocks, parts)]
+    assert found == plain_schedule(blocks, parts)
+    late = [n for n, *_ in mixing.slots(blocks | {"none": 3}, parts | {"none": 0})]
+    assert late[-3:] == ["none"] * 3 and len(late) == len(found) + 3
+
+
+def test_the_table_follows_uneven_weights(spark):
+    rows = [(i, "rare" if i % 10 == 0 else "big") for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    out = mixing.mix(docs, {"big": 0.9998, "rare": 0.0002}, block_rows=1, stretches=8).toPandas()
+    out = out.sort_values("__slot")
+    assert (out.__slot == np.arange(5000)).all() and (out.__position == out.__slot).all()
+    ahead = (out.source == "rare").cumsum().to_numpy()[:4400]
+    assert (abs(ahead - 0.0002 * np.arange(1, 4401)) < 1).all()
