@@ -40,12 +40,16 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document (little-endian unsigned 32-bit integers), and its place in the mixture.
+    """Token ids of each document (little-endian unsigned 32-bit integers), its place in the mixture, and whether the
+    ids decode to the bytes of its text (``whole``).
 
     The order by ``place`` is the mixture's; places are unique and have gaps.
     """
-    found = bpe.encode(docs.select(F.struct("doc_id", mixing.written_place().alias("place")).alias("id"), "text"), id_col="id")
-    return found.select("id.doc_id", "id.place", "n_tokens", "ids")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    key = F.struct("doc_id", mixing.written_place().alias("place"), digest.alias("digest"))
+    found = bpe.encode(docs.select(key.alias("id"), "text"), id_col="id", decoded=True)
+    whole = F.sha2("decoded", 256) == F.col("id.digest")
+    return found.select("id.doc_id", "id.place", "n_tokens", "ids", whole.alias("whole"))
 
 
 STAGES = [

@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mlwatch.llm import mixing, quality, secret_scan
@@ -94,3 +95,14 @@ def test_places_outlast_packed_and_split_files(spark, tmp_path):
     mixing.in_mixed_order(docs).write.option("maxRecordsPerFile", 200).parquet(str(tmp_path / "mixed"))
     out = corpus_pipeline.tokens(spark, spark.read.parquet(str(tmp_path / "mixed")), "").collect()
     assert [r.doc_id for r in sorted(out, key=lambda r: r.place)] == schedule
+
+
+def test_tokens_decode_to_the_text(spark, stages, tmp_path, monkeypatch):
+    assert all(r.whole for r in stages["tokens"][1])
+    spark.createDataFrame([(1, "é 日本 text"), (2, ""), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    assert all(r.whole for r in corpus_pipeline.tokens(spark, docs, "").collect())
+    encode = corpus_pipeline.bpe.encode
+    cut = lambda docs, **kw: encode(docs, **kw).withColumn("decoded", F.expr("substr(decoded, 2)"))
+    monkeypatch.setattr(corpus_pipeline.bpe, "encode", cut)
+    assert {r.doc_id: r.whole for r in corpus_pipeline.tokens(spark, docs, "").collect()} == {1: False, 2: True, 3: True}
