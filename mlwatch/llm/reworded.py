@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mlwatch.llm.components import connected_components
@@ -75,11 +75,32 @@ def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             "key": pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary()),
             "bands": pa.array(bands, pa.list_(pa.int64())),
             "sample": pa.array([x if x is None else x.astype(np.uint16).tobytes() for x in least], pa.binary()),
-            "found": pa.array([x.tobytes() for x in found], pa.binary()),
+            "at": batch.column(2),
         }
 
-    schema = "id long, key binary, bands array<long>, sample binary, found binary"
-    return by_batch(docs.select(F.col(id_col).cast("long").alias("id"), text_col), run, schema)
+    schema = "id long, key binary, bands array<long>, sample binary, at long"
+    id = F.col(id_col).cast("long")
+    return by_batch(docs.select(id.alias("id"), text_col, _at(id, text_col).alias("at")), run, schema)
+
+
+def _at(id: Column, text_col: str) -> Column:
+    """What a row is found by again: its id, or a hash of its text. Others may have the same."""
+    return F.coalesce(id, F.xxhash64(text_col))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, found): the whole set of each wanted (key, at), made from the texts again, as texts move in less room."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        found = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
+        good = [xxhash.xxh3_128_digest(x) == k for x, k in zip(found, batch.column(0).to_pylist())]
+        return {
+            "key": batch.column(0).filter(pa.array(good)), "found": pa.array([x for x, g in zip(found, good) if g], pa.binary())
+        }
+
+    texts = docs.select(_at(F.col(id_col).cast("long"), text_col).alias("at"), text_col)
+    found = by_batch(texts.join(wanted, "at").select("key", text_col), run, "key binary, found binary")
+    return found.dropDuplicates(["key"])
 
 
 def bucket_pairs(
@@ -149,12 +170,16 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null and empty texts, and texts without words, are copies of each other. Rows without an id connect others.
     """
     prints = written(_prints(docs, id_col, text_col), "reworded-prints")
-    classes = prints.filter("bands IS NOT NULL").select("key", "bands", "sample").dropDuplicates(["key"])
-    banded = classes.select("key", "sample", F.posexplode("bands").alias("band", "value"))
+    classes = prints.filter("bands IS NOT NULL").groupBy("key").agg(F.min("at").alias("at"), F.first("sample").alias("sample"))
+    banded = prints.filter("bands IS NOT NULL").select("key", "bands").dropDuplicates(["key"])
+    banded = banded.select("key", F.posexplode("bands").alias("band", "value"))
     shared = banded.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
-    members = written(banded.join(shared, ["band", "value"]), "reworded-members")
-    sets = prints.join(members.select("key").distinct(), "key").select("key", "found").dropDuplicates(["key"])
-    sets = written(sets, "reworded-sets")
+    buckets = written(banded.join(shared, ["band", "value"]), "reworded-buckets")
+    named = written(classes.join(buckets.select("key").distinct(), "key"), "reworded-classes")
+    members = written(buckets.join(named.select("key", "sample"), "key"), "reworded-members")
+    sets = written(_sets(docs, named.select("key", "at"), id_col, text_col), "reworded-sets")
+    discard(buckets)
+    discard(named)
     links, groups, start, stop = None, None, 0, 2
     while True:
         pairs = written(_candidates(members, groups, start, stop), "reworded-pairs")
@@ -166,6 +191,8 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if not more:
             break
         start, stop = stop, 3 * stop
+    discard(members)
+    discard(sets)
     rooted = prints.select("id", "key").join(groups.withColumnRenamed("node", "key"), "key", "left")
     rooted = rooted.select("id", F.coalesce("component", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
