@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mlwatch.llm.rows import held_out, table
+from mlwatch.llm.rows import hashed_below, held_out, table
 
 SIZE_BITS = 12
 SIZE = 1 << SIZE_BITS
@@ -114,8 +114,10 @@ def _sampled(docs: DataFrame, lang_col: str, key: Column, per_language: int) ->
     sizes = {r[0]: r[1] for r in docs.groupBy(lang_col).count().collect()}
     if not sizes:
         return docs
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
-    return docs.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share[F.col(lang_col)] * 1_000_000)
+    drawn = F.lit(False)
+    for lang, n in sorted(sizes.items()):
+        drawn = F.when(F.col(lang_col) == lang, hashed_below(F.xxhash64(key), per_language, n)).otherwise(drawn)
+    return docs.filter(drawn)
 
 
 def fit(

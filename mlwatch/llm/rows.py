@@ -39,5 +39,14 @@ def some_of(df: DataFrame, key: str, bound: int, seed: int) -> DataFrame:
 
     For fitting only: the bound is a documented parameter of the operators that learn.
     """
-    share = min(1.0, bound / max(1, df.count()))
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000))
+    return df.filter(hashed_below(F.xxhash64(F.lit(seed), F.col(key)), bound, df.count()))
+
+
+def hashed_below(hashed: Column, bound: int, rows: int) -> Column:
+    """True for about ``bound`` of ``rows`` rows by their 64-bit hashes, for all where there are no more than that.
+
+    The whole hash is compared with a whole-number threshold, so that the share is right for any number of rows.
+    """
+    if rows <= bound:
+        return F.lit(True)
+    return hashed < F.lit(-(1 << 63) + (bound << 64) // rows)
