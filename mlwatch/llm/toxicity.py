@@ -79,7 +79,9 @@ def grams(text: str | None, is_word: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def bag(text: str | None, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct n-grams, their counts) of a whole text."""
+    """(distinct n-grams, their counts) of a whole text; a long one is added up stretch by stretch."""
+    if text is None or len(text) < PIECE:
+        return np.unique(np.concatenate([np.zeros(0, np.int32), *grams(text, is_word)]), return_counts=True)
     counts = np.zeros(1 << BITS, np.int64)
     for some in grams(text, is_word):
         counts += np.bincount(some, minlength=len(counts))
@@ -165,7 +167,7 @@ def fit(
 
     About ``sample_rows`` ids of each class are used, chosen by a hash of the id. Null ids and labels teach nothing;
     an id marked both ways, toxic; of several texts of one id the least teaches. A bag has at most ``1 << BITS``
-    n-grams however long its text, so what the driver gathers is bounded by the sample.
+    n-grams however long its text, so what the one task that learns holds is bounded by the sample.
     """
     marked = labels.select(F.col(id_col).alias("__key"), F.col(label_col).cast("int").alias("__toxic"))
     marked = marked.filter("__key IS NOT NULL AND __toxic IN (0, 1)").groupBy("__key").agg(F.max("__toxic").alias("__toxic"))
@@ -183,9 +185,17 @@ def fit(
                 yield pa.RecordBatch.from_arrays(columns, ["toxic", "found", "counts"])
 
     schema = "toxic int, found binary, counts binary"
-    rows = sorted(map(tuple, texts.select("__toxic", "__text").mapInArrow(run, schema).collect()))
-    bags = [(np.frombuffer(f, np.int32), np.frombuffer(c, np.int32)) for _, f, c in rows]
-    return train(bags, np.array([r[0] for r in rows], np.int64))
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn = pa.Table.from_batches(list(batches), pa.schema([("toxic", pa.int32()), ("found", pa.binary()), ("counts", pa.binary())]))
+        drawn = drawn.sort_by([("toxic", "ascending"), ("found", "ascending"), ("counts", "ascending")])
+        found, counts = ([np.frombuffer(v.as_buffer(), np.int32) for v in drawn[name]] for name in ("found", "counts"))
+        logits, bias = train(list(zip(found, counts)), drawn["toxic"].to_numpy().astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([logits.tobytes()], pa.binary()), pa.array([bias])], ["logits", "bias"])
+
+    bags = texts.select("__toxic", "__text").mapInArrow(run, schema)
+    # one task learns from the bounded sample; only its logits meet the driver
+    logits, bias = bags.repartition(1).mapInArrow(learn, "logits binary, bias double").first()
+    return np.frombuffer(logits, np.float32), bias
 
 
 def score(
