@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import MapType
 
 from mlwatch.functions import trips as fn
 from mlwatch.spec import FeatureSpec, TRIP_SPEC
@@ -134,7 +135,17 @@ def cap_by_key(df: DataFrame, keys: list[str], cap: int, rows: int | None = None
 def fixed_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """Exactly ``min(rows, count)`` rows without replacement: those of the lowest hashed keys.
 
-    A top-k: every partition keeps its ``rows`` lowest before they meet.
+    Rows that share a key go by all their columns, so the sample is the same under every partitioning; rows that are
+    equal in every column are interchangeable. A top-k: every partition keeps its ``rows`` lowest before they meet.
     """
     digest = F.md5(F.concat_ws("-", *[F.col(k).cast("string") for k in keys]))
-    return df.orderBy(digest, *keys).limit(rows)
+    return df.orderBy(digest, *_in_total_order(df, keys)).limit(rows)
+
+
+def _in_total_order(df: DataFrame, keys: list[str]) -> list[Column]:
+    """The keys, then every other column, nulls first; maps, which have no order, as sorted entries."""
+    others = [f for f in df.schema.fields if f.name not in keys]
+    return [F.col(k).asc_nulls_first() for k in keys] + [
+        (F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, MapType) else F.col(f.name)).asc_nulls_first()
+        for f in others
+    ]

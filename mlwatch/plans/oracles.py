@@ -416,7 +416,8 @@ SQL: dict[str, str] = {
       from lineitem group by 1, 2""",
     "csv_snapshot_roundtrip": _with(TRIPS) + f"""
       select {_KEYS}, trip_distance, passenger_count, pickup_borough, fare_amount from trips
-      order by md5(cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar)), 1, 2 limit 1000""",
+      order by md5(cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar)),
+        1 nulls first, 2 nulls first, 3 nulls first, 4 nulls first, 5 nulls first, 6 nulls first limit 1000""",
     "append_unique": _with(EVENTS) + """
       select cast(ts as date) as date, model_name, count(*) as n, count(distinct request_id) as requests,
              round(sum(predicted_fare), 2) as fares from preds group by 1, 2""",
@@ -491,7 +492,7 @@ SQL: dict[str, str] = {
       where total <= 5000 or h < floor((5000/cast(total as double))*4294967296)
       union all
       select 'fixed', count(*), round(sum(fare_amount), 2) from (select * from hashed order by
-        md5(cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar)), {_KEYS} limit 100)""",
+        md5(cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar)), {_KEYS}, fare_amount nulls first limit 100)""",
     "sample_gate": _with(EVENTS) + """
       select model_name, cast(ts as date) as day, count(*) as samples, 10 as common, 1 as skipped
       from preds group by 1, 2 having count(*) >= 100""",
