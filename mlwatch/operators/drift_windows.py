@@ -2,19 +2,21 @@
 
 Each group has its own bin edges, as its range is the union of its own and the reference's. Counting the
 reference again for every group would pair all its rows with all groups. Instead the reference is
-reduced to distinct values with counts, the groups to their distinct edges, and one sorted pass over both
-finds how many reference values lie below each edge. Categories need no pairing either: what the
-categories absent from a group add is the reference's own sum less the share of those present.
+reduced to distinct values with counts, the groups to their distinct edges, and one sorted pass over both,
+partitioned by ranges of values, finds how many reference values lie below each edge. Categories need no pairing
+either: what the categories absent from a group add is the reference's own sum less the share of those present.
+
+A current sample can itself come as counted cells (:func:`counted_cells`): those of panes of time, counted once
+each, add up to any window made of whole panes.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from mlwatch.functions.numbers import null_safe, number, share
+from mlwatch.functions.numbers import is_odd, null_safe, number, share
 from mlwatch.operators.drift import (
     CURRENT,
     REFERENCE,
@@ -29,9 +31,6 @@ from mlwatch.operators.drift import (
 from mlwatch.sources.shared import written
 from mlwatch.spec import DRIFT_BINS
 
-# Rows of a piece that the values and edges of a feature are cut into for the sorted pass.
-PIECE_ROWS = 250_000
-
 
 @dataclass(frozen=True)
 class ReferenceSummary:
@@ -81,16 +80,65 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
     return left.join(renamed, on, how).drop(*[f"__{k}" for k in keys])
 
 
+def counted_cells(rows: DataFrame, numeric: list[str], categorical: list[str], by: list[str]) -> DataFrame:
+    """(``by``, feature, x, category, odd, n): how often each value of each feature occurs per group.
+
+    Finite numbers have ``x``, categories ``category``, values that are no finite number only ``odd``; nulls are left out, and
+    the feature with an empty name counts rows. Cells of parts of a sample add up to those of the whole: sum ``n``.
+    """
+    nothing, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+
+    def cell(feature: str, x: Column, category: Column, odd: Column) -> Column:
+        return F.struct(F.lit(feature).alias("feature"), x.alias("x"), category.alias("category"), odd.alias("odd"))
+
+    cells = [
+        cell("", nothing, text, F.lit(False)),
+        *[cell(c, number(c), text, F.coalesce(is_odd(c), F.lit(False))) for c in numeric],
+        *[cell(c, nothing, F.col(c).cast("string"), F.lit(False)) for c in categorical],
+    ]
+    some = (F.col("feature") == "") | F.col("x").isNotNull() | F.col("category").isNotNull() | F.col("odd")
+    tall = rows.select(*by, F.explode(F.array(*cells)).alias("cell")).select(*by, "cell.*").filter(some)
+    return tall.groupBy(*by, "feature", "x", "category", "odd").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cell_moments(cells: DataFrame, numeric: list[str], categorical: list[str], by: list[str]) -> DataFrame:
+    """:func:`mlwatch.operators.drift.feature_moments` of a sample given as counted cells."""
+    x, n = F.col("x"), F.col("n")
+    sums = cells.groupBy(*by, "feature").agg(
+        F.min("x").alias("lo"),
+        F.max("x").alias("hi"),
+        F.coalesce(F.sum(F.when(x.isNotNull() | F.col("category").isNotNull(), n)), F.lit(0)).alias("count"),
+        (F.sum(x * n) / F.sum(F.when(x.isNotNull(), n))).alias("mean"),
+        F.coalesce(F.sum(F.when(F.col("odd"), n)), F.lit(0)).alias("odd_n"),
+        F.sum("n").alias("all_n"),
+    )
+    apart = F.col("x") - F.col("mean")
+    spread = (
+        _join(cells.filter("x is not null"), sums.select(*by, "feature", "mean"), [*by, "feature"])
+        .groupBy(*by, "feature")
+        .agg(F.sqrt(F.sum(apart * apart * F.col("n")) / F.sum("n")).alias("std"))
+    )
+    features = [
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("feature"), F.lit(c in numeric).alias("is_numeric"))
+        for i, c in enumerate([*numeric, *categorical])
+    ]
+    every = (
+        sums.filter("feature = ''")
+        .select(*by, F.col("all_n").alias("rows"), F.explode(F.array(*features)).alias("f"))
+        .select(*by, "rows", "f.*")
+    )
+    keys = [*by, "feature"]
+    found = _join(_join(every, sums, keys, "left"), spread, keys, "left")
+    return found.select(
+        *by, "rows", "position", "feature", "is_numeric", "lo", "hi", F.coalesce("count", F.lit(0)).alias("n"),
+        "mean", "std", F.coalesce("odd_n", F.lit(0)).alias("odd"),
+    )
+
+
 def shared_reference_pairs(
-    summary: ReferenceSummary,
-    current: DataFrame,
-    numeric: list[str],
-    categorical: list[str],
-    by: list[str],
-    reference_by: list[str],
+    summary: ReferenceSummary, cur: DataFrame, by: list[str], reference_by: list[str]
 ) -> DataFrame:
     """Both sides' moments per current group and feature, with the union range; written once."""
-    cur = feature_moments(current.withColumn("side", F.lit(CURRENT)), numeric, categorical, by)
     ref = _side(summary.moments, REFERENCE, reference_by).drop("position", "is_numeric")
     paired = _join(_side(cur, CURRENT, by), ref, [*reference_by, "feature"], "left")
     zero = ["reference_rows", "reference_count", "reference_odd"]
@@ -105,33 +153,22 @@ def shared_reference_pairs(
     )
 
 
-def values_below(
-    values: DataFrame, points: DataFrame, keys: list[str], piece_rows: int = PIECE_ROWS
-) -> DataFrame:
+def values_below(values: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
     """For every distinct point ``x``, the summed ``n`` of the values under it (``keys``, x, below).
 
-    ``values`` holds distinct ``x`` per key with their count ``n``. Values and points are cut at
-    approximate quantiles into pieces, as many as keep them near ``piece_rows`` rows, each piece is summed in
-    order, and the totals of the pieces before it are added, so no task sorts a whole feature.
+    ``values`` holds distinct ``x`` per key with their count ``n``. Values and points are dealt out together by
+    ranges of (``keys``, x), as for a sort; each range is summed in order, and what the ranges before it hold of the
+    same key is added. A row is compared with its range alone, and the ranges grow in number with the rows.
     """
-    both = written(
-        values.select(*keys, "x", "n", F.lit(0).alias("is_point")).unionByName(
-            points.select(*keys, "x").distinct().select(
-                *keys, "x", F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("is_point")
-            )
-        ),
-        "drift-points",
+    both = values.select(*keys, "x", "n", F.lit(0).alias("is_point")).unionByName(
+        points.select(*keys, "x").distinct().select(
+            *keys, "x", F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("is_point")
+        )
     )
-    pieces = math.ceil(both.count() / piece_rows) + 1
-    cuts = written(
-        both.groupBy(*keys).agg(
-            F.percentile_approx("x", [i / pieces for i in range(1, pieces)], 10 * pieces).alias("cuts")
-        ),
-        "drift-cuts",
+    # rows with the same keys and x share a range; its number follows their order
+    placed = written(
+        both.repartitionByRange(*keys, "x").withColumn("piece", F.spark_partition_id()), "drift-points"
     )
-    placed = _join(both, cuts, keys).withColumn(
-        "piece", F.size(F.filter("cuts", lambda cut: cut <= F.col("x")))
-    ).drop("cuts")
     totals = placed.groupBy(*keys, "piece").agg(F.sum("n").alias("piece_n"))
     earlier = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -214,6 +251,15 @@ def current_counts(
     )
 
 
+def cell_counts(cells: DataFrame, paired: DataFrame, by: list[str], bins: int) -> DataFrame:
+    """:func:`current_counts` of a sample given as counted cells."""
+    keys = [*by, "feature"]
+    ranges = paired.filter("is_numeric").select(*keys, "lo", "hi")
+    values = cells.filter("x is not null").select(*keys, F.col("x").alias("value"), "n")
+    binned = with_bins(_join(values, ranges, keys).filter(has_bin()), bins)
+    return binned.groupBy(*keys, "bin").agg(F.sum("n").alias("current_n"))
+
+
 def _category_counts(df: DataFrame, categorical: list[str], by: list[str], name: str) -> DataFrame:
     cells = [
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category"))
@@ -230,9 +276,8 @@ def _category_counts(df: DataFrame, categorical: list[str], by: list[str], name:
 
 def _category_psi(
     reference_n: DataFrame,
-    current: DataFrame,
+    current_n: DataFrame,
     paired: DataFrame,
-    categorical: list[str],
     by: list[str],
     reference_by: list[str],
 ) -> DataFrame:
@@ -253,9 +298,7 @@ def _category_psi(
     )
     absent = divergence_terms(F.col("p"), F.lit(0.0))["psi"]
     alone = ref_shares.groupBy(*reference_by, "feature").agg(F.sum(absent).alias("alone"))
-    seen = _join(
-        _category_counts(current, categorical, by, "current_n"), totals, [*by, "feature"]
-    )
+    seen = _join(current_n, totals, [*by, "feature"])
     matched = _join(seen, ref_shares, [*reference_by, "feature", "category"], "left")
     q = share(F.col("current_n"), F.col("current_count"))
     present = divergence_terms(F.coalesce(F.col("p"), F.lit(0.0)), q)["psi"]
@@ -286,23 +329,29 @@ def shared_reference_drift(
     reference_by: list[str] | None = None,
     bins: int = DRIFT_BINS,
     summary: ReferenceSummary | None = None,
+    counted: bool = False,
 ) -> DataFrame:
     """Feature drift of every current group; ``reference_by`` (a part of ``by``) keys the references.
 
-    A ``summary`` of the reference, made once, saves reading it again. Same columns and values as :func:`mlwatch.operators.drift.feature_drift`.
+    A ``summary`` of the reference, made once, saves reading it again. With ``counted`` the current sample comes as
+    counted cells instead of rows. Same columns and values as :func:`mlwatch.operators.drift.feature_drift`.
     """
     by, reference_by, categorical = by or [], reference_by or [], categorical or []
-    if by == reference_by and summary is None:  # nothing is shared: every group has a reference of its own
+    if not counted and by == reference_by and summary is None:  # nothing is shared: every group has a reference of its own
         rows = sided(reference, current, [*by, *numeric, *categorical])
         return feature_drift(rows, numeric, categorical, by, bins).filter(
             "current_rows > 0" if by else "true"
         )
     summary = summary or summarise_reference(reference, numeric, categorical, reference_by)
-    paired = shared_reference_pairs(summary, current, numeric, categorical, by, reference_by)
+    if counted:
+        moments = cell_moments(current, numeric, categorical, by)
+    else:
+        moments = feature_moments(current.withColumn("side", F.lit(CURRENT)), numeric, categorical, by)
+    paired = shared_reference_pairs(summary, moments, by, reference_by)
     sums = []
     if numeric:
         ref_n = reference_counts(summary.values, paired, by, reference_by, bins)
-        cur_n = current_counts(current, paired, numeric, by, bins)
+        cur_n = cell_counts(current, paired, by, bins) if counted else current_counts(current, paired, numeric, by, bins)
         keys = [*by, "feature"]
         # every bin of a usable range is listed on the reference side
         counts = _join(ref_n, cur_n, [*keys, "bin"], "left").fillna(0, subset=["current_n"])
@@ -315,6 +364,11 @@ def shared_reference_drift(
             counts.groupBy(*keys).agg(*[F.sum(term).alias(name) for name, term in terms.items()])
         )
     if categorical:
-        sums.append(_category_psi(summary.categories, current, paired, categorical, by, reference_by))
+        if counted:
+            found = current.filter("category is not null")
+            cur_n = found.groupBy(*by, "feature", "category").agg(F.sum("n").alias("current_n"))
+        else:
+            cur_n = _category_counts(current, categorical, by, "current_n")
+        sums.append(_category_psi(summary.categories, cur_n, paired, by, reference_by))
     total = sums[0] if len(sums) == 1 else sums[0].unionByName(sums[1])
     return drift_rows(paired, total, by)

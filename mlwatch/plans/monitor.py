@@ -58,17 +58,24 @@ def summarise(reference: DataFrame, log: DataFrame, config: MonitorConfig) -> Re
     return summarise_reference(reference, *watched(config, reference, log))
 
 
-def judge_windows(summary: ReferenceSummary, rows: DataFrame, config: MonitorConfig) -> DataFrame:
-    """Verdict per model and ``window_end`` of rows that are repeated for each window they fall into."""
+def features_of(summary: ReferenceSummary, config: MonitorConfig) -> tuple[list[str], list[str]]:
+    """The numeric and categorical features that a summary holds."""
     known = {r[0] for r in summary.moments.select("feature").distinct().collect()}  # the features watched
+    return [c for c in config.numeric if c in known], [c for c in config.categorical if c in known]
+
+
+def judge_windows(
+    summary: ReferenceSummary, rows: DataFrame, config: MonitorConfig, counted: bool = False
+) -> DataFrame:
+    """Verdict per model and ``window_end`` of rows, or of ``counted`` cells, of each window."""
     drift = shared_reference_drift(
         None,
         rows,
-        [c for c in config.numeric if c in known],
-        [c for c in config.categorical if c in known],
+        *features_of(summary, config),
         by=["model_name", "window_end"],
         bins=config.bins,
         summary=summary,
+        counted=counted,
     )
     end = F.col("window_end")
     return (
@@ -93,15 +100,17 @@ def check_log(
     unpacked = unpack_stats(trailing_window(log, "ts", as_of, config.hours), stats)
     rows = unpacked.withColumnRenamed("predicted_fare", "prediction")
     with scratch_scope():
-        return record_check(check_window(reference, rows, as_of, config), config)
+        record_check(check_window(reference, rows, as_of, config), config)
+    end = as_timestamp(as_of, log.schema["ts"].dataType.simpleString())
+    stored = read_history(log.sparkSession, config.runs_path).filter(F.col("date") == F.to_date(end))
+    models = rows.select("model_name").distinct()
+    return stored.filter(F.col("ts") == end).join(models, "model_name", "left_semi").select(*stored.columns)
 
 
-def record_check(verdict: DataFrame, config: MonitorConfig) -> DataFrame:
-    """Append the runs and the alerts they raise; returns the runs as stored."""
+def record_check(verdict: DataFrame, config: MonitorConfig) -> None:
+    """Append the runs and the alerts they raise."""
     runs = written(verdict, "drift-runs")
     append_unique(runs, config.runs_path, "run_id", "ts", dates_fixed_by_key=True)
     append_unique(
         drift_alerts(runs), config.alerts_path, "alert_id", "created_at", dates_fixed_by_key=True
     )
-    ids = [r[0] for r in runs.select("run_id").collect()]  # one per model and window of the check
-    return read_history(runs.sparkSession, config.runs_path).filter(F.col("run_id").isin(ids))

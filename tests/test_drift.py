@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mlwatch.operators.drift import drift_verdict, feature_drift, histogram_pair, sided
-from mlwatch.operators.drift_windows import shared_reference_drift, values_below
+from mlwatch.operators.drift_windows import counted_cells, shared_reference_drift, summarise_reference, values_below
 
 EPS = 1e-6
 
@@ -203,19 +203,63 @@ def test_shuffled_joins_give_the_same_result(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
-@pytest.mark.parametrize("pieces", [2, 7, 64])
-def test_values_below(spark, pieces):
+@pytest.fixture
+def ranges(spark, request):
+    """A session that keeps so many ranges apart, however small they are."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(request.param))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield request.param
+    for key, value in old.items():
+        spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 7, 64], indirect=True)
+def test_values_below(spark, ranges):
     rng = np.random.default_rng(3)
-    values = np.unique(rng.integers(0, 500, 200)).astype(float)
-    counts = rng.integers(1, 50, len(values))
-    points = [float(p) for p in rng.integers(-5, 510, 60)]
+    rows, asked, expected = [], [], {}
+    for key in ("f", "g", None):
+        values = np.unique(rng.integers(0, 500, 200)).astype(float)
+        counts = rng.integers(1, 50, len(values))
+        points = [float(p) for p in rng.integers(-5, 510, 60)]
+        rows += [(key, float(x), int(n)) for x, n in zip(values, counts)]
+        asked += [(key, p) for p in points]
+        expected |= {(key, p): int(counts[values < p].sum()) for p in points}
     found = values_below(
-        spark.createDataFrame([("f", float(x), int(n)) for x, n in zip(values, counts)], "f string, x double, n long"),
-        spark.createDataFrame([("f", p) for p in points], "f string, x double"),
-        ["f"],
-        pieces,
-    ).collect()
-    assert {r.x: r.below for r in found} == {p: int(counts[values < p].sum()) for p in points}
+        spark.createDataFrame(rows, "f string, x double, n long"), spark.createDataFrame(asked, "f string, x double"), ["f"]
+    )
+    assert {(r.f, r.x): r.below for r in found.collect()} == expected
+
+
+def test_values_below_are_dealt_out_by_ranges(spark):
+    """Ranges come from the shuffle: nothing gathers cuts of a feature and compares every row with them."""
+    values = spark.createDataFrame([("f", float(i), 1) for i in range(50)], "f string, x double, n long")
+    found = values_below(values, values.select("f", "x"), ["f"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "filter(" not in plan and "collect_list" not in plan
+
+
+def test_counted_cells_of_parts_give_the_drift_of_the_whole(spark):
+    """Drift of groups whose cells were counted in parts equals the drift found from their rows."""
+    rng = np.random.default_rng(8)
+    odd = [float("nan"), float("inf"), None]
+    current = [
+        (f"w{i % 3}", i % 5, odd[i % 3] if i % 17 == 0 else float(rng.integers(0, 30)) + 1e9, None if i % 13 == 0 else str(i % 4))
+        for i in range(600)
+    ] + [("lone", 0, None, None)]
+    reference = [(float(rng.integers(0, 40)) + 1e9, str(i % 5)) for i in range(300)]
+    rows = spark.createDataFrame(current, "w string, part int, a double, c string")
+    ref = spark.createDataFrame(reference, "a double, c string")
+    summary = summarise_reference(ref, ["a"], ["c"])
+    cells = counted_cells(rows, ["a"], ["c"], ["w", "part"])
+    whole = cells.groupBy("w", "feature", "x", "category", "odd").agg(F.sum("n").alias("n"))
+    found = shared_reference_drift(None, whole, ["a"], ["c"], ["w"], summary=summary, counted=True)
+    expected = shared_reference_drift(ref, rows, ["a"], ["c"], ["w"])
+    table = lambda df: {
+        (r["w"], r["feature"]): [round(v, 6) if isinstance(v, float) else v for v in r] for r in df.select(sorted(df.columns)).collect()
+    }
+    found, expected = table(found), table(expected)
+    assert found == expected and len(found) == 8
 
 
 def test_verdict(spark):

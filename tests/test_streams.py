@@ -1,7 +1,7 @@
 """Streams against batch results; late, repeated and retried input."""
 
 import os
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +93,25 @@ def test_trailing_windows_equal_batch(spark):
     assert found == expected and len(found) > 20
 
 
+def test_panes_count_a_row_once_and_make_up_every_window(spark):
+    """24 h windows every hour: a row is in one pane, and windows hold both of their bounds."""
+    rows = [("m", f"2024-01-0{1 + i // 8} {i % 8 * 3:02d}:{'00' if i % 2 else '17'}:00", float(i % 4)) for i in range(24)]
+    log = spark.createDataFrame(rows, "model_name string, at string, v double").withColumn("ts", F.col("at").cast("timestamp"))
+    config = monitor.MonitorConfig(("v",), (), "", "", hours=24, every_hours=1)
+    panes = stream_drift.panes_of(log, ["v"], [], config)
+    assert panes.filter("feature = ''").agg(F.sum("n")).first()[0] == len(rows)
+    dated = panes.withColumn("date", F.to_date(F.timestamp_micros("pane")))
+    start, end = (int(datetime(2024, 1, d, tzinfo=timezone.utc).timestamp()) * 1_000_000 for d in (1, 5))
+    windows_found = stream_drift.windows_of(dated, start, end, config).filter("feature = ''")
+    found = {r.window_end.isoformat(): r.n for r in windows_found.collect()}
+    expected = {}
+    for hour in range(1, 4 * 24 + 1):
+        until = datetime(2024, 1, 1) + timedelta(hours=hour)
+        n = sum(until - timedelta(hours=24) <= datetime.fromisoformat(at) <= until for _, at, _ in rows)
+        expected |= {until.isoformat(): n} if n else {}
+    assert found == expected
+
+
 @pytest.mark.parametrize("files", [1, 2, 4])
 def test_every_due_window_is_judged_however_files_fall_into_batches(spark, sf, files):
     events = views.events_with_k(spark, sf).withColumn("ts", runtime.event_time("ts"))
