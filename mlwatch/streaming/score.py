@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mlwatch.functions.trips import baseline_fare, feature_hash, unpack_stats
 from mlwatch.operators.validate import row_errors
-from mlwatch.sources.history import exists
+from mlwatch.sources.history import exists, key_bucket, present_keys
 from mlwatch.sources.shared import discard, written
 from mlwatch.spec import FeatureSpec, TRIP_SPEC
 from mlwatch.streaming.runtime import run_to_end, write_batch
@@ -55,6 +55,11 @@ def checked_features(requests: DataFrame, stats: str, spec: FeatureSpec) -> Data
     return unpacked.withColumn("errors", row_errors(unpacked, checked))
 
 
+def seen_path(log_path: str) -> str:
+    """Where the ids of a log are kept by bucket and batch."""
+    return f"{log_path.rstrip('/')}-seen"
+
+
 def score_log(
     requests: DataFrame,
     log_path: str,
@@ -69,8 +74,9 @@ def score_log(
 
     ``score`` adds ``predicted_fare``: the tariff, or a saved model's transform. Per micro-batch the
     requests are checked and scored in one pass and written to the log or the quarantine; a request that an
-    earlier batch logged, and whose repeat comes after the watermark has forgotten it, is left out. A retried
-    batch replaces itself.
+    earlier batch logged, and whose repeat comes after the watermark has forgotten it, is left out: the ids seen are
+    kept beside the log by buckets (``seen_path``), and a batch reads those of its own ids. A retried batch replaces
+    itself in all three.
     """
     unique = first_requests(requests, watermark=watermark)
     checked = checked_features(unique, stats, spec)
@@ -82,11 +88,16 @@ def score_log(
         checked = written(batch, "scored")
         good = F.size("errors") == 0
         accepted = checked.filter(good).drop("errors")
-        if exists(spark, log_path):
-            schema = accepted.schema.add("date", "date").add("batch", "long")
-            earlier = spark.read.schema(schema).parquet(log_path).filter(F.col("batch") < batch_id)
-            accepted = accepted.join(earlier.select("request_id"), "request_id", "left_anti")
+        fresh = accepted.select("request_id").withColumn("key_bucket", key_bucket("request_id"))
+        seen = seen_path(log_path)
+        if exists(spark, seen):
+            schema = accepted.select("request_id").schema.add("key_bucket", "integer").add("batch", "long")
+            earlier = spark.read.schema(schema).parquet(seen).filter(F.col("batch") < batch_id)
+            repeated = present_keys(fresh, earlier, "request_id")
+            accepted = accepted.join(repeated, "request_id", "left_anti")
         write_batch(accepted, log_path, batch_id, "ts")
+        ids = fresh.withColumn("batch", F.lit(batch_id).cast("long")).repartition("key_bucket")
+        ids.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_bucket", "batch").parquet(seen)
         write_batch(checked.filter(~good), quarantine_path, batch_id, "ts")
         discard(checked)
 

@@ -27,6 +27,35 @@ def test_append_unique_keeps_the_first_row_of_a_key(spark, by_date):
     assert found.count() == 3
 
 
+def test_an_append_reads_the_buckets_of_its_own_keys(spark):
+    """Dates are not fixed by the key: the keys of all dates are compared, but of the touched buckets only."""
+    path = scratch_path(spark, "test-log")
+    days = [(f"k{i}", f"2024-01-{1 + i % 9:02d} 12:00:00", i) for i in range(200)]
+    history.append_unique(log(spark, *days), path, "id", "ts")
+    fresh = log(spark, ("k7", "2024-03-01 00:00:00", 0)).withColumn("key_bucket", history.key_bucket("id"))
+    bucket = fresh.first().key_bucket
+    present = history.present_keys(fresh, spark.read.parquet(path), "id")
+    plan = present._jdf.queryExecution().executedPlan().toString()
+    filters = next(part for part in plan.split("PartitionFilters: ")[1:] if "key_bucket" in part).splitlines()[0]
+    assert f"= {bucket})" in filters and "date" not in filters.split("]")[0]
+    schema = next(part for part in plan.split("ReadSchema: ")[1:] if "id" in part).splitlines()[0]
+    assert "v:" not in schema and [r.id for r in present.collect()] == ["k7"]
+    history.append_unique(log(spark, ("k7", "2024-03-01 00:00:00", 0), ("new", "2024-03-01 00:00:00", 1)), path, "id", "ts")
+    found = history.read_history(spark, path)
+    assert found.count() == 201 and "key_bucket" not in found.columns
+
+
+def test_append_to_a_table_without_buckets(spark):
+    path = scratch_path(spark, "test-log")
+    old = log(spark, ("a", "2024-01-01 10:00:00", 1), ("b", "2024-01-02 10:00:00", 2)).withColumn("date", F.to_date("ts"))
+    old.write.partitionBy("date").parquet(path)
+    present = history.present_keys(
+        log(spark, ("b", "2024-02-02 10:00:00", 9)).withColumn("key_bucket", history.key_bucket("id")),
+        spark.read.schema(old.schema.add("key_bucket", "integer")).parquet(path), "id",
+    )
+    assert [r.id for r in present.collect()] == ["b"]
+
+
 def test_window_prunes_partitions(spark):
     path = scratch_path(spark, "test-log")
     days = [("k%d" % d, "2024-01-%02d 12:00:00" % d, d) for d in range(1, 11)]

@@ -1,6 +1,7 @@
 """Streams against batch results; late, repeated and retried input."""
 
 import os
+import re
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mlwatch.functions.trips import baseline_fare
 from mlwatch.plans import monitor, views
+from mlwatch.sources.history import present_keys
 from mlwatch.sources.shared import scratch_path, shared_dir
 from mlwatch.streaming import drift as stream_drift, runtime, score, windows
 
@@ -154,6 +156,12 @@ def test_a_repeat_behind_the_watermark_is_logged_once(spark):
     log, bad, point = (scratch_path(spark, n) for n in ("log", "bad", "point"))
     score.score_log(stream, log, bad, point)
     assert sorted(r.request_id for r in spark.read.parquet(log).collect()) == [1, 2]
+    seen = spark.read.parquet(score.seen_path(log))
+    assert sorted(r.request_id for r in seen.filter("batch = 0").collect()) == [1]
+    fresh = seen.filter("request_id = 1").select("request_id", "key_bucket").distinct()
+    touched = fresh.first().key_bucket
+    plan = present_keys(fresh, seen, "request_id")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"PartitionFilters: \[[^\]]*key_bucket#\d+ = {touched}\)", plan)
 
 
 def test_deviation_far_from_zero(spark):
