@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by inner product: a navigable small-world graph per shard, shard results merged.
 
-Every row goes to a shard of bounded size, whose graph is built in one task and stored as flat arrays: vectors,
-ids, and per level one padded matrix of neighbours. Inner products become cosines by one more component that
-lifts each vector to the shard's largest length. Equal vectors of a shard are one node that lists its ids.
+Every row goes to the cell of its nearest coarse centroid; a cell is one shard, or several of bounded size where it
+is full. A shard's graph is built in one task and stored as flat arrays: vectors, ids, and per level one padded
+matrix of neighbours. Inner products become cosines by one more component that lifts each vector to the largest
+length. Equal vectors of a shard are one node that lists its ids. A query visits the shards of its few nearest cells
+and the results are merged, so a query's work doesn't grow with the number of cells.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,15 +20,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mlwatch.llm.rows import table
+from mlwatch.llm.matrices import by_length
+from mlwatch.llm.rows import hashed_below, table
 from mlwatch.llm.vector_dedup import usable
 from mlwatch.sources.shared import written
 
 SHARD_ROWS = 4096
 QUERY_BLOCK = 2048
+# Cells that a query visits (all, if there are fewer).
+PROBES = 32
+# Coarse centroids, at most: beyond MOST_CELLS x SHARD_ROWS rows of a dimension cells have several shards each.
+MOST_CELLS = 16_384
+# Rows that the centroids are fitted on, about: a bound on fitting alone; every row is indexed.
+SAMPLE_ROWS = 65_536
 DEGREE = 16
 EF_BUILD = 80
-EF_SEARCH = 160
+# Candidates that the searches of one query keep, together and, at least, in each shard.
+EF_SEARCH = 320
+EF_LEAST = 40
 # Nodes that a search opens at once.
 STEP = 4
 
@@ -181,20 +193,102 @@ def _tasks(shards: int) -> int:
     return max(1, shards, min(4 * shards, 256))
 
 
+@dataclass(frozen=True)
+class Index:
+    """(dimension, cell, part, graph) rows, and the coarse centroids of each dimension."""
+
+    graphs: DataFrame
+    centroids: dict[int, np.ndarray]
+
+
+def coarse_centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
+    """Unit centroids of unit vectors by spherical k-means; a centroid without members keeps its place."""
+    sample = sample[np.lexsort(sample.T[::-1])]
+    start = np.random.default_rng(seed).permutation(len(sample))[:cells]
+    centroids = sample[np.sort(start)]
+    for _ in range(rounds):
+        member = _nearest_cells(sample, centroids, 1)[:, 0]
+        sums = np.zeros_like(centroids, dtype=np.float64)
+        np.add.at(sums, member, sample)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centroids = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), centroids).astype(np.float32)
+    return centroids
+
+
+def _nearest_cells(vectors: np.ndarray, centroids: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` cells of each vector (all, if fewer) by inner product, in blocks of bounded size."""
+    out, step = [], max(1, (1 << 22) // max(1, len(centroids)))
+    for at in range(0, len(vectors), step):
+        sims = vectors[at : at + step] @ centroids.T
+        if most == 1:
+            out.append(sims.argmax(axis=1)[:, None])
+        elif most >= len(centroids):
+            out.append(np.tile(np.arange(len(centroids)), (len(sims), 1)))
+        else:
+            out.append(np.argpartition(-sims, most - 1, axis=1)[:, :most])
+    return np.concatenate(out) if out else np.zeros((0, most), np.int64)
+
+
+def _routed(rows: DataFrame, centroids: dict[int, np.ndarray], longest: dict[int, float] | None, most: int) -> DataFrame:
+    """(id, v, dimension, cell), once for each of a vector's ``most`` nearest cells.
+
+    Rows to be stored are lifted to the ``longest`` square length of their dimension; queries (no ``longest``) are not.
+    Rows of a dimension without centroids have nowhere to go.
+    """
+    held = rows.sparkSession.sparkContext.broadcast((centroids, longest))  # MOST_CELLS vectors a dimension
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centroids, longest = held.value
+        for batch in batches:
+            for d, at, v in by_length(batch.column(1)):
+                if d not in centroids:
+                    continue
+                squares = (v * v).sum(axis=1)
+                top = squares if longest is None else np.full(len(v), longest[d])
+                lift = np.concatenate([v, np.sqrt(np.maximum(0, top - squares))[:, None]], axis=1)
+                cells = _nearest_cells((lift / np.sqrt(top)[:, None]).astype(np.float32), centroids[d], most)
+                again = pa.array(np.repeat(at, cells.shape[1]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(again), batch.column(1).take(again),
+                        pa.array(np.full(len(again), d, np.int32)), pa.array(cells.ravel().astype(np.int32)),
+                    ],
+                    ["id", "v", "dimension", "cell"],
+                )
+
+    return rows.select("id", "v").mapInArrow(run, "id long, v array<double>, dimension int, cell int")
+
+
+def _usable_rows(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
+    return rows.filter(usable(vector) & F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")
+    )
+
+
 def build_index(
     rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS,
-    degree: int = DEGREE, ef: int = EF_BUILD,
-) -> DataFrame:
-    """(dimension, shard, graph): one stored graph per shard of about ``shard_rows`` rows; every usable row is in one.
+    degree: int = DEGREE, ef: int = EF_BUILD, sample_rows: int = SAMPLE_ROWS, most_cells: int = MOST_CELLS,
+) -> Index:
+    """One stored graph per shard of about ``shard_rows`` rows; every usable row is in one.
 
     Null, zero, empty and non-finite vectors and rows without an id take no part. Vectors of different lengths
-    have graphs of their own.
+    have graphs of their own. The coarse centroids come from about ``sample_rows`` rows of each dimension.
     """
-    good = rows.filter(usable(vector) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")
-    )
-    shards = max(1, math.ceil(good.count() / shard_rows))
-    dealt = good.withColumn("dimension", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    good = _usable_rows(rows, id_col, vector).withColumn("dimension", F.size("v"))
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    sizes = good.groupBy("dimension").agg(F.count("*").alias("n"), F.max(square).alias("longest")).collect()
+    centroids, longest = {}, {r.dimension: r.longest for r in sizes}  # one row per dimension
+    for d, n, top in sorted(sizes):
+        drawn = hashed_below(F.xxhash64(F.lit(17), F.col("id")), sample_rows, n)
+        sample = good.filter((F.col("dimension") == d) & drawn).select("v").toArrow().column(0).combine_chunks()
+        v = np.concatenate([x for _, _, x in by_length(sample)] or [np.zeros((0, d))])
+        lift = np.sqrt(np.maximum(0, top - (v * v).sum(axis=1)))
+        unit = (np.concatenate([v, lift[:, None]], axis=1) / math.sqrt(top)).astype(np.float32)
+        centroids[d] = coarse_centroids(unit, min(most_cells, math.ceil(n / shard_rows)))
+    placed = written(_routed(good, centroids, longest, 1), "ann-cells")
+    share = F.greatest(F.lit(1), F.round(F.count("*") / shard_rows))
+    full = placed.groupBy("dimension", "cell").agg(share.cast("long").alias("parts"))
+    dealt = placed.join(full, ["dimension", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
@@ -205,26 +299,34 @@ def build_index(
         ends = np.searchsorted(node[order], np.arange(len(distinct) + 1)).astype(np.int64)
         graph = Graph(lifted(distinct), degree, ef)
         arrays = graph.arrays() | {"vectors": distinct, "ids": ids[order], "ends": ends}
-        first = group.iloc[0]
-        return pd.DataFrame({"dimension": [first["dimension"]], "shard": [first["shard"]], "graph": [_packed(arrays)]})
+        key = {k: [group[k].iloc[0]] for k in ("dimension", "cell", "part")}
+        return pd.DataFrame(key | {"graph": [_packed(arrays)]})
 
-    apart = dealt.repartition(_tasks(shards), "dimension", "shard")
-    return apart.groupBy("dimension", "shard").applyInPandas(build, "dimension int, shard long, graph binary")
+    shards = sum(math.ceil(r.n / shard_rows) for r in sizes)
+    apart = dealt.repartition(_tasks(shards), "dimension", "cell", "part")
+    graphs = apart.groupBy("dimension", "cell", "part").applyInPandas(
+        build, "dimension int, cell int, part int, graph binary"
+    )
+    return Index(written(graphs, "ann-index"), centroids)
 
 
-def _searched(pairs: DataFrame, k: int, ef: int) -> DataFrame:
-    """Best k of each (graph, block of queries)."""
+def _searched(pairs: DataFrame, k: int, ef: dict[int, int]) -> DataFrame:
+    """Best k of each (graph, block of queries); ``ef`` has the candidates to keep, by dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, graph = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                flat, out = _unpacked(row["graph"]), ([], [], [])
-                vectors, ids, ends = flat["vectors"], flat["ids"], flat["ends"]
-                graph = Graph.of(lifted(vectors), flat)
-                for query in row["queries"]:
+            for i in range(batch.num_rows):
+                key = tuple(batch.column(c)[i].as_py() for c in range(3))
+                if key != shard:  # blocks of one shard come one after another and share its graph
+                    flat = _unpacked(batch.column(3)[i].as_py())
+                    vectors, ids, ends = flat["vectors"], flat["ids"], flat["ends"]
+                    shard, graph = key, Graph.of(lifted(vectors), flat)
+                out = ([], [], [])
+                for query in batch.column(4)[i].as_py():
                     q = np.array(query["v"], np.float64)
                     unit = np.append(q / math.sqrt(float(q @ q)), 0).astype(np.float32)
-                    nodes = np.array([x for _, x in graph.search(unit, max(ef, k + 1))])
+                    nodes = np.array([x for _, x in graph.search(unit, max(ef[key[0]], k + 1))])
                     scores = (vectors[nodes] * q).sum(axis=1)
                     found = []
                     for at in np.argsort(-scores, kind="stable"):
@@ -243,39 +345,40 @@ def _searched(pairs: DataFrame, k: int, ef: int) -> DataFrame:
                     [pa.array(x, kind) for x, kind in zip(out, kinds)], ["query_id", "vec_id", "score"]
                 )
 
-    return pairs.select("graph", "queries").mapInArrow(run, "query_id long, vec_id long, score double")
+    keys = ["dimension", "cell", "part"]
+    return pairs.sortWithinPartitions(*keys).select(*keys, "graph", "queries").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def nearest(
-    index: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector: str = "embedding",
-    ef: int = EF_SEARCH, block: int = QUERY_BLOCK,
+    index: Index, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector: str = "embedding",
+    ef: int = EF_SEARCH, block: int = QUERY_BLOCK, probes: int = PROBES,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query, its own id left out.
 
     score is the inner product in double precision, ties go to the smaller id, and there are fewer ranks where
-    there are fewer candidates. Queries that aren't usable vectors or have no id give no rows; queries with the
-    same id and vector count once.
+    there are fewer candidates in the visited cells. The searches of a query share ``ef`` candidates, as the results
+    are spread over its shards. Queries that aren't usable vectors or have no id give no rows;
+    queries with the same id and vector count once. The queries of a shard, however many, are searched in blocks.
     """
-    good = queries.filter(usable(vector) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")
-    )
-    good = written(good.distinct().withColumn("dimension", F.size("v")), "ann-queries")
-    blocks = max(1, math.ceil(good.count() / block))
-    packed = good.groupBy("dimension", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(
-        F.collect_list(F.struct("id", "v")).alias("queries")
+    good = _usable_rows(queries, id_col, vector).distinct()
+    routed = written(_routed(good, index.centroids, None, probes), "ann-queries")
+    shards = index.graphs.select("dimension", "cell", "part")
+    cell, shard = ["dimension", "cell"], ["dimension", "cell", "part"]
+    blocks = routed.groupBy(*cell).agg(F.ceil(F.count("*") / block).alias("blocks"))
+    packed = (
+        routed.join(blocks, cell)
+        .groupBy(*cell, F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+        .agg(F.collect_list(F.struct("id", "v")).alias("queries"))  # about ``block`` of them
     )
-    # every block of queries goes to every shard of its dimension; both sides are dealt out by shard
-    shards = index.select("dimension", "shard")
     tasks = _tasks(shards.count())
-    sent = packed.join(shards, "dimension").repartition(tasks, "dimension", "shard")
-    pairs = index.repartition(tasks, "dimension", "shard").join(sent, ["dimension", "shard"])
-    found = _searched(pairs, k, ef)
+    sent = packed.join(shards, cell).repartition(tasks, *shard)
+    pairs = index.graphs.repartition(tasks, *shard).join(sent, shard)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    kept = {d: max(EF_LEAST, math.ceil(ef / min(probes, len(c)))) for d, c in index.centroids.items()}
+    ranked = _searched(pairs, k, kept).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    index = written(build_index(rows), "ann-index")
-    return nearest(index, rows.filter(F.col("vec_id") % 20 == 0))
+    return nearest(build_index(rows), rows.filter(F.col("vec_id") % 20 == 0))
