@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers.models import BPE
 
-from mlwatch.llm.rows import by_batch, table
+from mlwatch.llm.rows import by_batch, received, sent, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # A worker remembers the ids of so many pieces, then starts afresh; longer pieces are not remembered.
@@ -118,7 +118,7 @@ class Pieces(dict):
 
 def vocabulary(spark: SparkSession, path: str | None = None):
     """The rank file at ``path`` for the workers; read by the driver, a few MB whatever the corpus."""
-    return spark.sparkContext.broadcast(Vocabulary(path or public_tokenizers.path(VOCABULARY)))
+    return sent(spark, Vocabulary(path or public_tokenizers.path(VOCABULARY)))
 
 
 def encode(
@@ -135,7 +135,7 @@ def encode(
     held = vocabulary(docs.sparkSession, path)
 
     def run(batch: pa.RecordBatch) -> dict:
-        pieces = held.value.encoder()
+        pieces = received(held).encoder()
         texts = [t or "" for t in batch.column(1).to_pylist()]
         ids = [pieces.encode(t) for t in texts]
         out = {id_col: batch.column(0), "ids": pa.array(ids, pa.binary())}
@@ -162,7 +162,7 @@ def decode(tokens: DataFrame, path: str | None = None, id_col: str = "doc_id", i
     held = vocabulary(tokens.sparkSession, path)
 
     def run(batch: pa.RecordBatch) -> dict:
-        pieces = held.value.encoder()
+        pieces = received(held).encoder()
         data = [pieces.decode(x or b"") for x in batch.column(1).to_pylist()]
         texts = [d.decode("utf-8", "replace") for d in data]
         return {id_col: batch.column(0), "decoded": pa.array(data, pa.binary()), "text": pa.array(texts, pa.string())}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mlwatch.llm.rows import hashed_below, held_out, table
+from mlwatch.llm.rows import hashed_below, held_out, received, sent, table
 
 SIZE_BITS = 12
 SIZE = 1 << SIZE_BITS
@@ -166,10 +166,10 @@ def predict(
     without letters, or a model without centroids gives ``und``, 0 and true. Every row gives a row; extra columns
     are ignored.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = sent(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_letter, model = letters(), held.value
+        is_letter, model = letters(), received(held)
         for batch in batches:
             langs, scores, far = [], [], []
             texts = batch.column(1)

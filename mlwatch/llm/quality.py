@@ -9,19 +9,23 @@ of unlabelled rows differ at the top. Labels of negatives are never used.
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mlwatch.llm.rows import by_batch, held_out, some_of, table
+from mlwatch.llm.rows import by_batch, held_out, received, sent, some_of, table
 
 # Rows that a fit learns from, about: so many trusted positives and so many unlabelled ones.
 SAMPLE_ROWS = 4000
 # Features are counted over pieces of so many characters.
 PIECE = 1 << 18
+BLANKS = re.compile(r"\s")
 
 # Character classes of the shape features: every ASCII sign has its own, letters and digits share.
 _LOWER, _UPPER, _DIGIT, _BLANK, _LINE, _OTHER = range(6)
@@ -49,33 +53,48 @@ WORD_FEATURES = 9
 FEATURES = CLASSES * CLASSES + CLASSES + WORD_FEATURES
 
 
+def word_lists(text: str) -> Iterator[list[str]]:
+    """The words of a text, in lists of about ``PIECE`` characters that end at white space."""
+    at = 0
+    while at < len(text):
+        gap = BLANKS.search(text, at + PIECE)
+        end = gap.end() if gap else len(text)
+        if tokens := text[at:end].split():
+            yield tokens
+        at = end
+
+
 def features(text: str | None, classes: np.ndarray) -> np.ndarray:
     """Square roots of the shares of character classes and of neighbouring pairs of them, and word statistics.
 
-    All zero but for the length features where the text is null or empty.
+    All zero but for the length features where the text is null or empty. Distinct words are those of the whole text,
+    counted by their 64-bit hashes; pieces bound the memory and change no feature.
     """
     text = text or ""
     pairs = np.zeros(CLASSES * CLASSES, np.int64)
     single = np.zeros(CLASSES, np.int64)
     words = repeated = letters = 0
-    seen: set[str] = set()
+    seen = np.zeros(0, np.uint64)
     last, longest, run = None, 0, 0
+    for tokens in word_lists(text):
+        same = np.array([*map(eq, [last, *tokens[:-1]], tokens)], bool)
+        repeated += int(same.sum())
+        breaks = np.flatnonzero(~same)  # words that differ from the one before
+        if len(breaks):
+            longest = max(longest, run + int(breaks[0]), int(np.diff(breaks).max(initial=1)) - 1)
+            run = len(tokens) - 1 - int(breaks[-1])
+        else:
+            run += len(tokens)
+        longest = max(longest, run)
+        last, words = tokens[-1], words + len(tokens)
+        letters += sum(map(len, tokens))
+        hashed = np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in set(tokens)), np.uint64)
+        seen = np.union1d(seen, hashed)
     for at in range(0, len(text), PIECE):
         part = text[max(0, at - 1) : at + PIECE]
         shape = classes[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)]
         pairs += np.bincount(shape[:-1].astype(np.int64) * CLASSES + shape[1:], minlength=len(pairs))
         single += np.bincount(shape[min(at, 1) :], minlength=CLASSES)
-        tokens = text[at : at + PIECE].split()
-        if tokens:
-            same = list(map(eq, [last, *tokens], tokens))
-            repeated += sum(same)
-            if any(same):
-                breaks = np.flatnonzero(~np.array([*same, False]))
-                longest = max(longest, int(np.diff(breaks, prepend=-1).max()))
-            last, words = tokens[-1], words + len(tokens)
-            letters += sum(map(len, tokens))
-            if len(seen) < PIECE:
-                seen.update(tokens)
     share = lambda x, n: math.sqrt(x / n) if n else 0.0
     out = np.zeros(FEATURES, np.float32)
     out[: len(pairs)] = np.sqrt(pairs / max(1, pairs.sum()))
@@ -85,7 +104,7 @@ def features(text: str | None, classes: np.ndarray) -> np.ndarray:
         math.log1p(len(text)) / 10,
         share(repeated, words),
         share(min(longest, 50), 50),
-        len(seen) / max(1, min(words, PIECE)),
+        len(seen) / max(1, words),
         len(seen) / max(1.0, math.sqrt(words)) / 20,
         letters / max(1, words) / 10,
         share(single[_LINE], words),
@@ -151,7 +170,8 @@ def class_prior(p_scores: np.ndarray, u_scores: np.ndarray, delta: float = 0.1)
 
 def learn(p: np.ndarray, u: np.ndarray) -> tuple[Scorer, float]:
     """(scorer, class prior) from features of positives and unlabelled rows. The prior comes from rows that the
-    scorer it is read from has not seen. Without positives or unlabelled rows every score is one half."""
+    scorer it is read from has not seen; fewer than four rows of either kind can't be halved for that, and take a prior of
+    one half. Without positives or unlabelled rows every score is one half."""
     if not len(p) or not len(u):
         return Scorer(u if len(u) else np.zeros((1, FEATURES))), 0.5
     if min(len(p), len(u)) < 4:
@@ -190,10 +210,10 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     Null and empty texts are scored by their (empty) features. Every row gives a row, repeated ones too; extra
     columns are ignored.
     """
-    held = docs.sparkSession.sparkContext.broadcast(scorer)
+    held = sent(docs.sparkSession, scorer)
 
     def run(batches):
-        classes, scorer = character_classes(), held.value
+        classes, scorer = character_classes(), received(held)
         for batch in batches:
             scores, texts = [], batch.column(1)
             for at in range(0, len(texts), 256):
@@ -220,11 +240,11 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows are judged one by one in place, so repeated and null ids are no special case.
     """
     scorer, _ = fit(docs.filter(~held_out()), trusted_ids(labels))
-    held = docs.sparkSession.sparkContext.broadcast(scorer)
+    held = sent(docs.sparkSession, scorer)
     text_at = docs.columns.index("text")
 
     def run(batches):
-        classes, scorer = character_classes(), held.value
+        classes, scorer = character_classes(), received(held)
         for batch in batches:
             texts = batch.column(text_at)
             for at in range(0, batch.num_rows, 256):

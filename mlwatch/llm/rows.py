@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,18 @@ def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema:
     return df.mapInArrow(run, schema)
 
 
+def sent(spark: SparkSession, value):
+    """A broadcast of ``value`` for :func:`received`, with what its classes are made of: workers need not import them."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(held):
+    """The value of :func:`sent`, unpacked once in each worker process."""
+    if not hasattr(held, "unpacked"):
+        held.unpacked = pickle.loads(held.value)
+    return held.unpacked
+
+
 def some_of(df: DataFrame, key: str, bound: int, seed: int) -> DataFrame:
     """About ``bound`` rows of ``df`` (all of them where there are fewer), chosen by a hash of the key.
 
