@@ -19,6 +19,7 @@ def alert_severity(max_psi: Column) -> Column:
 
 
 def alert_message(drifted: Column, max_psi: Column, avg_psi: Column) -> Column:
+    # Fixed value: the text of an alert, as its readers know it.
     return F.format_string(
         "Drift detected in %d features: %s. Max PSI: %.3f, Avg PSI: %.3f",
         F.size(drifted),

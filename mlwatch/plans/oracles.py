@@ -280,14 +280,14 @@ gated as (
          coalesce(champion_rmse - challenger_rmse, challenger_rmse) as gain,
          challenger_latency/greatest(champion_latency, 0.001) as latency_ratio from replay),
 judged as (
-  select *, is_first or own_validation as validation_passed, is_first or gain >= 0.5 as metric_improvement,
+  select *, own_validation as validation_passed, is_first or gain >= 0.5 as metric_improvement,
          is_first or latency_ratio <= 1.2 as latency_acceptable,
          substr(sha256('decision-' || model_name || '|' || cast(challenger_version as varchar)), 1, 16)
            as decision_id
   from gated),
 reasoned as (
   select *, list_filter([
-    case when not validation_passed then 'Validation failed: None' end,
+    case when not validation_passed and not is_first then 'Validation failed: None' end,
     case when not metric_improvement then format(
       'Insufficient rmse reduction: {:.4f} < 0.5000 required (champion={:.4f}, challenger={:.4f})',
       gain, champion_rmse, challenger_rmse) end,
