@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from mlwatch.functions.numbers import null_safe, number
-from mlwatch.operators.quantiles import exact_quantiles
+from mlwatch.operators.quantiles import bracketed_quantiles, exact_quantiles, sketched
 from mlwatch.sources.shared import written
 from mlwatch.spec import FeatureSpec
 
@@ -26,7 +26,8 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
-    """One row per column: mean, sample deviation, min, max and median."""
+    """One row per column: mean, sample deviation, min, max and median; two scans, as medians start from sketches that
+    are taken along with the moments."""
     stats = [
         F.struct(
             F.avg(number(c)).alias("mean"),
@@ -43,10 +44,14 @@ def numeric_profile(df: DataFrame, columns: list[str], approximate: bool = False
         )
         for c in columns
     ]
-    moments = df.agg(*stats).select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
-    medians = exact_quantiles(df, columns, [0.5], approximate=approximate).select(
-        "feature", F.col("value").alias("median")
+    summary = df.agg(*stats) if approximate else sketched(df, columns, [], stats)
+    moments = summary.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+    found = (
+        exact_quantiles(df, columns, [0.5], approximate=True)
+        if approximate
+        else bracketed_quantiles(df, summary, columns, [0.5])
     )
+    medians = found.select("feature", F.col("value").alias("median"))
     return moments.join(medians, "feature", "left")
 
 

@@ -733,6 +733,11 @@ SQL: dict[str, str] = {
             for b in LATENCY_BOUNDS[:-2]
         ]
     ),
+    "narrowed_quantiles": _with(EVENTS) + " union all ".join(
+        f"""select model_name, '{c}' as feature, {q}e0 as probability,
+             round(quantile_cont(cast({c} as double), {q}), 6) as value from preds group by 1"""
+        for c in ("latency_ms", "predicted_fare") for q in (0.05, 0.5, 0.95)
+    ),
     "metric_counters": _decided(*VERDICTS, SCORED, DECISIONS, TRIPS, CLEANED, _row_problems()) + """
       select 'predictions' as metric, model_name || '|' || cast(model_version as varchar) || '|'
                || cast(cast(round_even(predicted_fare, 0) as int) as varchar) as labels, count(*) as total
@@ -745,6 +750,8 @@ SQL: dict[str, str] = {
       union all select 'retraining_runs', case when challenger_version % 2 = 0 then 'drift' else 'scheduled' end || '|'
                || case when challenger_version = 2 then 'skipped' when challenger_version = 4 then 'failed' else 'success' end,
              count(*) from decisions group by 2
+      union all select 'model_reloads', model_name || '|success', count(*) from decisions where promoted group by 2
+      union all select 'current_model', model_name, cast(max(challenger_version) as bigint) from decisions where promoted group by 2
       union all select 'validation_failures', '/predict|' || split_part(code, ':', 2), count(*)
       from (select unnest(codes) as code from problems) group by 2""",
     "stream_drift": _with(

@@ -17,6 +17,7 @@ from mlwatch.operators import (
     evaluate,
     prepare,
     profile,
+    quantiles,
     rollups,
     train,
     validate,
@@ -656,6 +657,15 @@ def latency_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def narrowed_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of the log per model with a buffer of a few rows, so that brackets are narrowed in several rounds."""
+    found = quantiles.narrowed_quantiles(
+        views.preds(spark, sf_dir), ["latency_ms", "predicted_fare"], [0.05, 0.5, 0.95], ["model_name"], open_rows=20
+    )
+    return found.select("model_name", "feature", "probability", *rounded("value"))
+
+
 @query
 def traffic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = views.requests(spark, sf_dir).select(F.col("event_id").alias("request_id"), "status")
@@ -817,53 +827,49 @@ def prediction_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def metric_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions by label, drift checks and events, promotions, and validation failures."""
-    predictions = rollups.counter(
-        views.preds(spark, sf_dir).withColumn("prediction", fn.score_label(F.col("predicted_fare"))),
-        ["model_name", "model_version", "prediction"],
-    )
-    runs = written(_model_days(spark, sf_dir), "drift-runs")
-    checks = rollups.counter(runs, ["model_name"])
-    events = rollups.counter(
-        runs.filter("drift_detected").withColumns(
-            {"drift_type": F.lit("feature"), "severity": alert_severity(F.col("max_psi"))}
-        ),
-        ["drift_type", "severity"],
+    """Predictions by label, drift checks and events, promotions, retrainings, model reloads with the model each leaves
+    current, and validation failures: one pass over each log for all its counters."""
+    predicted = rollups.counters(
+        views.preds(spark, sf_dir),
+        {
+            "predictions": (
+                [F.col("model_name"), F.col("model_version"), fn.score_label(F.col("predicted_fare"))],
+                None,
+            )
+        },
     )
-    promotions = rollups.counter(
-        _decisions(spark, sf_dir).filter("promoted"), ["champion_version", "challenger_version"]
+    runs = rollups.counters(
+        _model_days(spark, sf_dir),
+        {
+            "drift_checks": ([F.col("model_name")], None),
+            "drift_events": ([F.lit("feature"), alert_severity(F.col("max_psi"))], F.col("drift_detected")),
+        },
     )
     version = F.col("challenger_version")
-    status = decide.run_status(
-        F.when(version % 2 == 0, "drift").otherwise("scheduled"), F.lit(False), version != 2, F.when(version == 4, "out of memory")
-    )
-    retrainings = rollups.counter(
-        _decisions(spark, sf_dir).select(
-            F.when(version % 2 == 0, "drift").otherwise("scheduled").alias("trigger_type"),
-            decide.run_outcome(status).alias("outcome"),
-        ),
-        ["trigger_type", "outcome"],
+    trigger = F.when(version % 2 == 0, "drift").otherwise("scheduled")
+    status = decide.run_status(trigger, F.lit(False), version != 2, F.when(version == 4, "out of memory"))
+    decisions = written(_decisions(spark, sf_dir), "decisions")
+    decided = rollups.counters(
+        decisions,
+        {
+            "promotions": ([F.col("champion_version"), version], F.col("promoted")),
+            "retraining_runs": ([trigger, decide.run_outcome(status)], None),
+            # a service loads a model when it becomes the champion
+            "model_reloads": ([F.col("model_name"), F.lit("success")], F.col("promoted")),
+        },
+    )
+    current = rollups.gauge_last(
+        decisions.filter("promoted"), ["model_name"], "challenger_version", ["decided_at", "challenger_version"]
+    ).select(
+        F.lit("current_model").alias("metric"), F.array("model_name").alias("labels"), F.col("value").cast("long").alias("total")
     )
     checked = validate.validate_rows(views.dirty(spark, sf_dir), views.SPEC)
-    failures = rollups.counter(
-        checked.select(
-            F.lit("/predict").alias("endpoint"), F.explode("errors.type").alias("failure_type")
-        ),
-        ["endpoint", "failure_type"],
-    )
-
-    def named(metric: str, frame: DataFrame) -> DataFrame:
-        labels = F.concat_ws("|", *[c for c in frame.columns if c != "total"])
-        return frame.select(F.lit(metric).alias("metric"), labels.alias("labels"), "total")
-
-    return (
-        named("predictions", predictions)
-        .unionByName(named("drift_checks", checks))
-        .unionByName(named("drift_events", events))
-        .unionByName(named("promotions", promotions))
-        .unionByName(named("retraining_runs", retrainings))
-        .unionByName(named("validation_failures", failures))
+    failed = rollups.counters(
+        checked.select(F.explode("errors.type").alias("failure_type")),
+        {"validation_failures": ([F.lit("/predict"), F.col("failure_type")], None)},
     )
+    parts = [predicted, runs, decided, current, failed]
+    return reduce(DataFrame.unionByName, parts).withColumn("labels", F.array_join("labels", "|"))
 
 
 @query

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mlwatch.functions import requests as req, trips as fn
 from mlwatch.operators import evaluate, rollups
+from mlwatch.sources.shared import scratch_path
 
 
 @pytest.mark.parametrize(
@@ -127,3 +128,27 @@ def test_hash_is_stable_and_sensitive(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, None)], "x int, y string")
     one, two, three = [r[0] for r in df.select(fn.feature_hash(["y", "x"])).collect()]
     assert one == two != three and len(one) == 16
+
+
+def test_counters_of_one_log_take_one_pass(spark):
+    rows = [("POST", 200, 1), ("GET", 200, 1), ("GET", 500, 2), (None, 404, None)]
+    log = spark.createDataFrame(rows, "method string, status int, n int")
+    path = scratch_path(spark, "requests")
+    log.write.parquet(path)
+    log = spark.read.parquet(path)
+    found = rollups.counters(
+        log,
+        {
+            "requests": ([F.col("method"), F.col("status")], None),
+            "errors": ([F.col("status")], F.col("status") >= 400),
+            "twos": ([F.col("n")], F.col("n") == 2),
+            "all": ([], None),
+        },
+    )
+    assert {(r.metric, tuple(r.labels)): r.total for r in found.collect()} == {
+        ("requests", ("POST", "200")): 1, ("requests", ("GET", "200")): 1, ("requests", ("GET", "500")): 1,
+        ("requests", ("", "404")): 1, ("errors", ("500",)): 1, ("errors", ("404",)): 1, ("twos", ("2",)): 1, ("all", ()): 4,
+    }
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+    assert rollups.counters(log.limit(0), {"all": ([], None)}).count() == 0
