@@ -20,13 +20,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: fingerprints within four bits."""
-    return simhash.one_of_each_group(docs)
-
-
-def reworded_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles have a similarity of 0.8 or more stays."""
-    return reworded.without_copies(docs)
+    """One document of each near-duplicate group stays: fingerprints within four bits; of what is left, one of each
+    group whose five-word shingles have a similarity of 0.8 or more, which fingerprints alone don't find."""
+    return reworded.without_copies(written(simhash.one_of_each_group(docs), "fingerprints-apart"))
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +51,6 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality", good_quality),
     ("near_duplicates", near_duplicates),
-    ("reworded_copies", reworded_copies),
     ("secrets", no_secrets),
     ("mixing", mixed_sources),
     ("tokens", tokens),
