@@ -1,8 +1,10 @@
 """Reworded copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 Candidates share a band of minimum hashes: of 24 bands of five, a pair at 0.8 misses all with chance 7e-5, a closer
-pair with less. Every candidate pair that could join two groups is judged by the exact similarity of its whole sets,
-the likeliest first, in rounds: a pair inside a group that is joined already can change nothing.
+pair with less. Candidate pairs that could join two groups are judged by the exact similarity of their whole sets, the
+likeliest first, in rounds: a pair inside a group that is joined already can change nothing. Left out are pairs whose
+estimate, the share of equal minimum hashes, lies five standard deviations under the threshold: one that belongs
+together has that with a chance of at most 3e-6.
 """
 
 from __future__ import annotations

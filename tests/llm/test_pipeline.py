@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from mlwatch.llm import mixing, quality, secret_scan
 from mlwatch.llm.rows import held_out, table
+from tests.llm.test_reworded import plain_firsts
 from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
@@ -46,7 +47,14 @@ def test_quality_keeps_what_the_classifier_accepts(spark, stages):
 def test_one_of_each_near_duplicate_group_stays(stages):
     before, after, _ = stages["near_duplicates"]
     prints = [plain_fingerprint(r.text) for r in before]
-    assert sorted(r.doc_id for r in after) == sorted(set(plain_components([r.doc_id for r in before], prints)))
+    firsts = set(plain_components([r.doc_id for r in before], prints))
+    left = sorted((r for r in before if r.doc_id in firsts), key=lambda r: r.doc_id)
+    kept = [left[i].doc_id for i in plain_firsts([r.text for r in left])]
+    assert sorted(r.doc_id for r in after) == kept
+
+
+def test_stages_are_those_of_the_contract():
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "secrets", "mixing", "tokens"]
 
 
 def test_secrets_give_way(stages):
