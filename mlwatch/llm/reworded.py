@@ -10,6 +10,7 @@ together has that with a chance of at most 3e-6.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -124,8 +125,10 @@ def bucket_pairs(
     return pairs, more
 
 
-def _candidates(members: DataFrame, groups: DataFrame | None, start: int, stop: int) -> DataFrame:
-    """(a, b) pairs of this round; a row of nulls says that more follow."""
+def _candidates(
+    members: DataFrame, groups: DataFrame | None, start: int, stop: int, within: bool = False
+) -> DataFrame:
+    """(a, b) pairs of this round, ``within`` blocks or across them; a row of nulls says that more follow."""
     if groups is None:
         named = members.withColumn("component", F.col("key"))
     else:
@@ -133,7 +136,8 @@ def _candidates(members: DataFrame, groups: DataFrame | None, start: int, stop:
         named = named.withColumn("component", F.coalesce("component", "key"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    dealt = named.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    others = F.array(own) if within else F.sequence(F.lit(0), blocks - 1)
+    dealt = named.withColumn("own", own).withColumn("other", F.explode(others))
     at = ["band", "value", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")]
     gathered = dealt.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("key", "component", "sample"))).alias("m"))
 
@@ -182,17 +186,21 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = written(_sets(docs, named.select("key", "at"), id_col, text_col), "reworded-sets")
     discard(buckets)
     discard(named)
+    # Large groups are joined by one band of each member first, within blocks, then across them: what the rounds over
+    # all bands still have to compare are pairs of different groups.
+    leading = members.join(members.groupBy("key").agg(F.min("band").alias("band")), ["key", "band"])
     links, groups, start, stop = None, None, 0, 2
-    while True:
-        pairs = written(_candidates(members, groups, start, stop), "reworded-pairs")
+    for some, within in chain([(leading, True), (leading, False)], repeat((members, False))):
+        pairs = written(_candidates(some, groups, start, stop, within), "reworded-pairs")
         found = written(_judged(pairs.filter("a IS NOT NULL"), sets), "reworded-links")
         links = found if links is None else links.unionByName(found)
         more = not pairs.filter("a IS NULL").isEmpty()
         groups = written(connected_components(links), "reworded-groups")
         discard(pairs)
-        if not more:
-            break
-        start, stop = stop, 3 * stop
+        if some is members:
+            if not more:
+                break
+            start, stop = stop, 3 * stop
     discard(members)
     discard(sets)
     rooted = prints.select("id", "key").join(groups.withColumnRenamed("node", "key"), "key", "left")
