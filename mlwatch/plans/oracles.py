@@ -809,7 +809,7 @@ SQL: dict[str, str] = {
         from split where not fitting
       union all select * from (values ('closer than the mean', 1), ('fares under the floor', 0), ('fares not in cents', 0),
         ('reloaded scores that differ', 0), ('good table passes', 1), ('broken table passes', 0),
-        ('errors of the broken table', 1))""",
+        ('errors of the broken table', 1), ('rmse as the evaluator has it', 1))""",
     "retrain_run": """
       select * from (values
         ('calm', 'drift', 'skipped', 'skipped', 'r0', 1, 0.1e0, null::boolean, null::int, null::varchar, null::double,
@@ -820,6 +820,20 @@ SQL: dict[str, str] = {
       as t(model_name, trigger_type, status, outcome, drift_run_id, drift_count, drift_max_psi, promoted, model_version,
            promotion_reason, latency_ratio, gain_is_rmse, like_it, names_the_column, measured)
       where (select count(*) from lineitem) > 0""",
+    "retrain_champion": _with(EVENTS, """
+      shadow as (select model_version, avg(l) as mean, quantile_cont(l, 0.95) as p95
+        from (select model_version, latency_ms * case when model_version = 2 then 2e0 else 1e0 end as l from preds)
+        group by 1),
+      faced as (select * from (values (1, null::int, true, true, true, ''), (2, 1, true, false, false, 'Latency regression:'),
+        (3, 1, true, true, true, ''), (4, 3, false, true, false, 'Insufficient rmse'))
+        as t(challenger_version, champion_version, metric_improvement, latency_acceptable, promoted, reasons))""") + """
+      select challenger_version, champion_version, 'scheduled' as trigger_type, true as validation_passed,
+             metric_improvement, latency_acceptable, promoted, round(c.mean / h.mean, 6) as latency_ratio,
+             round(h.mean, 6) as champion_avg_latency_ms, round(c.mean, 6) as challenger_avg_latency_ms,
+             round(h.p95, 6) as champion_p95_latency_ms, round(c.p95, 6) as challenger_p95_latency_ms,
+             reasons, true as gain_is_rmse
+      from faced join shadow c on c.model_version = challenger_version
+        left join shadow h on h.model_version = champion_version""",
     "table_checks": _with(TRIPS, SCORED, "report as (" + _validate_table("featured", ("pickup_month", "payment_type")) + ")") + """
       select 'rows written once' as fact, cast(count(*) as double) as value from featured
       union all select 'missing columns', count(*) from report where rule = 'missing_column' and failed
@@ -827,5 +841,5 @@ SQL: dict[str, str] = {
       union all select 'errors', count(*) from report where failed and severity = 'error'
       union all select 'warnings', count(*) from report where failed and severity = 'warning'
       union all select 'latest version', max(model_version) from versions where model_name = 'm1'
-      union all select * from (values ('common features', 10), ('skipped features', 1), ('explicit version', 3))""",
+      union all select * from (values ('common features', 10), ('skipped features', 1), ('extra columns', 1), ('explicit version', 3))""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -931,7 +932,10 @@ def train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         train.score(model, fitting, views.SPEC), "fare_amount", "prediction", extra=[F.stddev_pop("fare_amount").alias("spread")]
     )
     fare = F.col("predicted_fare")
+    evaluator = RegressionEvaluator(labelCol="fare_amount", predictionCol="prediction", metricName="rmse")
+    apart = F.abs(F.col("rmse") / evaluator.evaluate(scored) - 1)
     facts = [
+        fact("rmse as the evaluator has it", metrics, F.max((apart < 1e-9).cast("int"))),
         rows.select(F.concat(F.lit("rows of payment type "), "payment_type").alias("fact"), "value"),
         fact("train rows", metrics, F.max("train_samples")),
         fact("test rows", metrics, F.max("test_samples")),
@@ -984,6 +988,42 @@ def retrain_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def retrain_champion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first model and three challengers in turn, with a log of shadow latencies: one is too slow, one is promoted,
+    one predicts worse than the champion. Champions come from the decisions recorded before."""
+    ready = written(prepare.prepare(views.featured(spark, sf_dir), views.SPEC, keep=views.KEYS), "features")
+    fitting, testing = prepare.split_by_key(ready, views.KEYS)
+    poor = fitting.withColumn("fare_amount", 200 - F.col("fare_amount") / 100)  # valid fares that teach nothing
+    slow = F.when(F.col("model_version") == 2, 2.0).otherwise(1.0)
+    shadow = views.preds(spark, sf_dir).withColumns(
+        {"model_name": F.lit("fare"), "latency_ms": F.col("latency_ms") * slow}
+    )
+    no_drift = spark.createDataFrame(
+        [], "run_id string, model_name string, drift_detected boolean, drift_count int, max_psi double, ts timestamp_ntz"
+    )
+    models, decided, runs = (scratch_path(spark, n) for n in ("models", "decisions", "runs"))
+    config = retrain.RetrainConfig(
+        "fare", models, decided, runs, training=train.TrainingConfig(max_iter=2, max_depth=2), spec=views.SPEC
+    )
+    for version, rows in enumerate((poor, fitting, fitting, poor), 1):
+        champion = None
+        if version > 1:  # one row per model
+            champion = decide.production_alias(history.read_history(spark, decided)).first()["production_version"]
+        retrain.run_retraining(
+            spark, no_drift, rows, testing, config, champion, version, f"2024-01-0{version} 00:00:00", shadow, "scheduled"
+        )
+    gain = F.col("champion_rmse") - F.col("challenger_rmse")
+    apart = F.abs(F.col("primary_metric_improvement") - F.coalesce(gain, F.col("challenger_rmse")))
+    return history.read_history(spark, decided).select(
+        "challenger_version", "champion_version", "trigger_type", "validation_passed", "metric_improvement",
+        "latency_acceptable", "promoted", *rounded("latency_ratio", "champion_avg_latency_ms", "challenger_avg_latency_ms"),
+        *rounded("champion_p95_latency_ms", "challenger_p95_latency_ms"),
+        F.array_join(F.transform("rejection_reasons", lambda r: F.substring_index(r, " ", 2)), ";").alias("reasons"),
+        (apart < 1e-9).alias("gain_is_rmse"),
+    )
+
+
 @query
 def table_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column sets, success flags, features in common, skipped writes and version choice, one fact per row."""
@@ -1001,6 +1041,7 @@ def table_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rows written once": shape,
         "common features": len(numeric) + len(categorical),
         "skipped features": len(skipped),
+        "extra columns": len(validate.column_differences(fewer, views.SPEC)["extra"]),
         "missing columns": report.filter("rule = 'missing_column' AND failed").count(),
         "success": int(summary["success"]),
         "errors": summary["errors"],
