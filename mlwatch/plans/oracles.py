@@ -338,6 +338,23 @@ _HASH = "cast('0x' || substr(md5(cast(l_orderkey as varchar) || '-' || cast(l_li
 CLEANED = "cleaned as (select * replace (case when isnan(trip_distance) then null else trip_distance end as trip_distance) from dirty)"
 
 
+LATE = """
+deliveries as (
+  select * from (values (0, timestamp '0001-01-01', timestamp '2024-01-08'), (1, timestamp '2024-01-07', timestamp '2024-01-15'),
+    (2, timestamp '2024-01-14', timestamp '2024-01-22'), (3, timestamp '2024-01-21', timestamp '9999-01-01'),
+    (4, timestamp '2024-01-08', timestamp '2024-01-15')) as t(batch, since, until)),
+delivered as (select * from deliveries left join requests on ts >= since and ts < until),
+marks as (
+  select batch, max(max(ts)) over (order by batch) as newest,
+         max(max(ts)) over (order by batch rows between unbounded preceding and 1 preceding) - interval 12 hour as closed
+  from delivered group by batch),
+judged as (
+  select delivered.*, date_trunc('hour', ts) as start, newest,
+         coalesce(date_trunc('hour', ts) + interval 1 hour <= closed, false) as late
+  from delivered join marks using (batch))
+"""
+
+
 def _validate_table(source: str = "cleaned", dropped: tuple[str, ...] = ()) -> str:
     """One row per rule over ``source``; of the ``dropped`` columns only their absence is reported."""
     parts = []
@@ -690,6 +707,14 @@ SQL: dict[str, str] = {
             for b in LATENCY_BOUNDS
         ]
     ),
+    "stream_open_windows": _with(EVENTS, LATE) + """
+      select start as window_start, start + interval 1 hour as window_end, method, cast(status as varchar) as status,
+             count(*) as count, round(sum(latency_seconds), 6) as sum, count(*) filter (latency_seconds > 0.25e0) as slow,
+             start + interval 1 hour <= (select max(newest) from marks) - interval 12 hour as closed
+      from judged where not late and ts is not null group by 1, 3, 4""",
+    "stream_late_rows": _with(EVENTS, LATE) + """
+      select batch, count(ts) as rows, count(ts) filter (late) as late_rows, 0::bigint as untimed_rows, max(newest) as newest
+      from judged group by batch""",
     "encode_assemble": _with(TRIPS, PREPARED) + """
       select payment_type, count(*) as rows,
              cast(max(8 + (select count(distinct "RatecodeID") + count(distinct payment_type)

@@ -1078,7 +1078,7 @@ def _event_table(sf_dir: str) -> str:
     return f"{sf_dir}/events.parque[t]"
 
 
-def _event_stream(spark: SparkSession, path: str, sf_dir: str, files_per_trigger: int = 2) -> DataFrame:
+def _event_stream(spark: SparkSession, path: str, sf_dir: str, files_per_trigger: int | None = 2) -> DataFrame:
     schema = views.table(spark, sf_dir, "events").schema
     runtime.keep_state_off_heap(spark)
     stream = runtime.read_files(spark, path, schema, files_per_trigger)
@@ -1147,6 +1147,54 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unfolded.withColumns({"sum": F.round("sum", 6), "avg": F.round("avg", 6)})
 
 
+def _late_sums(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
+    """Hourly request sums kept over five deliveries, each the only one of its batch, under a watermark of 12 hours: every
+    delivery repeats a day of the one before, half of which is late, and the last one is late as a whole."""
+    events, path = views.table(spark, sf_dir, "events"), scratch_path(spark, "sums")
+    source, checkpoint = scratch_path(spark, "deliveries"), scratch_path(spark, "checkpoint")
+    latency = F.col("latency_seconds")
+    sums = {"count": F.count(latency), "sum": F.sum(latency), "slow": F.count_if(latency > 0.25)}
+    for since, until in LATE_DELIVERIES:
+        sent = events if since is None else events.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+        sent = sent if until is None else sent.filter(F.col("ts") < F.lit(until).cast("timestamp_ntz"))
+        sent.write.mode("append").parquet(source)
+        # all files that are new go into one batch
+        stream = views.as_requests(_event_stream(spark, source, sf_dir, files_per_trigger=None))
+        stream_windows.keep_sums(stream, "ts", ["method", "status"], sums, path, checkpoint, watermark="12 hours")
+    return path, list(sums)
+
+
+LATE_DELIVERIES = (
+    (None, "2024-01-08"),
+    ("2024-01-07", "2024-01-15"),
+    ("2024-01-14", "2024-01-22"),
+    ("2024-01-21", None),
+    ("2024-01-08", "2024-01-15"),
+)
+
+
+@query
+def stream_open_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly request sums of all windows, closed and open, of a stream whose deliveries come partly too late."""
+    path, sums = _late_sums(spark, sf_dir)
+    found = stream_windows.sums_so_far(spark, path, ["method", "status"], sums, watermark="12 hours")
+    return found.select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+        F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+        "method", "status", "count", F.round("sum", 6).alias("sum"), "slow", "closed",
+    )
+
+
+@query
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each delivery, and those dropped since their windows had closed."""
+    path, _ = _late_sums(spark, sf_dir)
+    return stream_windows.arrivals(spark, path).select(
+        F.col("batch").cast("int").alias("batch"), "rows", "late_rows", "untimed_rows",
+        F.col("newest").cast("timestamp_ntz").alias("newest"),
+    )
+
+
 @query
 def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All daily verdicts of the continuous check over a growing log, against the first week."""

@@ -173,3 +173,28 @@ def test_deviation_far_from_zero(spark):
     windows.write_closed(windows.trailing_moments(valued, "ts", "v", []), path, scratch_path(spark, "point"))
     whole = spark.read.parquet(path).filter("n = 60").first()
     assert (whole["std"], whole["mean"]) == (pytest.approx(2.8722813, rel=1e-6), pytest.approx(1e9 + 4.5))
+
+
+def test_sums_of_open_windows_and_late_rows(spark):
+    path, point, source = (scratch_path(spark, n) for n in ("sums", "point", "source"))
+    steps = [
+        [("a", "01 10:10:00"), ("a", "01 10:20:00"), ("b", "01 11:05:00")],
+        [("a", "01 10:59:00"), (None, "01 12:30:00"), ("a", None)],  # nothing was closed before this batch
+        [("a", "01 10:05:00"), ("b", "01 11:59:00")],  # closed up to 11:30: the first is late
+        [],
+        [("b", "01 11:01:00")],
+    ]
+    for step in steps:
+        rows = spark.createDataFrame([(k, at and f"2024-01-{at}") for k, at in step], "k string, at string")
+        rows.select("k", F.col("at").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(source)
+        stream = runtime.read_files(spark, source, spark.read.parquet(source).schema)
+        windows.keep_sums(stream, "ts", ["k"], {"n": F.count("*")}, path, point)
+    found = windows.sums_so_far(spark, path, ["k"], ["n"]).orderBy("window_start", "k").collect()
+    assert [(r.k, r.window_start.hour, r.n, r.closed) for r in found] == [
+        ("a", 10, 3, True), ("b", 11, 3, False), ("", 12, 1, False),
+    ]
+    brought = windows.arrivals(spark, path).orderBy("batch").collect()
+    assert [(r.rows, r.late_rows, r.untimed_rows) for r in brought if r.rows] == [(3, 0, 0), (3, 0, 1), (2, 1, 0), (1, 0, 0)]
+    assert brought[-1].newest.hour == 12
+    # a batch that is written again replaces its rows
+    assert spark.read.parquet(path).select("batch").distinct().count() == 4
