@@ -1,9 +1,10 @@
 """Main text of web pages by tag-path ratios.
 
 The page's text blocks are gathered under their root-to-leaf tag paths. Each path has the mean length and
-punctuation of its blocks; both are smoothed along the page, fused, and thresholded by their spread, which
-selects content blocks. The container of nearly all selected text is the article: its blocks, the selected ones
-outside it, and the headings before them, less those of parts that are never content, are the main text.
+punctuation of its blocks; both are smoothed along the page, fused, lowered for parts whose names say that they are no
+article text, and thresholded by their spread, which selects content blocks. The articles that hold selected text, or
+without articles the container of nearly all of it, give the main text: their blocks, the selected ones outside the
+container, and the headings before them, less those that the ratios hold to be parts beside the text.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ _MARKUP = re.compile(
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]++|"[^"]*+"|'[^']*+')*+|[^>]*+)(?:>|\Z)""",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
 _WORD = re.compile(r"[a-z]+")
 _PUNCTUATION = ".,;:!?…。，、！？；："
 
@@ -44,12 +45,16 @@ _PARTS = _HEADINGS | frozenset(
     "p pre blockquote section figure figcaption ul ol dl li dt dd table caption thead tbody tfoot tr td th details summary "
     "address center".split()
 )
-# Words of a class, id or role that name a part which is no article text, unless it holds most of the page's.
+# Words of a class, id or role that name a part beside the article.
 _ASIDE = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navigation navbar "
+    "banner promo promotion nav navigation navbar "
     "menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices popup modal overlay "
-    "share sharing social related recommended newsletter subscribe subscription signup login search comment comments "
-    "disqus respond replies pagination pager toolbar widget widgets copyright disclaimer complementary contentinfo".split()
+    "share sharing social related recommended newsletter subscribe subscription signup login search "
+    "pagination pager toolbar widget widgets copyright disclaimer complementary contentinfo".split()
+)
+# Words that name what readers and advertisers wrote, however long it is.
+_REMARKS = frozenset(
+    "comment comments disqus respond reply replies ad ads advert adverts advertisement advertising sponsor sponsored".split()
 )
 # Start tags that end an open element of the same kind, or an open paragraph.
 _ENDS = {
@@ -63,6 +68,10 @@ _SCOPE = {
 
 SPREAD = 0.5
 HELD = 0.8
+# The part of its text that must be selected for an element to be an article as a whole.
+WHOLE = 0.1
+# What a part's name leaves of the ratios of its text; parts inside parts multiply.
+BESIDE, REMARK = 0.02, 1e-4
 
 
 class _Page:
@@ -71,23 +80,24 @@ class _Page:
 
     def __init__(self):
         self.parents, self.ends, self.tags = [-1], [0], ["#page"]
-        # text, element, path, link characters, heading, all of it in inline asides
-        self.blocks: list[tuple[str, int, int, int, bool, bool]] = []
-        self.asides: set[int] = set()
+        # text, element, path, link characters, heading, what the names of the parts around it leave of its ratios
+        self.blocks: list[tuple[str, int, int, int, bool, float]] = []
         self.paths: dict[tuple[int, str], int] = {}
-        # open elements: tag, number, path, never content, in a link, in an inline aside
-        self.open: list[tuple[str, int, int, bool, bool, bool]] = [("#page", 0, -1, False, False, False)]
+        # open elements: tag, number, path, never content, in a link, in an inline aside, what names leave, in remarks
+        self.open: list[tuple[str, int, int, bool, bool, bool, float, bool]] = [
+            ("#page", 0, -1, False, False, False, 1.0, False)
+        ]
         self.waiting: list[str] = []
-        self.linked, self.under, self.beside = 0, (0, -1), True
+        self.linked, self.under, self.beside, self.left = 0, (0, -1), True, 1.0
 
     def text(self, chunk: str) -> None:
-        _, number, path, never, linked, beside = self.open[-1]
+        _, number, path, never, linked, beside, left, _ = self.open[-1]
         if never or not chunk:
             return
         if "&" in chunk:
             chunk = html.unescape(chunk)
         if not self.waiting and not chunk.isspace():
-            self.under = (number, path)
+            self.under, self.left = (number, path), left
         self.waiting.append(chunk)
         self.beside = self.beside and (beside or chunk.isspace())
         if linked:
@@ -98,7 +108,8 @@ class _Page:
             text = " ".join("".join(self.waiting).split())
             if text:
                 heading = any(tag in _HEADINGS for tag, *_ in self.open[-3:])
-                self.blocks.append((text, *self.under, self.linked, heading, self.beside))
+                left = self.left * (BESIDE if self.beside else 1.0)
+                self.blocks.append((text, *self.under, self.linked, heading, left))
             self.waiting, self.linked, self.beside = [], 0, True
 
     def start(self, tag: str, attributes: str, closed: bool) -> None:
@@ -115,22 +126,27 @@ class _Page:
             if tag in _ENDS:
                 for other in _ENDS[tag]:
                     self._close_open(other, _SCOPE[tag])
-        _, parent, path, never, linked, beside = self.open[-1]
+        _, parent, path, never, linked, beside, left, remarks = self.open[-1]
         words, hidden = self._words(attributes) if attributes else ((), False)
         key = f"{tag}.{words[0]}" if words else tag
         never = never or tag in _NEVER and not (tag == "header" and any(t == "article" for t, *_ in self.open[-4:]))
         never = never or hidden and tag not in _WHOLE
-        aside = tag == "form" or tag not in _WHOLE and not _ASIDE.isdisjoint(words)
         number = len(self.parents)
-        if aside and tag not in _INLINE:
-            self.asides.add(number)
         self.parents.append(parent)
         self.ends.append(number)
         self.tags.append(tag)
         if closed and tag not in _INLINE:
             return
+        named = not _ASIDE.isdisjoint(words) and tag not in _WHOLE
+        remark = not _REMARKS.isdisjoint(words) and tag not in ("html", "body", "main")
+        if tag in _INLINE:
+            beside = beside or named or remark
+        elif tag == "main" or tag == "article" and not (remark or remarks):
+            left, remarks = 1.0, False  # a text, whatever it is wrapped in
+        else:
+            left, remarks = left * (REMARK if remark or tag == "form" else BESIDE if named else 1.0), remarks or remark
         path = self.paths.setdefault((path, key), len(self.paths))
-        self.open.append((tag, number, path, never, linked or tag == "a", beside or aside and tag in _INLINE))
+        self.open.append((tag, number, path, never, linked or tag == "a", beside, left, remarks))
 
     @staticmethod
     def _words(attributes: str) -> tuple[list[str], bool]:
@@ -187,26 +203,18 @@ class _Page:
             out[self.parents[element]] += out[element]
         return out
 
-    def drop_asides(self) -> None:
-        """Leave out the blocks of asides, but not of one that holds most of the text: of the text in article and main
-        elements, if there is some, else of the page's. All stay if none would."""
-        whole: list[bool] = []
-        for element, tag in enumerate(self.tags):
-            whole.append(tag in ("article", "main") or element > 0 and whole[self.parents[element]])
-        texts = self.held([len(b[0]) * whole[b[1]] for b in self.blocks])
-        if not texts[0]:
-            texts = self.held([len(b[0]) for b in self.blocks])
-        aside = [False]
-        for element in range(1, len(self.tags)):
-            named = element in self.asides and 2 * texts[element] <= texts[0]
-            aside.append(named or aside[self.parents[element]])
-        self.blocks = [b for b in self.blocks if not (b[5] or aside[b[1]])] or self.blocks
+    def around(self, tag: str) -> list[int]:
+        """Of each element the outermost element of this tag that it is or lies in, 0 for none."""
+        out: list[int] = []
+        for element, own in enumerate(self.tags):
+            outer = out[self.parents[element]] if element else 0
+            out.append(outer or (element if own == tag else 0))
+        return out
 
     def finish(self) -> None:
         self.flush()
         while self.open:
             self._pop()
-        self.drop_asides()
 
 
 def read_page(source: str) -> _Page:
@@ -252,7 +260,8 @@ def selected(page: _Page, spread: float = SPREAD) -> np.ndarray:
     mean = lambda values: (np.bincount(path, values) / nodes)
     text_ratio, mark_ratio = mean(chars), mean(marks)
     plain = 1 - np.bincount(path, links) / np.bincount(path, chars)
-    fused = _smooth(text_ratio[path]) * (1 + _smooth(mark_ratio[path])) * plain[path] ** 2
+    names = np.array([b[5] for b in page.blocks])
+    fused = _smooth(text_ratio[path]) * (1 + _smooth(mark_ratio[path])) * plain[path] ** 2 * names
     score = mean(fused)
     threshold = min(score.max(), spread * fused.std()) if len(score) > 1 else 0.0
     return (score >= threshold)[path] & (plain[path] > 0.3)
@@ -260,25 +269,46 @@ def selected(page: _Page, spread: float = SPREAD) -> np.ndarray:
 
 def main_text(source: str | None) -> str:
     """The article of a page: its blocks in page order, white space within a block as one blank, blocks joined by one
-    newline. Null and empty pages, and pages without text, give the empty string."""
+    newline. Null and empty pages, and pages without text, give the empty string. Very long and very deep pages are read
+    whole. Of several articles, all that hold selected text are returned, if these hold a fifth of it."""
     page = read_page(source or "")
     if not page.blocks:
         return ""
     chosen = selected(page)
     if not chosen.any():
         chosen[:] = True
+    # of the rest, what is as little beside the text by its names as the selected blocks are
+    names = np.array([b[5] for b in page.blocks])
+    kept = chosen | (names >= names[chosen].max())
+    chars = np.array([len(b[0]) for b in page.blocks])
+    sizes = chars * chosen
+    for tag in ("article", "main"):
+        around = page.around(tag)
+        inside = np.array([around[b[1]] for b in page.blocks])
+        if sizes[inside > 0].sum() >= max((1 - HELD) * sizes.sum(), 1):
+            parts = np.bincount(inside, sizes) >= np.maximum(WHOLE * np.bincount(inside, chars * kept), 1)
+            parts[0] = False
+            kept &= parts[inside] | chosen & (inside > 0)
+            if tag == "article":
+                return "\n".join(b[0] for b, good in zip(page.blocks, kept) if good)
+            break
+    page.blocks = [b for b, good in zip(page.blocks, kept) if good]
+    return _container_text(page, chosen[kept])
+
+
+def _container_text(page: _Page, chosen: np.ndarray) -> str:
+    """The text around the ``chosen`` blocks of a page without articles."""
     held = page.held([len(b[0]) * good for b, good in zip(page.blocks, chosen)])
     enough = HELD * held[0]
     article = max(e for e in range(len(held)) if held[e] >= enough and page.tags[e] not in _INLINE)
     containers = page.containers()
     article = containers[article]
-    for element in range(article, -1, -1):  # an enclosing article element is the whole article
-        if page.tags[element] == "article" and page.ends[element] >= article:
-            return "\n".join(b[0] for b in page.blocks if element <= b[1] <= page.ends[element])
     if page.tags[article] in ("html", "body", "#page"):  # of the page itself, what isn't in other containers
         inside = [2 * b[3] < len(b[0]) and containers[b[1]] == article for b in page.blocks]
     else:
         inside = [article <= b[1] <= page.ends[article] for b in page.blocks]
+    if held[article] < WHOLE * sum(len(b[0]) for b, good in zip(page.blocks, inside) if good):
+        inside = list(chosen)
     first, last = np.flatnonzero(chosen | inside)[[0, -1]]
     while first and page.blocks[first - 1][4]:
         first -= 1

@@ -1,8 +1,11 @@
 import html
+import random
 import re
 
+import numpy as np
 import pytest
 
+from mlwatch.llm import main_text as module
 from mlwatch.llm.main_text import extract, main_text
 
 ARTICLE = "<p>First paragraph of the text, which is long enough.</p><p>Second, also long; and it has words.</p>"
@@ -96,3 +99,46 @@ def test_rows_of_any_kind(spark):
         ["Row(page_id=1, url='u', text='a')"] * 2 + ["Row(page_id=None, url=None, text='')"]
     )
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+REMARKS = "<p>I disagree, sir, with all of it; and here is why, at length, point by point.</p>" * 30
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article>{ARTICLE}<section id=comments>{REMARKS}</section></article>",
+        f"<article>{ARTICLE}</article><div class=comments>{REMARKS}</div>",
+        f"<article>{ARTICLE * 9}</article><div class=reply-list>{REMARKS}</div>",
+        f"<article>{ARTICLE * 9}</article><div class=voices>{REMARKS}</div>",
+        f"<div>{ARTICLE}</div><div class=comments>{REMARKS}</div>",
+        f"<article>{ARTICLE}</article><section class=comments><article>{REMARKS}</article></section>",
+        f"<div>{ARTICLE}</div><form>{REMARKS}</form><div class='advert'>{REMARKS}</div>",
+    ],
+)
+def test_remarks_go_however_long_they_are(page):
+    assert main_text(page) == "\n".join([TEXT] * (9 if "reply-list" in page or "voices" in page else 1))
+
+
+@pytest.mark.parametrize("attribute", ["title='a hidden gem'", "data-hidden=false", "data-id=menu", "title='x class=ad'"])
+def test_only_whole_attributes_count(attribute):
+    assert main_text(f"<p>One, two.</p><p {attribute}>Three, four.</p>") == "One, two.\nThree, four."
+    assert main_text(f"<p>One, two.</p><p hidden {attribute}>Three, four.</p>") == "One, two."
+
+
+def test_two_articles_are_both_returned():
+    assert main_text(f"<article>{ARTICLE}</article><p>Aside.</p><article>{ARTICLE}</article>") == f"{TEXT}\n{TEXT}"
+
+
+def test_the_ratios_decide(spark, sf, monkeypatch):
+    """With a coin toss per path in place of the thresholded ratios, pages come out otherwise."""
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    texts = [main_text(p) for p in pages]
+    rng = random.Random(1)
+
+    def toss(page):
+        coins = {b[2]: rng.random() < 0.5 for b in page.blocks}
+        return np.array([coins[b[2]] for b in page.blocks])
+
+    monkeypatch.setattr(module, "selected", toss)
+    assert sum(a != main_text(p) for a, p in zip(texts, pages)) > len(pages) / 10
