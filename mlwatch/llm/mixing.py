@@ -138,7 +138,7 @@ def mix(
     """``docs`` with __block, __release, __deadline, __slot and __position (each row's place in the mixture).
 
     ``weights`` gives a target weight to each source (None: rows without one); by default a source's weight is the
-    square root of its rows. Sources it doesn't name get the least weight named. Release and deadline count slots
+    square root of its rows. Sources it doesn't name get the least weight named, all the same if none is. Release and deadline count slots
     from the start of the block's phase. Positions are unique and ascend with the slot; they have gaps
     only where a source's last block is short. Rows are ordered within a source by a hash of the id, ties by id;
     rows equal in both share no position, in any order. Every row stays, with all its columns; null sources are a
@@ -162,7 +162,8 @@ def mix(
         target = {name: n**FLATTEN for name, n in rows.items()}
     else:
         given = {"" if name is None else f"={name}": float(w) for name, w in weights.items()}
-        target = {name: given.get(name, min(given.values())) for name in rows}
+        least = min(given.values(), default=1.0)
+        target = {name: given.get(name, least) for name in rows}
     blocks = {name: -(-n // block_rows) for name, n in rows.items()}
     taken = _slot_table(docs.sparkSession, blocks, exact_parts(target))
 

@@ -107,3 +107,12 @@ def test_the_table_follows_uneven_weights(spark):
     assert (out.__slot == np.arange(5000)).all() and (out.__position == out.__slot).all()
     ahead = (out.source == "rare").cumsum().to_numpy()[:4400]
     assert (abs(ahead - 0.0002 * np.arange(1, 4401)) < 1).all()
+
+
+def test_no_weights_named_are_equal_weights(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(256)], "doc_id long, source string")
+    slots = {(r.source, r["__slot"]) for r in mix(docs, {}).collect()}
+    assert sorted(slots, key=lambda x: x[1]) == sorted(
+        {(r.source, r["__slot"]) for r in mix(docs, {"a": 1, "b": 1}).collect()}, key=lambda x: x[1]
+    )
+    assert len(slots) == 4
