@@ -111,8 +111,8 @@ def test_the_table_follows_uneven_weights(spark):
 
 def test_no_weights_named_are_equal_weights(spark):
     docs = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(256)], "doc_id long, source string")
-    slots = {(r.source, r["__slot"]) for r in mix(docs, {}).collect()}
+    slots = {(r.source, r["__slot"]) for r in mixing.mix(docs, {}).collect()}
     assert sorted(slots, key=lambda x: x[1]) == sorted(
-        {(r.source, r["__slot"]) for r in mix(docs, {"a": 1, "b": 1}).collect()}, key=lambda x: x[1]
+        {(r.source, r["__slot"]) for r in mixing.mix(docs, {"a": 1, "b": 1}).collect()}, key=lambda x: x[1]
     )
     assert len(slots) == 4
