@@ -201,9 +201,8 @@ def prepare_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def feature_target_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per column role and categorical text length, from both halves of the split."""
-    features, target = prepare.feature_target_split(
-        views.featured(spark, sf_dir).select(*TRIP_SPEC.columns)
-    )
+    rows = written(views.featured(spark, sf_dir).select(*TRIP_SPEC.columns), "features")  # both halves are read
+    features, target = prepare.feature_target_split(rows)
     text = prepare.categories_as_text(features)
     widths = text.agg(
         *[F.sum(F.length(c)).cast("double").alias(c) for c in TRIP_SPEC.categorical],

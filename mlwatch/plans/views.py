@@ -38,59 +38,53 @@ def repeated_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as trips. Customers and suppliers carry the two zones.
 
-    The zone name is resolved on the small customer and supplier tables, so the line items meet one
-    join per table; their sides are left to the optimizer, which knows their size.
+    Customers meet the orders before the line items do, and zones travel as nation keys that get their names last:
+    the line items are shuffled for their orders, in few and narrow columns, and for their suppliers only where those
+    are many. The sides of the joins are left to the optimizer, which knows the size of the tables; but orders grow
+    with the line items, so they are merged with them at every size and never sent whole to every executor.
     """
-    zone = F.broadcast(zones(spark, sf_dir))  # at most the 25 rows of nation
-    customer = table(spark, sf_dir, "customer")
-    supplier = table(spark, sf_dir, "supplier")
-    pickup = customer.join(zone, customer.c_nationkey == zone.n_nationkey, "left").select(
-        "c_custkey", F.col("r_name").alias("pickup_borough")
-    )
-    dropoff = supplier.join(zone, supplier.s_nationkey == zone.n_nationkey, "left").select(
-        "s_suppkey", F.col("r_name").alias("dropoff_borough")
-    )
+    zone = zones(spark, sf_dir)
+    customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("pickup_nation"))
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dropoff_nation"))
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey",
         "o_custkey",
-        F.expr("o_orderdate + make_dt_interval(0, cast(o_orderkey % 24 as int), 0, 0)").alias(
-            "pickup_ts"
-        ),
+        "o_orderdate",
         F.substring("o_orderpriority", 1, 1).cast("int").alias("RatecodeID"),
         F.when(F.col("o_orderstatus") == "F", 1)
         .when(F.col("o_orderstatus") == "O", 2)
         .otherwise(5)
         .alias("payment_type"),
     )
+    placed = orders.join(customer, orders.o_custkey == customer.c_custkey)
     lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey",
-        "l_linenumber",
+        *KEYS, "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"
+    )
+    minutes = (F.col("l_partkey") * 7 + F.col("l_linenumber") * 13) % 200
+    rows = lines.join(placed.hint("merge"), lines.l_orderkey == placed.o_orderkey).join(
+        supplier, lines.l_suppkey == supplier.s_suppkey
+    )
+    for side in ("pickup", "dropoff"):
+        named = zone.select(
+            F.col("n_nationkey").alias(f"{side}_key"), F.col("r_name").alias(f"{side}_borough")
+        )
+        # at most the 25 rows of nation
+        rows = rows.join(F.broadcast(named), F.col(f"{side}_nation") == F.col(f"{side}_key"), "left")
+    pickup = F.expr("o_orderdate + make_dt_interval(0, cast(o_orderkey % 24 as int), 0, 0)")
+    return rows.select(
+        *KEYS,
         "l_partkey",
         "l_suppkey",
+        pickup.alias("pickup_ts"),
+        (pickup + F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"))).alias("dropoff_ts"),
         (F.col("l_quantity") * 2.2).alias("trip_distance"),
         F.col("l_linenumber").alias("passenger_count"),
-        ((F.col("l_partkey") * 7 + F.col("l_linenumber") * 13) % 200).alias("minutes"),
+        "RatecodeID",
+        "payment_type",
+        "pickup_borough",
+        "dropoff_borough",
         (F.col("l_extendedprice") / 500.0).alias("fare_amount"),
     )
-    return (
-        lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-        .join(pickup, orders.o_custkey == pickup.c_custkey)
-        .join(dropoff, lines.l_suppkey == dropoff.s_suppkey)
-        .select(
-            *KEYS,
-            "l_partkey",
-            "l_suppkey",
-            "pickup_ts",
-            F.expr("pickup_ts + make_dt_interval(0, 0, cast(minutes as int), 0)").alias("dropoff_ts"),
-            "trip_distance",
-            "passenger_count",
-            "RatecodeID",
-            "payment_type",
-            "pickup_borough",
-            "dropoff_borough",
-            "fare_amount",
-        )
-    )
 
 
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,3 +33,9 @@ def test_trips_read_only_used_columns(spark, sf):
     plan = physical(views.trips(spark, sf).select("fare_amount"))
     schema = next(s for s in plan.split("ReadSchema: ")[1:] if "l_extendedprice" in s).splitlines()[0]
     assert "l_shipdate" not in schema and "l_discount" not in schema and "l_quantity" not in schema
+
+
+def test_trips_shuffle_line_items_for_their_orders_only(spark, sf):
+    plan = physical(views.trips(spark, sf))
+    assert "hashpartitioning(l_orderkey" in plan  # orders grow with the line items: they are not broadcast
+    assert "hashpartitioning(o_custkey" not in plan and "hashpartitioning(l_suppkey" not in plan
