@@ -151,6 +151,22 @@ def test_every_due_window_is_judged_however_files_fall_into_batches(spark, sf, f
 
 
 
+def test_windows_older_than_the_first_batch_are_judged(spark, sf):
+    """Files of one delivery come in any order: the oldest events need not be in the first batch."""
+    events = views.events_with_k(spark, sf).withColumn("ts", runtime.event_time("ts"))
+    path = scratch_path(spark, "feed")
+    for first, last in (("2024-01-05", "2024-01-08"), ("2024-01-01", "2024-01-03"), ("2024-01-03", "2024-01-05")):
+        events.filter((F.col("ts") >= first) & (F.col("ts") < last)).coalesce(1).write.mode("append").parquet(path)
+    config = monitor.MonitorConfig(
+        ("k",), (), scratch_path(spark, "runs"), scratch_path(spark, "alerts"), delay_hours=24 * 10, min_samples=1
+    )
+    log = views.as_predictions(events)
+    stream = views.as_predictions(runtime.read_files(spark, path, events.schema, 1))
+    stream_drift.watch(stream, log.select("k"), scratch_path(spark, "log"), config, scratch_path(spark, "point"))
+    found = {r.ts.day for r in spark.read.parquet(config.runs_path).select("ts").distinct().collect()}
+    assert found == {2, 3, 4, 5, 6, 7}
+
+
 def test_a_repeat_behind_the_watermark_is_logged_once(spark):
     stream = feed(spark, [request(1, "01 10:00:00")], [request(2, "03 10:00:00")], [request(1, "03 12:00:00")])
     log, bad, point = (scratch_path(spark, n) for n in ("log", "bad", "point"))
