@@ -12,7 +12,7 @@ from mlwatch.operators.decide import drift_alerts
 from mlwatch.operators.drift import drift_verdict
 from mlwatch.operators.drift_windows import ReferenceSummary, shared_reference_drift, summarise_reference
 from mlwatch.sources.history import append_unique, as_timestamp, read_history, trailing_window
-from mlwatch.sources.shared import scratch_scope, written
+from mlwatch.sources.shared import discard, scratch_scope, written
 from mlwatch.spec import DRIFT_BINS, MIN_SAMPLES, WINDOW_HOURS
 
 
@@ -95,15 +95,22 @@ def check_log(
 ) -> DataFrame:
     """The check of a prediction log whose features are packed: window, unpack, judge, record; returns the runs.
 
-    The log's ``predicted_fare`` is watched as the prediction against the reference's.
+    The log's ``predicted_fare`` is watched as the prediction against the reference's. What is watched of both tables is
+    written once, since several passes read it: neither what they are derived from nor the packed text is read again.
     """
     unpacked = unpack_stats(trailing_window(log, "ts", as_of, config.hours), stats)
     rows = unpacked.withColumnRenamed("predicted_fare", "prediction")
-    with scratch_scope():
-        record_check(check_window(reference, rows, as_of, config), config)
+    names = [name for group in watched(config, reference, rows) for name in group]
+    window = written(rows.select("model_name", "ts", *names), "drift-window")
+    try:
+        models = written(window.select("model_name").distinct(), "drift-models")  # one row per model
+        with scratch_scope():
+            before = written(reference.select(*names), "drift-reference")
+            record_check(check_window(before, window, as_of, config), config)
+    finally:
+        discard(window)
     end = as_timestamp(as_of, log.schema["ts"].dataType.simpleString())
     stored = read_history(log.sparkSession, config.runs_path).filter(F.col("date") == F.to_date(end))
-    models = rows.select("model_name").distinct()
     return stored.filter(F.col("ts") == end).join(models, "model_name", "left_semi").select(*stored.columns)
 
 
