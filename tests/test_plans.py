@@ -5,7 +5,8 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from mlwatch.plans import views
+from mlwatch.operators import prepare
+from mlwatch.plans import queries, views
 from mlwatch.plans.queries import QUERIES
 from mlwatch.sources import history
 
@@ -39,3 +40,11 @@ def test_trips_shuffle_line_items_for_their_orders_only(spark, sf):
     plan = physical(views.trips(spark, sf))
     assert "hashpartitioning(l_orderkey" in plan  # orders grow with the line items: they are not broadcast
     assert "hashpartitioning(o_custkey" not in plan and "hashpartitioning(l_suppkey" not in plan
+
+
+def test_split_for_training_hashes_its_keys_once(spark, sf):
+    parts = queries._fitting_and_testing(spark, sf)
+    ready = prepare.prepare(views.featured(spark, sf), views.SPEC, keep=views.KEYS)
+    for part, lazy in zip(parts, prepare.split_by_key(ready, views.KEYS)):
+        assert "md5" not in physical(part) and "md5" in physical(lazy)
+        assert part.exceptAll(lazy).isEmpty() and lazy.exceptAll(part).isEmpty()
