@@ -48,3 +48,7 @@ def test_split_for_training_hashes_its_keys_once(spark, sf):
     for part, lazy in zip(parts, prepare.split_by_key(ready, views.KEYS)):
         assert "md5" not in physical(part) and "md5" in physical(lazy)
         assert part.exceptAll(lazy).isEmpty() and lazy.exceptAll(part).isEmpty()
+
+
+def test_runs_of_a_check_do_not_read_its_log_again(spark, sf):
+    assert "l_orderkey" not in physical(entry.queries()["monitor_log"](spark, sf))
