@@ -9,6 +9,7 @@ of unlabelled rows differ at the top. Labels of negatives are never used.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections.abc import Iterator
 from operator import eq
@@ -183,25 +184,46 @@ def learn(p: np.ndarray, u: np.ndarray) -> tuple[Scorer, float]:
     return minimise(p, u, prior), prior
 
 
-def _featured(docs: DataFrame, text_col: str) -> np.ndarray:
+def _featured(docs: DataFrame, text_col: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         classes = character_classes()
         return {"x": pa.array([features(t, classes).tobytes() for t in batch.column(1).to_pylist()], pa.binary())}
 
-    rows = by_batch(docs.select("__key", text_col), run, "x binary").collect()  # a bounded sample
-    return np.array([np.frombuffer(x, np.float32) for x in sorted(r[0] for r in rows)], np.float32).reshape(-1, FEATURES)
+    return by_batch(docs.select("__key", text_col), run, "x binary")
+
+
+def _table(rows: list[bytes]) -> np.ndarray:
+    """Rows of features, in an order that doesn't depend on partitions."""
+    return np.frombuffer(b"".join(sorted(rows)), np.float32).reshape(-1, FEATURES)
 
 
 def fit(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
 ) -> tuple[Scorer, float]:
     """Learn from ``docs``: positives are the rows whose id is in ``trusted`` (a column of ids), unlabelled rows are
-    any. About ``sample_rows`` of each are used, chosen by a hash of the id. Null ids are never trusted."""
+    any. About ``sample_rows`` of each are used, chosen by a hash of the id. Null ids are never trusted.
+
+    One task learns from the features of the bounded sample; only the scorer meets the driver."""
     keyed = docs.select(F.col(id_col).alias("__key"), F.col(text_col))
     ids = trusted.select(F.col(id_col).alias("__key")).filter("__key IS NOT NULL").distinct()
     some = F.broadcast(some_of(ids, "__key", sample_rows, 11))  # about sample_rows ids
-    positive = keyed.join(some, "__key", "left_semi")
-    return learn(_featured(positive, text_col), _featured(some_of(keyed, "__key", sample_rows, 12), text_col))
+    positive = _featured(keyed.join(some, "__key", "left_semi"), text_col)
+    unlabelled = _featured(some_of(keyed, "__key", sample_rows, 12), text_col)
+    rows = positive.withColumn("trusted", F.lit(True)).unionByName(unlabelled.withColumn("trusted", F.lit(False)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn: dict[bool, list[bytes]] = {True: [], False: []}
+        for batch in batches:
+            for x, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                drawn[good].append(x)
+        scorer, prior = learn(_table(drawn.pop(True)), _table(drawn.pop(False)))
+        state = pickle.dumps((scorer.mean, scorer.scale, scorer.weights, scorer.bias))
+        yield pa.RecordBatch.from_arrays([pa.array([state], pa.binary()), pa.array([prior])], ["state", "prior"])
+
+    found = rows.repartition(1).mapInArrow(run, "state binary, prior double").first()
+    scorer = Scorer(np.zeros((1, FEATURES)))
+    scorer.mean, scorer.scale, scorer.weights, scorer.bias = pickle.loads(found["state"])
+    return scorer, found["prior"]
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

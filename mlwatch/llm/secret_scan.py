@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mlwatch.llm.rows import by_batch, table
+from mlwatch.sources.shared import discard, written
 
 # The base patterns and the shortest matches that count.
 ASSIGN = re.compile(
@@ -176,7 +177,10 @@ def corpus_words(docs: DataFrame, text_col: str = "text", bound: int = CORPUS_WO
     letters = F.lit(rf"(?<![\p{{L}}\p{{N}}])(\p{{L}}{{2,{LONGEST_WORD}}})(?![\p{{L}}\p{{N}}])")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(prose, letters))).alias("word"))
     counted = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    common = [r.word for r in counted.orderBy(F.desc("n"), "word").limit(bound).collect()]
+    # written first: collected at once, the most frequent words of every task would be merged on the driver
+    most = written(counted.orderBy(F.desc("n"), "word").limit(bound), "corpus-words")
+    common = [r.word for r in sorted(most.collect(), key=lambda r: (-r.n, r.word))]
+    discard(most)
     return list(dict.fromkeys([*WORDS, *common]))
 
 

@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from mlwatch.llm import bpe, language, quality, secret_scan
 from mlwatch.llm.rows import held_out, table
@@ -237,3 +238,41 @@ def test_clean_prose_has_no_guesses(spark):
     assert len(secret_scan.corpus_words(docs, bound=2)) <= len(secret_scan.WORDS) + 2
     found = secret_scan.scan(docs, words=words).orderBy("doc_id").collect()
     assert [len(r.spans) for r in found] == [0] * len(prose) + [1] * len(leaked)
+
+
+def gathered(monkeypatch):
+    """The bytes of each row that the driver collects from now on."""
+    sizes, collect = [], DataFrame.collect
+
+    def counted(frame):
+        rows = collect(frame)
+        sizes.extend(sum(len(v) for v in r if isinstance(v, (bytes, bytearray, str))) for r in rows)
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    return sizes
+
+
+def test_quality_is_learned_without_features_on_the_driver(spark, monkeypatch):
+    texts = [(i, ("good words in a row %d. " if i % 2 else "BUY$$$ %d!! ") % i * (i + 1)) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    classes = quality.character_classes()
+    rows = sorted((quality.features(t, classes).tobytes(), i % 2) for i, t in texts)
+    x, good = (np.array([np.frombuffer(r[0], np.float32) for r in rows]), np.array([r[1] for r in rows], bool))
+    expected, prior = quality.learn(x[good], x)
+    sizes = gathered(monkeypatch)
+    scorer, found = quality.fit(docs, docs.filter("doc_id % 2 = 1").select("doc_id"))
+    assert (scorer.weights == expected.weights).all() and (scorer.bias, found) == (expected.bias, prior)
+    assert (scorer.probability(x) == expected.probability(x)).all()
+    assert sum(sizes) < 10 * quality.FEATURES * 4  # the scorer, not the 60 rows that it learns from
+
+
+def test_corpus_words_are_merged_off_the_driver(spark, monkeypatch):
+    """Most documents first, ties by name; the last merge is a task's, so that the driver gets the words alone."""
+    docs = spark.createDataFrame([(i, " ".join(w for k, w in enumerate(("zeta", "beta", "alfa", "rho")) if i >= k // 2 * 3)) for i in range(9)], "doc_id long, text string")
+    found = secret_scan.corpus_words(docs.repartition(4), bound=3)
+    assert found == [*secret_scan.WORDS, *(w for w in ("beta", "zeta", "alfa") if w not in secret_scan.WORDS)]
+    plans, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda x: plans.append(x._jdf.queryExecution().toString()) or collect(x))
+    assert secret_scan.corpus_words(docs.repartition(4), bound=3) == found
+    assert len(plans) == 1 and "TakeOrderedAndProject" not in plans[0]
