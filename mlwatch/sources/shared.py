@@ -36,8 +36,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/mlwatch/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+def written(df: DataFrame, label: str, session: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back, in ``session`` if one is given.
 
     Later passes read the pruned files instead of repeating the lineage, a lost executor costs no
     recomputation, and the optimizer sees the true size, so it broadcasts the table only when it
@@ -46,7 +46,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = (session or spark).read.schema(df.schema).parquet(path)
     out._scratch_path = path
     if _scopes:
         _scopes[-1].append(out)

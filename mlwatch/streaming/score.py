@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mlwatch.functions.trips import baseline_fare, feature_hash, unpack_stats
 from mlwatch.operators.validate import row_errors
-from mlwatch.sources.history import exists, key_bucket, present_keys
+from mlwatch.sources.history import exists, first_per_key, key_bucket, present_keys
 from mlwatch.sources.shared import discard, written
 from mlwatch.spec import FeatureSpec, TRIP_SPEC
 from mlwatch.streaming.runtime import run_to_end, write_batch
@@ -60,6 +60,17 @@ def seen_path(log_path: str) -> str:
     return f"{log_path.rstrip('/')}-seen"
 
 
+def newest_path(log_path: str) -> str:
+    """Where the newest time of all batches so far is kept, by batch."""
+    return f"{log_path.rstrip('/')}-newest"
+
+
+def _newest(spark: SparkSession, log_path: str, batch_id: int) -> int | None:
+    """The newest time (microseconds) of all batches up to this one."""
+    path = f"{newest_path(log_path)}/batch={batch_id}"
+    return spark.read.schema("newest long").parquet(path).first()["newest"] if exists(spark, path) else None
+
+
 def score_log(
     requests: DataFrame,
     log_path: str,
@@ -72,33 +83,45 @@ def score_log(
 ) -> None:
     """Run the scoring stream over everything available.
 
-    ``score`` adds ``predicted_fare``: the tariff, or a saved model's transform. Per micro-batch the
-    requests are checked and scored in one pass and written to the log or the quarantine; a request that an
-    earlier batch logged, and whose repeat comes after the watermark has forgotten it, is left out: the ids seen are
-    kept beside the log by buckets (``seen_path``), and a batch reads those of its own ids. A retried batch replaces
-    itself in all three.
+    ``score`` adds ``predicted_fare``: the tariff, or a saved model's transform. A micro-batch keeps the first copy of
+    each request, leaves out those that earlier batches had, checks and scores the rest in one pass and writes it to
+    the log or the quarantine. The stream holds no state: the ids seen are kept beside the log by buckets (``seen_path``),
+    and a batch reads those of its own ids. A logged request is never logged or refused again; a refused one may come
+    again when the watermark is past its time and ``watermark`` more. As in :func:`first_requests`, rows behind the
+    watermark of the preceding batch are late and dropped. Rows without an id are one request in each batch. A retried
+    batch replaces itself in every table.
     """
-    unique = first_requests(requests, watermark=watermark)
-    checked = checked_features(unique, stats, spec)
-    names = [c for c in spec.features if c in checked.columns]
-    scored = score(checked.withColumn("feature_hash", feature_hash(names)))
+    spark = requests.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        checked = written(batch, "scored")
-        good = F.size("errors") == 0
-        accepted = checked.filter(good).drop("errors")
-        fresh = accepted.select("request_id").withColumn("key_bucket", key_bucket("request_id"))
-        seen = seen_path(log_path)
+        # a stream plans without adaptive execution; what it brings is worked on in the session that started it
+        given = written(batch, "requests", spark)
+        delay = F.expr(f"interval {watermark}")
+        passed = F.timestamp_micros(F.lit(_newest(spark, log_path, batch_id - 2)).cast("long")) - delay
+        on_time = given.filter(F.coalesce(F.col("ts") > passed, F.lit(True)))
+        fresh = first_per_key(on_time, "request_id", "ts").withColumn("key_bucket", key_bucket("request_id"))
+        fresh, seen = written(fresh, "fresh"), seen_path(log_path)
+        unique = fresh
         if exists(spark, seen):
-            schema = accepted.select("request_id").schema.add("key_bucket", "integer").add("batch", "long")
-            earlier = spark.read.schema(schema).parquet(seen).filter(F.col("batch") < batch_id)
-            repeated = present_keys(fresh, earlier, "request_id")
-            accepted = accepted.join(repeated, "request_id", "left_anti")
-        write_batch(accepted, log_path, batch_id, "ts")
-        ids = fresh.withColumn("batch", F.lit(batch_id).cast("long")).repartition("key_bucket")
-        ids.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_bucket", "batch").parquet(seen)
-        write_batch(checked.filter(~good), quarantine_path, batch_id, "ts")
-        discard(checked)
-
-    run_to_end(scored.writeStream.foreachBatch(write), checkpoint)
+            schema = fresh.select("request_id").schema.add("until", "timestamp")
+            held = spark.read.schema(schema.add("key_bucket", "integer").add("batch", "long")).parquet(seen)
+            held = held.filter((F.col("batch") < batch_id) & F.coalesce(F.col("until") > passed, F.lit(True)))
+            unique = fresh.join(present_keys(fresh, held, "request_id"), "request_id", "left_anti")
+        checked = checked_features(unique, stats, spec)
+        names = [c for c in spec.features if c in checked.columns]
+        checked = written(score(checked.withColumn("feature_hash", feature_hash(names))), "scored")
+        good = F.size("errors") == 0
+        write_batch(checked.filter(good).drop("errors", "key_bucket"), log_path, batch_id, "ts")
+        write_batch(checked.filter(~good).drop("key_bucket"), quarantine_path, batch_id, "ts")
+        until = F.when(~good, F.coalesce("ts", F.timestamp_seconds(F.lit(0))) + delay).alias("until")
+        ids = checked.select("request_id", until, "key_bucket", F.lit(batch_id).cast("long").alias("batch"))
+        ids.repartition("key_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "key_bucket", "batch"
+        ).parquet(seen)
+        before = F.lit(_newest(spark, log_path, batch_id - 1)).cast("long")
+        newest = given.agg(F.greatest(F.max(F.unix_millis("ts")) * 1000, before).alias("newest"))
+        newest.coalesce(1).write.mode("overwrite").parquet(f"{newest_path(log_path)}/batch={batch_id}")
+        for table in (given, fresh, checked):
+            discard(table)
+
+    run_to_end(requests.writeStream.foreachBatch(write), checkpoint)

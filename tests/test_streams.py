@@ -214,3 +214,22 @@ def test_sums_of_open_windows_and_late_rows(spark):
     assert brought[-1].newest.hour == 12
     # a batch that is written again replaces its rows
     assert spark.read.parquet(path).select("batch").distinct().count() == 4
+
+
+def test_scoring_holds_no_state_and_knows_repeats_of_all_batches(spark):
+    """Repeats of logged requests are left out for good; those of refused ones until the watermark has passed them."""
+    bad = 500.0
+    stream = feed(
+        spark,
+        [request(1, "01 10:00:00"), request(2, "01 10:00:00", bad), request(2, "01 10:10:00")],
+        [request(1, "01 10:30:00", bad), request(2, "01 10:40:00", bad), request(3, "01 11:30:00")],
+        [request(4, "01 16:00:00"), request(2, "01 10:50:00")],  # the watermark is at 9:10: 2 is still known
+        [request(5, "01 16:10:00")],  # from here on it is at 15:00
+        [request(1, "01 16:30:00", bad), request(1, "01 16:40:00"), request(2, "01 16:50:00"), request(6, "01 15:00:00")],
+    )
+    log, refused, point = (scratch_path(spark, n) for n in ("log", "refused", "point"))
+    score.score_log(stream, log, refused, point)
+    assert sorted((r.request_id, r.batch) for r in spark.read.parquet(log).collect()) == [(1, 0), (2, 4), (3, 1), (4, 2), (5, 3)]
+    assert [(r.request_id, r.batch) for r in spark.read.parquet(refused).collect()] == [(2, 0)]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{point}/state")
+    assert not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
