@@ -116,7 +116,8 @@ def _links_by_midpoints(fps: DataFrame, radius: int) -> DataFrame:
     steps = F.array(*[F.lit(x) for x in ball])
     points = fps.select("fp", F.explode(F.transform(steps, lambda x: F.col("fp").bitwiseXOR(x))).alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("least"))
-    met = points.join(least, "point").filter("fp <> least")
+    # merged: Spark takes points for as large as the fingerprints they are exploded from, and would broadcast them
+    met = points.hint("merge").join(least, "point").filter("fp <> least")
     return met.select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
@@ -124,7 +125,8 @@ def close_links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
     """(a, b) links between distinct fingerprints (column fp) whose components are those of all close pairs.
 
     Bucket sizes are counted first (with partial counts before the shuffle), so that only fingerprints that
-    share a bucket are moved, and a bucket is gathered only up to ``bucket`` fingerprints of eight bytes.
+    share a bucket are kept, and a bucket is gathered only up to ``bucket`` fingerprints of eight bytes. Sizes are
+    merged with the banded fingerprints, which Spark takes for as few as those they are exploded from and would broadcast.
     """
     if radius % 2:
         raise ValueError("radius must be even: midpoints halve it")
@@ -134,7 +136,7 @@ def close_links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
     ]
     banded = distinct.select("fp", F.explode(F.array(*masked)).alias("band")).select("fp", "band.mask", "band.key")
     shared = banded.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = written(banded.join(shared, ["mask", "key"]), "simhash-buckets")
+    members = written(banded.hint("merge").join(shared, ["mask", "key"]), "simhash-buckets")
     small = members.filter(F.col("n") <= bucket).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
     large = members.filter(F.col("n") > bucket).select("fp").distinct()
     return _links_in_buckets(small, radius).unionByName(_links_by_midpoints(large, radius)).distinct()

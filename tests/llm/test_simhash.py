@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from mlwatch.llm import simhash
 from mlwatch.llm.components import connected_components
@@ -94,3 +95,13 @@ def test_components_of_chains_loops_and_nulls(spark):
     found = connected_components(spark.createDataFrame(chain, "a long, b long"))
     expected = {i: 1 for i in range(1, 41)} | {50: 50, 60: 50, 70: 50}
     assert {r.node: r.component for r in found.collect()} == expected and found.count() == len(expected)
+
+
+def test_exploded_tables_are_not_broadcast(spark, monkeypatch):
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(simhash, "written", lambda df, label: plans.append(plan(df)) or df)
+    few = spark.range(1000).select((F.col("id") * 7919).alias("fp"))
+    simhash.close_links(few)
+    plans.append(plan(simhash._links_by_midpoints(few, 4)))
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
