@@ -180,7 +180,8 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     banded = prints.filter("bands IS NOT NULL").select("key", "bands").dropDuplicates(["key"])
     banded = banded.select("key", F.posexplode("bands").alias("band", "value"))
     shared = banded.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = written(banded.join(shared, ["band", "value"]), "reworded-buckets")
+    # merged: Spark takes the bands for as many as the texts they are exploded from, and would broadcast them
+    buckets = written(banded.hint("merge").join(shared, ["band", "value"]), "reworded-buckets")
     named = written(classes.join(buckets.select("key").distinct(), "key"), "reworded-classes")
     members = written(buckets.join(named.select("key", "sample"), "key"), "reworded-members")
     sets = written(_sets(docs, named.select("key", "at"), id_col, text_col), "reworded-sets")

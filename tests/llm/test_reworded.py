@@ -69,3 +69,16 @@ def test_the_threshold_is_exact(shared, expected):
 
 def test_empty_table(spark):
     assert reworded.without_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_exploded_bands_are_not_broadcast(spark, monkeypatch):
+    plans, kept = {}, reworded.written
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(df, label)
+
+    monkeypatch.setattr(reworded, "written", noted)
+    docs = spark.createDataFrame([(i, f"one two three four five {i // 2}") for i in range(6)], "doc_id long, text string")
+    assert reworded.without_copies(docs).count() == 3
+    assert "SortMergeJoin" in plans["reworded-buckets"] and "Broadcast" not in plans["reworded-buckets"]
